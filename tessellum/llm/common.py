@@ -65,8 +65,8 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offs - offs[0]
 
 
-def blocks(batches, column: str, limit: int = BLOCK_BYTES):
-    """Row slices of the batches with at most ``limit`` bytes of ``column`` each (or one row)."""
+def blocks(batches, column: str, limit: int = BLOCK_BYTES, rows: int = 4096):
+    """Row slices of the batches with at most ``limit`` bytes of ``column`` each (or one row), and at most ``rows`` rows."""
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -74,7 +74,7 @@ def blocks(batches, column: str, limit: int = BLOCK_BYTES):
         _, offs = utf8(batch.column(column))
         lo = 0
         while lo < n:
-            hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + limit, side="right")) - 1)
+            hi = min(lo + rows, max(lo + 1, int(np.searchsorted(offs, offs[lo] + limit, side="right")) - 1))
             yield batch.slice(lo, hi - lo)
             lo = hi
 

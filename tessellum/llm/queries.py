@@ -6,11 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessellum.llm.language_id import op2_language_id
+from tessellum.llm.toxicity import op9_toxicity
 from tessellum.llm.url_filter import OP8_SQL, op8_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_url_filter": op8_url_filter}
+    return {
+        "op2_language_id": op2_language_id,
+        "op8_url_filter": op8_url_filter,
+        "op9_toxicity": op9_toxicity,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
