@@ -16,11 +16,11 @@ ORDERS = (3, 4, 5)
 BITS = 18
 #: Labelled documents of a class to learn from, about (a hash of the id picks them from all labels).
 TRAIN_DOCS = 2000
-#: N-gram buckets with a weight: those whose ratio times the square root of their document count is largest.
+#: N-gram buckets with a weight: those whose share of documents differs most between the classes, in standard errors.
 FEATURES = 1 << 14
-MIN_DOCS = 5
-L2 = 1e-3
-STEPS = 300
+MIN_Z = 6.0
+L2 = 1e-2
+STEPS = 800
 
 
 @dataclass
@@ -85,10 +85,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return blank
     bucket, n0, n1 = (got.column(c).to_numpy() for c in ("bucket", "n0", "n1"))
     ratio = np.log((n1 + 1) / (n1.sum() + len(n1))) - np.log((n0 + 1) / (n0.sum() + len(n0)))
-    docs_with = n0 + n1
-    worth = np.where(docs_with >= MIN_DOCS, np.abs(ratio) * np.sqrt(docs_with), 0)
-    order = np.lexsort((bucket, -worth))[:FEATURES]
-    order = order[worth[order] > 0]
+    s0, s1 = (max(1.0, min(train_docs, sizes[k])) for k in (0, 1))
+    share = np.clip((n0 + n1) / (s0 + s1), 1e-9, 1 - 1e-9)
+    z = np.abs(n1 / s1 - n0 / s0) / np.sqrt(share * (1 - share) * (1 / s0 + 1 / s1))
+    order = np.lexsort((bucket, -z))[:FEATURES]
+    order = order[(z[order] >= MIN_Z) | (np.arange(len(order)) < 64)]
     if not len(order):
         return blank
     place = np.full(1 << BITS, -1, np.int32)
