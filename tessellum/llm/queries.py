@@ -10,6 +10,7 @@ from tessellum.llm.language_id import op2_language_id
 from tessellum.llm.simhash import op4_simhash_near_dedup
 from tessellum.llm.toxicity import op9_toxicity
 from tessellum.llm.url_filter import OP8_SQL, op8_url_filter
+from tessellum.llm.weighted_sampling import op10_document_fingerprints
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_simhash_near_dedup": op4_simhash_near_dedup,
         "op8_url_filter": op8_url_filter,
         "op9_toxicity": op9_toxicity,
+        "op10_document_fingerprints": op10_document_fingerprints,
     }
 
 
