@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessellum.llm.language_id import op2_language_id
+from tessellum.llm.sentencepiece_tokens import op6_sentencepiece
 from tessellum.llm.simhash import op4_simhash_near_dedup
 from tessellum.llm.toxicity import op9_toxicity
 from tessellum.llm.url_filter import OP8_SQL, op8_url_filter
@@ -17,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_language_id": op2_language_id,
         "op4_simhash_near_dedup": op4_simhash_near_dedup,
+        "op6_sentencepiece": op6_sentencepiece,
         "op8_url_filter": op8_url_filter,
         "op9_toxicity": op9_toxicity,
         "op10_document_fingerprints": op10_document_fingerprints,
