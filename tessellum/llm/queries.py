@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessellum.llm.bloom_lm import op3_lm_scores
+from tessellum.llm.hnsw import op1_embedding_near_dedup
 from tessellum.llm.language_id import op2_language_id
 from tessellum.llm.sentencepiece_tokens import op6_sentencepiece
 from tessellum.llm.simhash import op4_simhash_near_dedup
@@ -17,6 +18,7 @@ from tessellum.llm.weighted_sampling import op10_document_fingerprints
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_embedding_near_dedup": op1_embedding_near_dedup,
         "op2_language_id": op2_language_id,
         "op3_lm_scores": op3_lm_scores,
         "op4_simhash_near_dedup": op4_simhash_near_dedup,
