@@ -222,8 +222,7 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group the document with the smallest id stays, one row of it; rows without an id stay."""
-    # five words a shingle, as near-duplicate stages take
-    groups = simhash_components(docs, words_of_shingle=5)
+    groups = simhash_components(docs)
     gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
     with_id = docs.filter("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti")
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy(*[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")], F.xxhash64("text")))
