@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tessellum.llm.bloom_lm import op3_lm_scores
 from tessellum.llm.hnsw import op1_embedding_near_dedup
 from tessellum.llm.language_id import op2_language_id
+from tessellum.llm.licences import op5_licence_scan
 from tessellum.llm.mixing import op7_mixing
 from tessellum.llm.sentencepiece_tokens import op6_sentencepiece
 from tessellum.llm.simhash import op4_simhash_near_dedup
@@ -23,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_language_id": op2_language_id,
         "op3_lm_scores": op3_lm_scores,
         "op4_simhash_near_dedup": op4_simhash_near_dedup,
+        "op5_licence_scan": op5_licence_scan,
         "op6_sentencepiece": op6_sentencepiece,
         "op7_mixing": op7_mixing,
         "op8_url_filter": op8_url_filter,
