@@ -1,0 +1,62 @@
+"""Scalar text functions as Spark expressions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def strip(c: Column) -> Column:
+    """Without white space at both ends (not just blanks)."""
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
+def entity_id(name: Column) -> Column:
+    return F.replace(F.replace(F.lower(name), F.lit(" "), F.lit("_")), F.lit("'"), F.lit(""))
+
+
+def chunk_id(wing: Column, room: Column, source_file: Column, chunk_index: Column) -> Column:
+    """``drawer_{wing}_{room}_`` and 16 digits of an md5 of file and index, with a separator between the two."""
+    return F.concat(F.lit("drawer_"), wing, F.lit("_"), room, F.lit("_"), F.left(F.md5(F.concat_ws("|", source_file, chunk_index.cast("string"))), F.lit(16)))
+
+
+def wing_name(name: Column) -> Column:
+    """Lower case with ``_`` for blanks and dashes; ``project`` if nothing is left."""
+    plain = F.regexp_replace(F.translate(F.lower(name), " -", "__"), "[^a-z0-9_]", "")
+    return F.coalesce(F.nullif(plain, F.lit("")), F.lit("project"))
+
+
+def token_estimate(text: Column) -> Column:
+    """Words times 1.3, cut to an integer, at least 1."""
+    words = F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != ""))
+    return F.greatest(F.lit(1), F.floor(words * 1.3)).cast("long")
+
+
+def format_bytes(n: Column) -> Column:
+    """``1536`` as ``1.5 KB``."""
+    x = n.cast("double")
+    out = F.concat(n.cast("string"), F.lit(" B"))
+    for power, unit in ((1, "KB"), (2, "MB"), (3, "GB"), (4, "TB")):
+        out = F.when(x >= 1024.0**power, F.format_string(f"%.1f {unit}", x / 1024.0**power)).otherwise(out)
+    return out
+
+
+def glob_regex(pattern: str) -> str:
+    """A pattern in which ``*`` and ``?`` cross slashes, as a regular expression of the whole path."""
+    out = ""
+    k = 0
+    while k < len(pattern):
+        c = pattern[k]
+        if c == "*":
+            out += ".*"
+        elif c == "?":
+            out += "."
+        elif c == "[" and "]" in pattern[k + 2 :]:
+            end = pattern.index("]", k + 2)
+            body = pattern[k + 1 : end]
+            out += "[" + ("^" + body[1:] if body[0] == "!" else body).replace("\\", "\\\\") + "]"
+            k = end
+        else:
+            out += "\\" + c if not c.isalnum() and c != "_" else c
+        k += 1
+    return f"(?s)^{out}$"

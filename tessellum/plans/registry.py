@@ -21,9 +21,16 @@ def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     return keep
 
 
+def _load() -> None:
+    """The modules register their queries when they are imported."""
+    from tessellum.plans import graph_queries, search_queries, text_queries  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_ORACLES)
