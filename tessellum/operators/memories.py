@@ -1,0 +1,60 @@
+"""Memory types of text segments, by counts of regular expressions; sentiment; name candidates."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+# Expressions that speak for a memory type, in order of declaration.
+MARKERS = {
+    "decision": [
+        r"\blet'?s (use|go with|try|pick|choose|switch to)\b", r"\bwe (should|decided|chose|went with|picked|settled on)\b", r"\bi'?m going (to|with)\b", r"\bbetter (to|than|approach|option|choice)\b", r"\binstead of\b", r"\brather than\b",
+        r"\bthe reason (is|was|being)\b", r"\bbecause\b", r"\btrade-?off\b", r"\bpros and cons\b", r"\bover\b.*\bbecause\b", r"\barchitecture\b", r"\bapproach\b", r"\bstrategy\b", r"\bpattern\b", r"\bstack\b", r"\bframework\b",
+        r"\binfrastructure\b", r"\bset (it |this )?to\b", r"\bconfigure\b", r"\bdefault\b",
+    ],
+    "preference": [
+        r"\bi prefer\b", r"\balways use\b", r"\bnever use\b", r"\bdon'?t (ever |like to )?(use|do|mock|stub|import)\b", r"\bi like (to|when|how)\b", r"\bi hate (when|how|it when)\b", r"\bplease (always|never|don'?t)\b",
+        r"\bmy (rule|preference|style|convention) is\b", r"\bwe (always|never)\b", r"\bfunctional\b.*\bstyle\b", r"\bimperative\b", r"\bsnake_?case\b", r"\bcamel_?case\b", r"\btabs\b.*\bspaces\b", r"\bspaces\b.*\btabs\b", r"\buse\b.*\binstead of\b",
+    ],
+    "milestone": [
+        r"\bit works\b", r"\bit worked\b", r"\bgot it working\b", r"\bfixed\b", r"\bsolved\b", r"\bbreakthrough\b", r"\bfigured (it )?out\b", r"\bnailed it\b", r"\bcracked (it|the)\b", r"\bfinally\b", r"\bfirst time\b", r"\bfirst ever\b",
+        r"\bnever (done|been|had) before\b", r"\bdiscovered\b", r"\brealized\b", r"\bfound (out|that)\b", r"\bturns out\b", r"\bthe key (is|was|insight)\b", r"\bthe trick (is|was)\b", r"\bnow i (understand|see|get it)\b", r"\bbuilt\b", r"\bcreated\b",
+        r"\bimplemented\b", r"\bshipped\b", r"\blaunched\b", r"\bdeployed\b", r"\breleased\b", r"\bprototype\b", r"\bproof of concept\b", r"\bdemo\b", r"\bversion \d", r"\bv\d+\.\d+", r"\d+x (compression|faster|slower|better|improvement|reduction)",
+        r"\d+% (reduction|improvement|faster|better|smaller)",
+    ],
+    "problem": [
+        r"\b(bug|error|crash|fail|broke|broken|issue|problem)\b", r"\bdoesn'?t work\b", r"\bnot working\b", r"\bwon'?t\b.*\bwork\b", r"\bkeeps? (failing|crashing|breaking|erroring)\b", r"\broot cause\b", r"\bthe (problem|issue|bug) (is|was)\b",
+        r"\bturns out\b.*\b(was|because|due to)\b", r"\bthe fix (is|was)\b", r"\bworkaround\b", r"\bthat'?s why\b", r"\bthe reason it\b", r"\bfixed (it |the |by )\b", r"\bsolution (is|was)\b", r"\bresolved\b", r"\bpatched\b", r"\bthe answer (is|was)\b",
+        r"\b(had|need) to\b.*\binstead\b",
+    ],
+}
+RESOLVED = [r"\bfixed\b", r"\bsolved\b", r"\bresolved\b", r"\bpatched\b", r"\bgot it working\b", r"\bit works\b", r"\bnailed it\b", r"\bfigured (it )?out\b", r"\bthe (fix|answer|solution)\b"]
+LONG_CHARS, LONGER_CHARS = 200, 500
+
+
+def marker_score(text: Column, markers: list[str]) -> Column:
+    """Sum of the matches of all markers."""
+    low = F.lower(text)
+    return sum((F.regexp_count(low, F.lit(m)) for m in markers), F.lit(0))
+
+
+def memory_types(segments: DataFrame, text_col: str = "content", least: float = 0.3) -> DataFrame:
+    """Segments of 20 characters and more with ``memory_type`` and ``confidence``.
+
+    The type of most matches (the earlier declared of equals); a solved problem is a milestone. A bonus for length enters
+    the confidence only, and only confidences of ``least`` and more stay.
+    """
+    rows = segments.filter(F.length(F.trim(text_col)) >= 20)
+    scored = F.array(*[F.struct(marker_score(F.col(text_col), m).alias("n"), F.lit(-k).alias("k"), F.lit(name).alias("name")) for k, (name, m) in enumerate(MARKERS.items())])
+    best = rows.withColumn("_best", F.array_max(scored)).filter(F.col("_best")["n"] > 0)
+    bonus = F.when(F.length(text_col) > LONGER_CHARS, 2).when(F.length(text_col) > LONG_CHARS, 1).otherwise(0)
+    solved = F.lower(text_col).rlike("|".join(RESOLVED))
+    kind = F.when((F.col("_best")["name"] == "problem") & solved, "milestone").otherwise(F.col("_best")["name"])
+    out = best.withColumn("memory_type", kind).withColumn("confidence", F.least(F.lit(1.0), (F.col("_best")["n"] + bonus) / 5.0))
+    return out.filter(F.col("confidence") >= least).drop("_best")
+
+
+def name_candidates(docs: DataFrame, stop: list[str], text_col: str = "text", least: int = 3) -> DataFrame:
+    """``(name, frequency)`` of capitalised words that come ``least`` times and more over all texts."""
+    words = docs.select(F.explode(F.split(F.col(text_col), r"[^\p{L}\p{N}_]+")).alias("name")).filter(F.col("name").rlike("^[A-Z][a-z]{1,19}$"))
+    return words.filter(~F.lower("name").isin(stop)).groupBy("name").agg(F.count("*").alias("frequency")).filter(F.col("frequency") >= least)

@@ -1 +1,127 @@
-"""x"""
+"""Conversations, chunking, classification, mutation and layers over the driver's tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from tessellum.operators import chunking, conversations, ingest, memories
+from tessellum.plans.registry import register
+from tessellum.plans.views import CHUNKS, chunks, table
+
+
+@register("exchange_pairs", "SELECT conv_id, turn, prompt, CASE WHEN nr = 'assistant' THEN nt END AS reply FROM (SELECT conv_id, turn, role, text AS prompt, lead(role) OVER w AS nr, lead(text) OVER w AS nt FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user'")
+def exchange_pairs(spark, sf):
+    return conversations.exchange_pairs(table(spark, sf, "conversations"))
+
+
+@register(
+    "transcripts",
+    r"SELECT conv_id, regexp_replace(string_agg(line, '' ORDER BY turn), '\n\z', '') AS transcript FROM (SELECT conv_id, turn, CASE WHEN role = 'user' THEN '> ' || text ELSE text END || CASE WHEN role = 'user' AND coalesce(lead(role) OVER (PARTITION BY conv_id ORDER BY turn), '') = 'assistant' THEN chr(10) ELSE chr(10) || chr(10) END AS line FROM conversations) GROUP BY conv_id",
+)
+def transcripts(spark, sf):
+    return conversations.transcript(table(spark, sf, "conversations"))
+
+
+def _count(words: list[str]) -> str:
+    return " + ".join(f"CAST(contains(h, '{w}') AS INT)" for w in words)
+
+
+_TOPIC = "greatest(" + ", ".join(f"({_count(w)}) * 10 + {9 - k}" for k, w in enumerate(conversations.TOPICS.values())) + ")"
+
+
+@register(
+    "conversation_topic",
+    f"WITH t AS (SELECT conv_id, turn, lower(left(text, 3000)) AS h FROM conversations), s AS (SELECT conv_id, turn, {_TOPIC} AS b FROM t) SELECT conv_id, turn, CASE WHEN b < 10 THEN 'general' " + " ".join(f"WHEN b % 10 = {9 - k} THEN '{n}'" for k, n in enumerate(conversations.TOPICS)) + " END AS topic FROM s",
+)
+def conversation_topic(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", conversations.topic(F.col("text")).alias("topic"))
+
+
+@register(
+    "line_groups_25",
+    r"WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents), g AS (SELECT doc_id, k, regexp_replace(array_to_string(x[k:k + 24], chr(10)), '^\s+|\s+$', '', 'g') AS content FROM (SELECT doc_id, x, unnest(range(1, len(x) + 1, 25)) AS k FROM l)) "
+    "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS chunk_index, content FROM g WHERE length(content) > 30",
+)
+def line_groups_25(spark, sf):
+    out = conversations.line_groups(table(spark, sf, "documents"))
+    return out.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "content")
+
+
+@register("chunk_documents")
+def chunk_documents(spark, sf):
+    return chunking.chunk_column(table(spark, sf, "documents"), ["doc_id"])
+
+
+@register("memory_types")
+def memory_types(spark, sf):
+    return memories.memory_types(table(spark, sf, "conversations").select("conv_id", "turn", F.col("text").alias("content"))).select("conv_id", "turn", "memory_type", "confidence")
+
+
+_STOP = ["the", "and", "for", "with", "that", "this", "from", "was", "are", "not"]
+
+
+@register("entity_candidates", "WITH x AS (SELECT unnest(regexp_split_to_array(text, '[^\\p{L}\\p{N}_]+')) AS name FROM conversations), w AS (SELECT name FROM x WHERE regexp_full_match(name, '[A-Z][a-z]{1,19}')) SELECT name, count(*) AS frequency FROM w WHERE lower(name) NOT IN (" + ", ".join(f"'{w}'" for w in _STOP) + ") GROUP BY name HAVING count(*) >= 3")
+def entity_candidates(spark, sf):
+    return memories.name_candidates(table(spark, sf, "conversations"), _STOP)
+
+
+@register("retention_newest_n", "SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) <= 5 AS retained FROM events")
+def retention_newest_n(spark, sf):
+    return ingest.newest_per_kind(table(spark, sf, "events"), 5, "event_type", "ts", "event_id").select("event_id", "event_type", "retained")
+
+
+@register(
+    "upsert_latest_wins",
+    "WITH stored AS (SELECT o_orderkey AS id, o_orderstatus AS v FROM orders), inc AS (SELECT l_orderkey AS id, l_linestatus AS v, l_linenumber AS n FROM lineitem WHERE l_orderkey % 3 = 0), last AS (SELECT id, v FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC) AS k FROM inc) WHERE k = 1) SELECT * FROM stored WHERE id NOT IN (SELECT id FROM inc) UNION ALL SELECT * FROM last",
+)
+def upsert_latest_wins(spark, sf):
+    stored = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("v"))
+    incoming = table(spark, sf, "lineitem").filter("l_orderkey % 3 = 0").select(F.col("l_orderkey").alias("id"), F.col("l_linestatus").alias("v"), F.col("l_linenumber").alias("n"))
+    return ingest.upsert(stored, incoming, order="n").select("id", "v")
+
+
+@register("diary_latest", "SELECT event_id, ts, event_type FROM events WHERE user_id = 7 ORDER BY ts DESC, event_id DESC LIMIT 10")
+def diary_latest(spark, sf):
+    return table(spark, sf, "events").filter("user_id = 7").orderBy(F.desc("ts"), F.desc("event_id")).limit(10).select("event_id", "ts", "event_type")
+
+
+@register("file_context", f"WITH {CHUNKS} SELECT id, chunk_index, length(text) AS chars FROM chunks WHERE source_file LIKE '%/file_3.txt' ORDER BY chunk_index, id LIMIT 10000")
+def file_context(spark, sf):
+    rows = chunks(spark, sf).filter("source_file LIKE '%/file_3.txt'")
+    return rows.orderBy("chunk_index", "id").limit(10000).select("id", "chunk_index", F.length("text").cast("long").alias("chars"))
+
+
+@register("read_slice", f"WITH {CHUNKS}, l AS (SELECT id, unnest(string_split(text, chr(10))) AS text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM chunks WHERE wing = 'src2') SELECT id, line, text FROM l WHERE line BETWEEN 2 AND 5")
+def read_slice(spark, sf):
+    from tessellum.operators.reader import line_slice
+
+    return line_slice(chunks(spark, sf).filter("wing = 'src2'"), 2, 5).select("id", F.col("line").cast("long").alias("line"), "text")
+
+
+@register(
+    "essential_budget",
+    f"WITH {CHUNKS}, t AS (SELECT * FROM chunks ORDER BY id LIMIT 15), e AS (SELECT id, room, least(length(text), 200) AS n FROM t), r AS (SELECT *, sum(n) OVER (ORDER BY room, id ROWS UNBOUNDED PRECEDING) AS total FROM e) SELECT id, room, CAST(total AS BIGINT) AS total FROM r WHERE total <= 2000",
+)
+def essential_budget(spark, sf):
+    top = chunks(spark, sf).orderBy("id").limit(15).select("id", "room", F.least(F.length("text"), F.lit(200)).alias("n"))
+    total = F.sum("n").over(Window.orderBy("room", "id").rowsBetween(Window.unboundedPreceding, 0))  # fifteen rows
+    return top.withColumn("total", total).filter("total <= 2000").select("id", "room", "total")
+
+
+@register("export_records", f"WITH {CHUNKS} SELECT id, wing, room, source_file, chunk_index FROM chunks WHERE wing = 'src5'")
+def export_records(spark, sf):
+    """What comes back of records that were written as JSON lines."""
+    from tessellum.sources.jsonl import drawer_records, parse_drawers
+
+    return parse_drawers(drawer_records(chunks(spark, sf).filter("wing = 'src5'"))).select("id", "wing", "room", "source_file", "chunk_index")
+
+
+@register("token_overlap_f1", "WITH a AS (SELECT item_id, unnest(string_split(lower(text), ' ')) AS w FROM benchmark WHERE item_id % 2 = 0), b AS (SELECT item_id - 1 AS item_id, unnest(string_split(lower(text), ' ')) AS w FROM benchmark WHERE item_id % 2 = 1), ca AS (SELECT item_id, w, count(*) AS n FROM a GROUP BY ALL), cb AS (SELECT item_id, w, count(*) AS n FROM b GROUP BY ALL), s AS (SELECT item_id, sum(least(ca.n, cb.n)) AS c FROM ca JOIN cb USING (item_id, w) GROUP BY 1), na AS (SELECT item_id, count(*) AS n FROM a GROUP BY 1), nb AS (SELECT item_id, count(*) AS n FROM b GROUP BY 1) SELECT item_id, round(coalesce(2.0 * c / (na.n + nb.n), 0.0), 6) AS f1 FROM na JOIN nb USING (item_id) LEFT JOIN s USING (item_id)")
+def token_overlap_f1(spark, sf):
+    from tessellum.operators.answers import token_f1
+
+    b = table(spark, sf, "benchmark")
+    left = b.filter("item_id % 2 = 0").select("item_id", F.col("text").alias("a"))
+    right = b.filter("item_id % 2 = 1").select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("b"))
+    return token_f1(left.join(right, "item_id"), "item_id", "a", "b").select("item_id", F.round("f1", 6).alias("f1"))
