@@ -23,8 +23,8 @@ from tessellum.llm.common import blocks, table
 #: Where the public model lies; a parameter everywhere.
 MODEL_PATH = os.environ.get("TESSELLUM_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 SPACE = "▁"
-#: Segments that a worker remembers between commits; a memo only, cleared when full.
-MEMO = 1 << 18
+#: Segments that a worker remembers (and four times as many beginnings); a memo only, cleared when full.
+MEMO = 3 << 17
 #: Ids of one result batch, about.
 BATCH_IDS = 1 << 19
 
@@ -51,6 +51,7 @@ class Pieces:
         for value, i in enumerate(byte_ids):
             self.raw[i] = bytes([value])
         self.memo: dict[str, list[int]] = {}
+        self.ends: dict[str, str] = {}
         self.rising: dict[str, tuple[list, list]] = {}
         self.apart: dict[tuple[str, str], bool] = {}
 
@@ -119,31 +120,36 @@ class Pieces:
             self.apart[a, b] = known
         return known
 
+    def _last_piece(self, text: str, end: int, last: list[str | None]) -> str:
+        """The piece that ends the surviving path to a boundary, from those to the boundaries before."""
+        ids, apart = self.ids, self.apart.get
+        for n in self.sizes.get(text[end - 2 : end] if end > 1 else text[0], (1,)):
+            if n > end:
+                continue
+            piece = text[end - n : end]
+            if piece not in ids:
+                continue
+            previous = last[end - n]
+            if previous is None or previous not in ids:
+                ok = bool(self._edges(piece)[0])
+            else:
+                ok = apart((previous, piece))
+                if ok is None:
+                    ok = self.stays_apart(previous, piece)
+            if ok:
+                return piece
+        return text[end - 1]  # a character of no piece stands alone, as bytes
+
     def stream(self, chars: Iterable[str]) -> Iterator[list[int]]:
         """Ids of a stream of strings with space marks in place, in commits."""
-        ids, longest, apart, sizes = self.ids, self.longest, self.apart, self.sizes.get
+        longest = self.longest
         text = ""  # what isn't committed
         last: list[str | None] = [None]  # the piece that ends at each boundary on its surviving path
         for more in chars:
             text += more
             while len(last) <= len(text):
                 end = len(last)
-                for n in sizes(text[end - 2 : end] if end > 1 else text[0], (1,)):
-                    piece = text[end - n : end] if n <= end else ""
-                    if piece not in ids:
-                        continue
-                    previous = last[end - n]
-                    if previous is None or previous not in ids:
-                        ok = bool(self._edges(piece)[0])
-                    else:
-                        ok = apart.get((previous, piece))
-                        if ok is None:
-                            ok = self.stays_apart(previous, piece)
-                    if ok:
-                        last.append(piece)
-                        break
-                else:
-                    last.append(text[end - 1])  # a character of no piece stands alone, as bytes
+                last.append(self._last_piece(text, end, last))
                 if end >= 4 * longest and end % longest == 0:  # look for a boundary that all survivors pass
                     alive = set(range(end - longest + 1, end + 1))
                     while len(alive) > 1:
@@ -171,11 +177,21 @@ class Pieces:
         return out
 
     def _segment(self, segment: str) -> list[int]:
-        ids = [i for part in self.stream(segment[k : k + 4096] for k in range(0, len(segment), 4096)) for i in part]
-        if len(segment) <= 64:
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            self.memo[segment] = ids
+        n = len(segment)
+        if n > 64:
+            return [i for part in self.stream(segment[k : k + 4096] for k in range(0, n, 4096)) for i in part]
+        # a boundary's surviving piece depends on what stands before it only: known beginnings aren't searched again
+        if len(self.ends) >= 4 * MEMO or len(self.memo) >= MEMO:
+            self.ends.clear()
+            self.memo.clear()
+        ends, last = self.ends, [None]
+        for end in range(1, n + 1):
+            start = segment[:end]
+            piece = ends.get(start)
+            if piece is None:
+                piece = ends[start] = self._last_piece(segment, end, last)
+            last.append(piece)
+        ids = self.memo[segment] = self._walk(last, n)
         return ids
 
     def encode(self, text: str) -> list[int]:
