@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Start of the names of columns that stages add for a while.
+OWN = "__tessellum_"
 #: Text bytes that one vectorised step works on; a longer document is a block of its own.
 BLOCK_BYTES = 1 << 20
 

@@ -226,7 +226,7 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     are null, empty, zero or hold null or non-finite components link with nothing; rows without an id are left out
     of the links and stay with null component. Repeated ids count as rows.
     """
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"), F.col(group_col).alias("g"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"), F.col(group_col).alias("g"))
     sound = F.col("id").isNotNull() & F.col("g").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)
     sound &= F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("v", lambda c: c != 0)
     rows = rows.withColumn("ok", F.coalesce(sound, F.lit(False)))

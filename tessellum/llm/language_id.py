@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessellum.llm.chargrams import has_letter, sparse_counts
-from tessellum.llm.common import blocks, fold, segment_sum, table
+from tessellum.llm.common import OWN, blocks, fold, segment_sum, table
 
 ORDERS = (1, 2, 3)
 BITS = 16
@@ -86,8 +86,8 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     return LanguageModel(langs, log_prob.astype(np.float32), np.log(prior / prior.sum()))
 
 
-def predict(docs: DataFrame, model: LanguageModel, keep: list[str], text_col: str = "text") -> DataFrame:
-    """Columns ``keep`` of ``docs`` and ``lang_pred``, ``score``; one row for each row. Only these columns are read."""
+def predict(docs: DataFrame, model: LanguageModel, keep: list[str], text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Columns ``keep`` of ``docs`` and the two of ``names``; one row for each row. Only these columns are read."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     source = docs.select(*[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)], F.col(text_col).alias("_text"))
@@ -99,7 +99,7 @@ def predict(docs: DataFrame, model: LanguageModel, keep: list[str], text_col: st
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*b.schema.names[:-1], "lang_pred", "score"])
 
     out = source.mapInArrow(run, ", ".join([*types, "lang_pred string", "score double"]))
-    return out.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score")
+    return out.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], F.col("lang_pred").alias(names[0]), F.col("score").alias(names[1]))
 
 
 def _train_fold(docs: DataFrame) -> DataFrame:
@@ -120,5 +120,5 @@ MIN_SCORE = 0.5
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents of no recognisable language go (``und``, or a score under MIN_SCORE); columns stay."""
     names = docs.columns
-    judged = predict(docs, train(_train_fold(docs)), names)
-    return judged.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_SCORE)).select(*names)
+    judged = predict(docs, train(_train_fold(docs)), names, names=(f"{OWN}lang", f"{OWN}score"))
+    return judged.filter((F.col(f"{OWN}lang") != UNKNOWN) & (F.col(f"{OWN}score") >= MIN_SCORE)).select(*[F.col(f"`{c}`") for c in names])

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessellum.llm.common import materialise, table
+from tessellum.llm.common import OWN, materialise, table
 
 #: Strings whose share of a text's bytes is a feature: letters and pairs that tell languages apart, and marks of junk.
 MARKS = ["th", "ei", "ou", "ci", "ß", "ä", "ü", "ö", "é", "è", "ñ", "ó", "í", "|", "!!", "%", "$", "#", "*", "."]
@@ -159,4 +159,4 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     # the rate is a lambda's argument, so that it is worked out once
     rate = rate_of(model.posterior(features("text")), theta)
-    return docs.select("*", F.explode(F.transform(F.array(rate), times)[0]).alias("_nth")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.select("*", F.explode(F.transform(F.array(rate), times)[0]).alias(f"{OWN}nth")).select(*[F.col(f"`{c}`") for c in docs.columns])

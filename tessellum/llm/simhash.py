@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessellum.llm.common import blocks, materialise, table
+from tessellum.llm.common import OWN, blocks, materialise, table
 from tessellum.llm.components import connected_components
 
 SHINGLE = 3
@@ -179,7 +179,7 @@ def link_fingerprints(fps: DataFrame, plan: list[tuple[list[int], int]], hot_buc
     near = [(i, bits) for i, (bits, t) in enumerate(plan) if t == 1]
     for i, bits in near:
         flips = F.array(*[F.lit(_mask([b])).cast("long") for b in bits])
-        probes = probes.union(fps.select("fp", "rep", F.lit(i).alias("part"), F.explode(F.transform(flips, lambda f, bits=bits: _key(bits).bitwiseXOR(f))).alias("key")))
+        probes = probes.union(fps.select("fp", "rep", F.lit(i).alias("part"), F.explode(F.transform(flips, _key(bits).bitwiseXOR)).alias("key")))
     sizes = indexed.groupBy("part", "key").count()
     if near:
         usual, hot = sizes.filter(F.col("count") <= hot_bucket), sizes.filter(F.col("count") > hot_bucket)
@@ -226,5 +226,6 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
     with_id = docs.filter("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti")
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy(*[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")], F.xxhash64("text")))
-    kept = with_id.withColumn("_nth", first).filter("_nth = 1").select(*docs.columns)
-    return kept.union(docs.filter("doc_id IS NULL").select(*docs.columns))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    kept = with_id.withColumn(f"{OWN}nth", first).filter(F.col(f"{OWN}nth") == 1).select(*names)
+    return kept.union(docs.filter("doc_id IS NULL").select(*names))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessellum.llm.chargrams import sparse_counts
-from tessellum.llm.common import blocks, fold, segment_sum, table
+from tessellum.llm.common import OWN, blocks, fold, segment_sum, table
 
 ORDERS = (3, 4, 5)
 BITS = 18
@@ -111,8 +111,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return ToxicityModel(full, float(bias))
 
 
-def score(docs: DataFrame, model: ToxicityModel, keep: list[str], text_col: str = "text") -> DataFrame:
-    """Columns ``keep`` of ``docs`` and ``score``, ``predicted``; one row for each row; null and empty texts get the bias's score."""
+def score(docs: DataFrame, model: ToxicityModel, keep: list[str], text_col: str = "text", names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """Columns ``keep`` of ``docs`` and the two of ``names``; one row for each row; null and empty texts get the bias's score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     source = docs.select(*[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)], F.col(text_col).alias("_text"))
     types = [f"{f.name} {f.dataType.simpleString()}" for f in source.schema if f.name != "_text"]
@@ -123,7 +123,7 @@ def score(docs: DataFrame, model: ToxicityModel, keep: list[str], text_col: str
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], names=[*b.schema.names[:-1], "score", "predicted"])
 
     out = source.mapInArrow(run, ", ".join([*types, "score double", "predicted int"]))
-    return out.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], "score", "predicted")
+    return out.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], F.col("score").alias(names[0]), F.col("predicted").alias(names[1]))
 
 
 def _train_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,4 +140,5 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents predicted toxic go; columns stay."""
     names = docs.columns
-    return score(docs, train(docs, _train_labels(spark, sf_dir)), names).filter(F.col("predicted") == 0).select(*names)
+    judged = score(docs, train(docs, _train_labels(spark, sf_dir)), names, names=(f"{OWN}score", f"{OWN}toxic"))
+    return judged.filter(F.col(f"{OWN}toxic") == 0).select(*[F.col(f"`{c}`") for c in names])
