@@ -172,3 +172,34 @@ def project_graph(spark, sf):
     li = table(spark, sf, "lineitem").selectExpr("concat('o', l_orderkey % 40) AS subject", "'depends_on' AS predicate", "concat('pk', l_partkey % 30) AS object")
     facts = o.union(li).distinct().withColumn("valid_to", F.lit(None).cast("string"))
     return code_graph.project_graph(facts, "s3")
+
+
+@register("fuzzy_rooms", f"WITH {SPARSE_ROOMS}, {_NODES} SELECT room, CASE WHEN contains(room, 'r11-zz') THEN 1.0 ELSE 0.5 END AS score FROM nodes WHERE contains(room, 'r11-zz') OR contains(room, 'r11') OR contains(room, 'zz') ORDER BY score DESC, room LIMIT 5")
+def fuzzy_rooms(spark, sf):
+    return graph.fuzzy_rooms(graph.nodes(sparse_rooms(spark, sf)), "r11-zz").select("room", F.col("score").cast("double").alias("score"))
+
+
+@register("kg_window_errors", f"WITH {TRIPLES}, t AS (SELECT id, CASE WHEN length(id) = 3 THEN 'soon' ELSE valid_from END AS valid_from, CASE WHEN length(id) = 4 THEN '2020-01-01' ELSE valid_to END AS valid_to FROM triples) SELECT id, CASE WHEN valid_from = 'soon' THEN 'invalid valid_from' ELSE 'valid_to before valid_from' END AS error FROM t WHERE valid_from = 'soon' OR (valid_to IS NOT NULL AND valid_from IS NOT NULL AND valid_to < valid_from)")
+def kg_window_errors(spark, sf):
+    t = triples(spark, sf).withColumn("valid_from", F.when(F.length("id") == 3, "soon").otherwise(F.col("valid_from"))).withColumn("valid_to", F.when(F.length("id") == 4, "2020-01-01").otherwise(F.col("valid_to")))
+    return kg.window_errors(t).select("id", "error")
+
+
+@register("extract_reusable")
+def extract_reusable(spark, sf):
+    o = table(spark, sf, "orders").selectExpr("concat('s', o_custkey % 50) AS subject", "'contains_project' AS predicate", "concat('o', o_orderkey % 400) AS object")
+    li = table(spark, sf, "lineitem").selectExpr("concat('o', l_orderkey % 400) AS subject", "'depends_on' AS predicate", "concat(IF(l_partkey % 40 = 0, 'framework', 'pk'), l_partkey % 300) AS object")
+    return code_graph.reusable(o.union(li).distinct().withColumn("valid_to", F.lit(None).cast("string")), "s3", 2)
+
+
+@register("auto_entities", f"WITH {TRIPLES} SELECT 'order_' || CAST(o_orderkey AS VARCHAR) AS id, 'Order ' || CAST(o_orderkey AS VARCHAR) AS name FROM orders WHERE o_orderkey < 500 UNION ALL SELECT id, name FROM entities")
+def auto_entities(spark, sf):
+    names = table(spark, sf, "orders").filter("o_orderkey < 500").selectExpr("concat('Order ', o_orderkey) AS name", "o_orderkey AS order")
+    return kg.auto_entities(entities(spark, sf), names.union(names.selectExpr("upper(name)", "order + 1"))).select("id", "name")
+
+
+@register("export_facts", f"WITH {TRIPLES} SELECT id, subject, predicate, object, valid_from FROM triples WHERE valid_from IS NULL OR valid_from >= '2024-01-20'")
+def export_facts(spark, sf):
+    from tessellum.sources.jsonl import fact_records, parse_facts
+
+    return parse_facts(fact_records(triples(spark, sf), "2024-01-20")).select("id", "subject", "predicate", "object", "valid_from")

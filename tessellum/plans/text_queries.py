@@ -125,3 +125,32 @@ def token_overlap_f1(spark, sf):
     left = b.filter("item_id % 2 = 0").select("item_id", F.col("text").alias("a"))
     right = b.filter("item_id % 2 = 1").select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("b"))
     return token_f1(left.join(right, "item_id"), "item_id", "a", "b").select("item_id", F.round("f1", 6).alias("f1"))
+
+
+@register("text_summary")
+def text_summary(spark, sf):
+    from tessellum.operators.summary import summarise
+
+    return summarise(table(spark, sf, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("id"), "text"), "id")
+
+
+@register("entity_classify")
+def entity_classify(spark, sf):
+    from tessellum.operators import entities
+
+    turns = table(spark, sf, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("id"), "text")
+    names = memories.name_candidates(turns, _STOP)
+    return entities.top_per_type(entities.classify(names, entities.signs(turns, names, "id")))
+
+
+@register("stale_sources", f"WITH {CHUNKS} SELECT DISTINCT source_file FROM chunks WHERE source_file NOT IN (SELECT source_file FROM chunks WHERE doc_id % 7 > 2)")
+def stale_sources(spark, sf):
+    c = chunks(spark, sf)
+    return ingest.stale(c, c.filter("doc_id % 7 > 2"))
+
+
+@register("resolve_source", f"WITH {CHUNKS}, f AS (SELECT DISTINCT source_file FROM chunks WHERE source_file LIKE '%/file_7.txt') SELECT source_file, CASE WHEN (SELECT count(*) FROM f) > 1 THEN 'ambiguous' ELSE 'suffix' END AS how FROM f")
+def resolve_source(spark, sf):
+    from tessellum.operators.reader import resolve_source as resolve
+
+    return resolve(chunks(spark, sf), "file_7.txt")
