@@ -38,9 +38,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write to Parquet in the shared folder and read back: cuts lineage and survives lost executors."""
+    """Write to Parquet in the shared folder and read back: cuts lineage and survives lost executors.
+
+    The tables of an application lie in a folder of its id, which may go once the application has ended.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessellum/{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tessellum/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

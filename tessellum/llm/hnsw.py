@@ -263,7 +263,9 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
             }
         )
 
-    searched = index.union(asked).groupBy("g", "dim", "shard", "block").applyInArrow(link, "node long, root long, found long")
+    # dealt by all four keys: a group's rows lie together by label already, and would all stay in the label's task
+    dealt = index.union(asked).repartition("g", "dim", "shard", "block")
+    searched = dealt.groupBy("g", "dim", "shard", "block").applyInArrow(link, "node long, root long, found long")
     links = materialise(searched)
     of_node = nodes.select("node", "copies", "g", "dim", "v")
     found = links.groupBy("node").agg(F.sum("found").alias("found"))
