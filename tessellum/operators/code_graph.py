@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessellum.functions.text import glob_regex
+from tessellum.operators.lineage import settled
 
 # Predicates of facts and the categories they belong to.
 CATEGORIES = {"implements": "implementations", "inherits": "subclasses", "extends": "extensions", "depends_on": "dependents", "references_project": "project_references"}
@@ -68,7 +69,7 @@ def reusable(facts: DataFrame, entity: str, max_depth: int = 3, platform: tuple[
     seen = facts.sparkSession.createDataFrame([(entity, 0)], "name string, depth int")
     frontier = seen
     for depth in range(1, max_depth + 1):
-        step = frontier.select(F.col("name").alias("own")).join(edges, "own").select("name").distinct().join(seen, "name", "left_anti").withColumn("depth", F.lit(depth))
+        step = settled(frontier.select(F.col("name").alias("own")).join(edges, "own").select("name").distinct().join(seen, "name", "left_anti").withColumn("depth", F.lit(depth)))
         seen, frontier = seen.union(step), step
     is_platform = F.lit(False)
     for word in platform:

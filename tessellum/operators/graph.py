@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessellum.operators.lineage import settled
+
 
 def nodes(chunks: DataFrame) -> DataFrame:
     """``(room, wings, halls, count, dates)``: sorted sets, the five latest dates; rooms '' and general and wing '' don't count."""
@@ -41,7 +43,7 @@ def traverse(room_nodes: DataFrame, start: str, max_hops: int = 2, limit: int =
         reach = frontier.withColumnRenamed("room", "parent").join(member.withColumnRenamed("room", "parent"), "parent").join(member, "wing")
         fresh = reach.join(found.select("room"), "room", "left_anti")
         via = fresh.groupBy("room", "parent").agg(F.sort_array(F.collect_set("wing")).alias("via"))
-        step = via.groupBy("room").agg(F.min_by("via", "parent").alias("connected_via")).select("room", F.lit(hop).alias("hop"), "connected_via")
+        step = settled(via.groupBy("room").agg(F.min_by("via", "parent").alias("connected_via")).select("room", F.lit(hop).alias("hop"), "connected_via"))
         found, frontier = found.union(step), step.select("room")
     return room_nodes.join(found, "room").select("room", "wings", "halls", "count", "hop", "connected_via").orderBy("hop", F.desc("count"), "room").limit(limit)
 

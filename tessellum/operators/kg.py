@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessellum.functions.temporal import in_window, instant
 from tessellum.functions.text import entity_id
+from tessellum.operators.lineage import settled
 
 TYPE_PREDICATES = ("inherits", "implements", "extends")
 FACT = ("subject", "predicate", "object", "valid_from", "valid_to", "confidence", "source_file")
@@ -135,7 +136,7 @@ def type_chain(triples: DataFrame, name: str, max_depth: int = 3, upward: bool =
     frontier, out = seen, None
     for depth in range(1, max_depth + 1):
         step = frontier.select(F.col("type").alias("own")).join(edges, "own").join(seen, "type", "left_anti")
-        step = step.groupBy("type").agg(F.min("predicate").alias("relationship")).select("type", "relationship", F.lit(depth).alias("depth"))
+        step = settled(step.groupBy("type").agg(F.min("predicate").alias("relationship")).select("type", "relationship", F.lit(depth).alias("depth")))
         out = step if out is None else out.union(step)
         seen, frontier = seen.union(step.select("type")), step.select("type")
     return out
