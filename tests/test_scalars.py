@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessellum.functions import text as T
-from tessellum.operators.manifests import csharp_relations, manifest_chunks
+from tessellum.operators.code import symbol
+from tessellum.operators.manifests import ansible_items, csharp_relations, helm_symbol, helm_values, manifest_chunks
 from tessellum.operators.routing import file_room
 
 
@@ -50,3 +51,17 @@ def test_manifests_and_csharp(spark):
     cs = "// class Z : Y\npublic sealed class A<T> : Base<Dictionary<string, List<int>>>, IThing where T : new()\n{ }\ninternal interface IB : IA, IC { }\npublic struct S : IEquatable<S> { }\nrecord R(int X) : Parent(X);"
     rows = csharp_relations(spark.createDataFrame([(cs,)], "text string")).collect()
     assert {tuple(r) for r in rows} == {("A", "inherits", "Base"), ("A", "implements", "IThing"), ("IB", "extends", "IA"), ("IB", "extends", "IC"), ("S", "implements", "IEquatable"), ("R", "inherits", "Parent")}
+
+
+def test_ansible_helm_ruby(spark):
+    f = lambda t: spark.createDataFrame([("f", t)], "path string, text string")
+    plays = ansible_items(f("---\n- name: 'Set up'\n  hosts: web\n- hosts: db\n  tasks:\n    - name: inner\n"), ["path"]).collect()
+    assert [(r.chunk_index, r.symbol_name) for r in plays] == [(0, "Set up"), (1, "db")]
+    assert [r.symbol_name for r in ansible_items(f("- name: Install\n- copy: x\n"), ["path"], "task", "nginx").collect()] == ["Install", "nginx"]
+    assert ansible_items(f(""), ["path"]).count() == 0
+    values = "# about a\na:\n" + "  k: v\n" * 300 + "b:\n" + "  k: v\n" * 300
+    assert [r.content[:9] for r in helm_values(f(values), ["path"]).collect()] == ["# about a", "b:\n  k: v"[:9]]
+    x = F.col("x")
+    assert one(spark, helm_symbol(x), "{{- if .x }}\nkind: Pod\nmetadata:\n  name: p\n") == "Pod/p" and one(spark, helm_symbol(x), "kind: Pod\n  name: {{ .n }}\n") == "Pod"
+    assert one(spark, helm_symbol(x, chart=True), 'name: "c"') == "HelmChart/c"
+    assert tuple(one(spark, symbol(x, F.lit("ruby")), "  def self.go!\n")) == ("go!", "method")
