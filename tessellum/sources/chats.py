@@ -15,6 +15,9 @@ COMMAND_CHARS, INPUT_CHARS, RESULT_CHARS, RESULT_LINES, HEAD_LINES, TAIL_LINES,
 FILE_TOOLS, SEARCH_TOOLS = ("Read", "Edit", "Write"), ("Grep", "Glob")
 NOISE = re.compile(r"<system-reminder>.*?</system-reminder>", re.S)
 
+# The types of turns in the shape that starts with ``session_metadata``.
+CLI_ROLES = {"user": "user", "gemini": "assistant"}
+
 Turn = tuple[str, str]
 
 
@@ -124,7 +127,7 @@ def _after_metadata(records: list[dict]) -> Iterator[Turn]:
     begun = False
     for r in records:
         begun = begun or r.get("type") == "session_metadata"
-        role = {"user": "user", "gemini": "assistant"}.get(r.get("type", ""))
+        role = CLI_ROLES.get(r.get("type", ""))
         if not (begun and role) or not isinstance(r.get("content"), list):
             continue
         texts = [b["text"] for b in r["content"] if isinstance(b, dict) and b.get("type") == "text" and isinstance(b.get("text"), str) and b["text"]]
