@@ -20,7 +20,7 @@ from tessellum.llm.licence_templates import TEMPLATES
 BITS = 18
 ORDERS = (1, 2, 3)
 WINDOW, STRIDE = 40, 20
-#: Documents whose paragraphs teach the unknown class, about, and paragraphs of them at most.
+#: Documents whose paragraphs teach the unknown class, about, and paragraphs of them (by a hash) at most.
 UNKNOWN_DOCS = 400
 UNKNOWN_PARAGRAPHS = 6000
 #: Variants made of each template.
@@ -138,7 +138,7 @@ def train(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", templ
     templates = templates or TEMPLATES
     total = docs.count()
     u = F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) / float(1 << 30)
-    lines = docs.filter(F.col(text_col).isNotNull() & (u < min(1.0, unknown_docs / max(1, total)))).select(F.explode(F.slice(F.split(F.col(text_col), "\n"), 1, 64)).alias("line"))
+    lines = docs.filter(F.col(text_col).isNotNull() & (u < min(1.0, unknown_docs / max(1, total)))).select(F.explode(F.split(F.col(text_col), "\n")).alias("line"))
     lines = lines.filter(F.length("line").between(1, 2000)).orderBy(F.xxhash64("line"), "line").limit(UNKNOWN_PARAGRAPHS)
     corpus = [r[0].encode("utf-8", "surrogatepass") for r in lines.collect()]
     pairs = {f: [_pairs(t.encode()) for t in texts] for f, texts in templates.items()}
