@@ -23,8 +23,8 @@ from tessellum.llm.common import blocks, table
 #: Where the public model lies; a parameter everywhere.
 MODEL_PATH = os.environ.get("TESSELLUM_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 SPACE = "▁"
-#: Segments that a worker remembers (and four times as many beginnings); a memo only, cleared when full.
-MEMO = 3 << 17
+#: Segments and beginnings of segments that a worker remembers, about 220 MB; a memo only, cleared when full.
+MEMO, MEMO_STARTS = 3 << 17, 3 << 18
 #: Ids of one result batch, about.
 BATCH_IDS = 1 << 19
 
@@ -115,7 +115,7 @@ class Pieces:
                     i += 1
                 else:
                     j += 1
-            if len(self.apart) >= 4 * MEMO:
+            if len(self.apart) >= MEMO_STARTS:
                 self.apart.clear()
             self.apart[a, b] = known
         return known
@@ -181,8 +181,9 @@ class Pieces:
         if n > 64:
             return [i for part in self.stream(segment[k : k + 4096] for k in range(0, n, 4096)) for i in part]
         # a boundary's surviving piece depends on what stands before it only: known beginnings aren't searched again
-        if len(self.ends) >= 4 * MEMO or len(self.memo) >= MEMO:
+        if len(self.ends) >= MEMO_STARTS:
             self.ends.clear()
+        if len(self.memo) >= MEMO:
             self.memo.clear()
         ends, last = self.ends, [None]
         for end in range(1, n + 1):
