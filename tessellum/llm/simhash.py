@@ -16,13 +16,16 @@ from pyspark.sql import functions as F
 
 from tessellum.llm.common import OWN, blocks, materialise, table
 from tessellum.llm.components import connected_components
+from tessellum.llm.shingle_sets import majority_bits, similar_components
 
 SHINGLE = 3
 SEED = 42
 DISTANCE = 2
 #: Fingerprints of one bucket that are compared pair by pair; fuller buckets are linked through midpoints, in proportion to their size.
 HOT_BUCKET = 256
-_LANES = np.uint64(0x0101010101010101)
+#: The pipeline's stage: words of a shingle, least similarity of shingle sets, and bits that fingerprints of candidates
+#: may differ in: at the least similarity a bit differs with a chance of 0.19 at most, more than 30 bits of 64 then differ with one of 10^-7.
+STAGE_SHINGLE, STAGE_SIMILARITY, STAGE_DISTANCE = 5, 0.8, 30
 
 
 def fingerprints(texts: list[bytes | None], words_of_shingle: int = SHINGLE) -> np.ndarray:
@@ -47,19 +50,7 @@ def fingerprints(texts: list[bytes | None], words_of_shingle: int = SHINGLE) ->
     for lo in range(0, len(s), 1 << 16):
         part = slice(lo, lo + (1 << 16))
         h[part] = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(s[part].tolist(), e[part].tolist(), strict=True)), np.uint64, len(s[part]))
-    # ones of each bit: byte lanes hold sums of up to 255 hashes
-    chunks = -(-shingles // 255)
-    chunk_row = np.repeat(np.arange(len(rows)), chunks)
-    begin = np.repeat(at, chunks) + 255 * (np.arange(int(chunks.sum())) - np.repeat(np.cumsum(chunks) - chunks, chunks))
-    first_chunk = np.cumsum(chunks) - chunks
-    result = np.zeros(len(rows), np.uint64)
-    for bit in range(8):
-        lanes = np.add.reduceat((h >> np.uint64(bit)) & _LANES, begin)
-        ones = np.add.reduceat(lanes.view(np.uint8).reshape(-1, 8).astype(np.int64), first_chunk, axis=0)
-        majority = 2 * ones > shingles[:, None]
-        for byte in range(8):
-            result |= majority[:, byte].astype(np.uint64) << np.uint64(8 * byte + bit)
-    out[rows] = result
+    out[rows] = majority_bits(h, shingles)
     return out
 
 
@@ -221,8 +212,11 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group the document with the smallest id stays, one row of it; rows without an id stay."""
-    groups = simhash_components(docs)
+    """Pipeline stage: of each group the document with the smallest id stays, one row of it; rows without an id stay.
+
+    Groups hold all pairs of documents whose sets of five-word shingles have a similarity of 0.8 and more.
+    """
+    groups = similar_components(docs, "doc_id", "text", STAGE_SHINGLE, STAGE_DISTANCE, STAGE_SIMILARITY)
     gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
     with_id = docs.filter("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti")
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy(*[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")], F.xxhash64("text")))
