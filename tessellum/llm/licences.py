@@ -30,6 +30,10 @@ STEPS = 200
 FALSE_RATE = 0.001
 #: Share of word pairs (of the shorter side) that a paragraph and a template must have in common.
 MIN_OVERLAP = 0.6
+#: Words that may stand between matched ones of one place.
+GAP = 4
+#: Share of a place's word pairs that families of higher probability may have taken already.
+MOST_TAKEN = 0.5
 UNKNOWN = "unknown"
 _STRIP = b"\"'()[]{}<>.,;:!?*#/-_|"
 
@@ -89,6 +93,34 @@ class LicenceModel:
     threshold: float
     pairs: dict[str, list[set]] = field(default_factory=dict)
 
+    def matches(self, paragraph: bytes) -> dict[str, list[tuple[float, int, int, set]]]:
+        """Of each family (overlap, first word, end, word pairs) of the places that resemble one of its templates.
+
+        The overlap is the share of the word pairs of the shorter of paragraph and template that both have. A template
+        that comes again after other words has a place of its own each time.
+        """
+        words = [(k, x) for k, x in ((k, x.strip(_STRIP)) for k, x in enumerate(paragraph.lower().split())) if x]
+        own = _pairs(paragraph)
+        steps = [((a, b), i, j) for (i, a), (j, b) in zip(words, words[1:], strict=False)] or [(tuple(x for _, x in words), k, k) for k, _ in words[:1]]
+        out: dict[str, list[tuple[float, int, int, set]]] = {}
+        for family, templates in self.pairs.items():
+            places: list[tuple[float, int, int, set]] = []
+            for t in templates:
+                least = max(1, min(len(own), len(t)))
+                if len(own & t) < MIN_OVERLAP * least:
+                    continue
+                runs: list[list] = []
+                for step in (x for x in steps if x[0] in t):
+                    if runs and step[1] - runs[-1][-1][2] <= GAP:
+                        runs[-1].append(step)
+                    else:
+                        runs.append([step])
+                whole = [r for r in runs if len({x[0] for x in r}) >= MIN_OVERLAP * least] or [[x for r in runs for x in r]]
+                places += [(len({x[0] for x in r}) / least, r[0][1], r[-1][2] + 1, {x[0] for x in r}) for r in whole]
+            if places:
+                out[family] = places
+        return out
+
     def overlap(self, family: str, paragraph: bytes) -> float:
         """Largest share of the word pairs of the shorter of paragraph and template that both have."""
         own = _pairs(paragraph)
@@ -187,7 +219,7 @@ def train(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", templ
 
 def scan(docs: DataFrame, model: LicenceModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Findings ``(id, line, family, probability, overlap, confirmed, paragraph)`` of whole texts, by document and line
-    (counted from 0); a family counts once a line, by its best paragraph. Documents without a finding, null and empty
+    (counted from 0); each place of a family in a line counts once, by its best paragraph. Documents without a finding, null and empty
     texts give no row; repeated rows and null ids give their own."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -199,7 +231,8 @@ def scan(docs: DataFrame, model: LicenceModel, id_col: str = "doc_id", text_col:
         for b in blocks(batches, "_text"):
             raw = b.column(1).cast(pa.binary()).to_pylist()
             lines = [(i, j, x) for i, t in enumerate(raw) if t for j, x in enumerate(t.split(b"\n")) if x and not x.isspace()]
-            found: dict[tuple, tuple] = {}
+            spans: dict[tuple, list] = {}
+            doubtful: dict[tuple, tuple] = {}
             if lines:
                 h, line = _words([x for _, _, x in lines])
                 if len(h):
@@ -225,18 +258,38 @@ def scan(docs: DataFrame, model: LicenceModel, id_col: str = "doc_id", text_col:
                         li, win = int(windows[w] >> 32), int(windows[w] & 0xFFFFFFFF)
                         i, j, x = lines[li]
                         words = _clean(x).split()[win * STRIDE : win * STRIDE + WINDOW]
-                        family = m.families[best[w]]
                         paragraph = b" ".join(words)
-                        overlap = m.overlap(family, paragraph)
-                        row = (float(p[w, best[w]]), overlap, paragraph)
-                        if (i, j, family) not in found or row > found[i, j, family]:
-                            found[i, j, family] = row
+                        matched = m.matches(paragraph)
+                        taken: set = set()
+                        confirmed = False
+                        # the likeliest first; a family that resembles nothing but what these matched is none of its own
+                        for f in np.argsort(-p[w, 1:], kind="stable") + 1:
+                            family = m.families[f]
+                            own = [x for x in matched.get(family, []) if len(x[3] & taken) <= MOST_TAKEN * len(x[3])]
+                            for overlap, start, end, _ in own:
+                                spans.setdefault((i, j, family), []).append((win * STRIDE + start, win * STRIDE + end, (float(p[w, f]), overlap, paragraph)))
+                            taken = taken.union(*[x[3] for x in own])
+                            confirmed |= bool(own)
+                        if not confirmed:
+                            family = m.families[best[w]]
+                            row = (float(p[w, best[w]]), m.overlap(family, paragraph), paragraph)
+                            doubtful[i, j, family] = max(row, doubtful.get((i, j, family), row))
+            found = {(*key, 0): row for key, row in doubtful.items() if key not in spans}
+            for key, places in spans.items():
+                end = -1
+                for start, stop, row in sorted(places):
+                    if start >= end:
+                        at = (*key, start)
+                        found[at] = row
+                    else:
+                        found[at] = max(found[at], row)
+                    end = max(end, stop)
             order = sorted(found)
             yield pa.RecordBatch.from_arrays(
                 [
-                    b.column(0).take(pa.array([i for i, _, _ in order], pa.int64())),
-                    pa.array([j for _, j, _ in order], pa.int64()),
-                    pa.array([f for _, _, f in order], pa.string()),
+                    b.column(0).take(pa.array([i for i, *_ in order], pa.int64())),
+                    pa.array([j for _, j, *_ in order], pa.int64()),
+                    pa.array([f for _, _, f, _ in order], pa.string()),
                     pa.array([found[o][0] for o in order], pa.float64()),
                     pa.array([found[o][1] for o in order], pa.float64()),
                     pa.array([found[o][1] >= MIN_OVERLAP for o in order], pa.bool_()),
