@@ -7,7 +7,8 @@ merges them and builds its own segment of the filter.
 
 The model's probability is an interpolation, s p2(w|u) + (1 - s) p1(w), with p1 add-one over words, p2 the quantised
 count over the context's, and s the share of training bigrams that occur again (Good-Turing's seen mass), less for rare
-contexts. Where word counts and filter would pass MODEL_BYTES, they aren't broadcast: probes are joined to the counts.
+contexts. Where word counts and filter would pass MODEL_BYTES, they aren't broadcast: each probe goes to the task that
+holds its hash range's segment, and the scores are the same.
 """
 
 from __future__ import annotations
@@ -83,6 +84,23 @@ def filter_segment(keys: np.ndarray, counts: np.ndarray) -> bytes:
     return out.tobytes()
 
 
+def segment_levels(keys: np.ndarray, segment: bytes) -> np.ndarray:
+    """Levels of keys of one hash range by its segment; without one 0."""
+    out = np.zeros(len(keys), np.int64)
+    bits = np.frombuffer(segment, np.uint8)
+    alive = np.arange(len(keys) if len(bits) else 0)
+    for level in range(1, MAX_LEVEL + 1):
+        if not len(alive):
+            break
+        keep = np.ones(len(alive), bool)
+        for at in _positions(keys[alive], level, 8 * len(bits)):
+            at = at.astype(np.int64)
+            keep &= (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+        alive = alive[keep]
+        out[alive] = level
+    return out
+
+
 @dataclass
 class BloomModel:
     words: bytes  # sorted uint64 hashes
@@ -188,13 +206,14 @@ def count_ranges(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, in
     return runs.groupBy("kind", "part").applyInArrow(merge, "kind int, part long, n long, total long, once long, size long, first binary, second binary"), shift
 
 
-def train(docs: DataFrame, text_col: str = "text", model_bytes: int = MODEL_BYTES) -> BloomModel:
-    """Count all of ``docs``. Null texts count as empty: one end. Over ``model_bytes`` the model has sums but no tables."""
+def train(docs: DataFrame, text_col: str = "text", model_bytes: int = MODEL_BYTES) -> tuple[BloomModel, DataFrame]:
+    """Count all of ``docs``: the model and the table of counts and segments by hash range that it comes from. Null texts
+    count as empty: one end. Over ``model_bytes`` the model has sums but no tables."""
     counted, shift = count_ranges(docs, text_col)
     counted = materialise(counted)
     sums = {r["kind"]: r for r in counted.groupBy("kind").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("once").alias("once"), F.sum("size").alias("size")).collect()}
     if not sums:
-        return BloomModel(b"", b"", b"", np.zeros((1 << 64 - shift) + 1, np.int64), shift, 0, 0, 0, 0.0)
+        return BloomModel(b"", b"", b"", np.zeros((1 << 64 - shift) + 1, np.int64), shift, 0, 0, 0, 0.0), counted
     sizes = np.zeros((1 << 64 - shift) + 1, np.int64)
     words: list[bytes] = []
     counts: list[bytes] = []
@@ -214,7 +233,7 @@ def train(docs: DataFrame, text_col: str = "text", model_bytes: int = MODEL_BYTE
     # each document starts and ends once
     start_count = int(model.count(np.array([END]))[0]) if model.words else docs.count()
     model.start_count = start_count
-    return model
+    return model, counted
 
 
 def score(docs: DataFrame, model: BloomModel, keep: list[str], text_col: str = "text") -> DataFrame:
@@ -232,24 +251,35 @@ def score(docs: DataFrame, model: BloomModel, keep: list[str], text_col: str = "
     return out.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-def _gram_rows(docs: DataFrame, text_col: str) -> DataFrame:
-    """(hash, n) of words and bigrams, summed over all documents."""
+def _word_rows(counted: DataFrame) -> DataFrame:
+    """(gram, n) of the words' counts."""
 
-    def count(batches):
-        for b in blocks(batches, text_col):
-            tokens, first = tokens_of(b.column(0))
-            keys, n = np.unique(np.concatenate([tokens, pair_hash(contexts(tokens, first), tokens)]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["gram", "n"])
+    def run(batches):
+        for b in batches:
+            for key, n in zip(b.column(0), b.column(1), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(key.as_buffer(), np.int64)), pa.array(np.frombuffer(n.as_buffer(), np.uint32).astype(np.int64))], names=["gram", "n"])
+
+    return counted.filter("kind = 0").select("first", "second").mapInArrow(run, "gram long, n long")
+
+
+def _routed_levels(keys: DataFrame, counted: DataFrame, shift: int) -> DataFrame:
+    """(gram, level) of bigram hashes, by the segment of their range."""
 
-    return docs.select(F.col(text_col)).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    def probe(asked: pa.Table, held: pa.Table) -> pa.Table:
+        if not asked.num_rows:
+            return pa.table({"gram": pa.array([], pa.int64()), "level": pa.array([], pa.int64())})
+        gram = asked.column("gram").to_numpy()
+        level = segment_levels(gram.view(np.uint64), held.column("first")[0].as_py() if held.num_rows else b"")
+        return pa.table({"gram": pa.array(gram), "level": pa.array(level)})
 
+    asked = keys.select("gram", F.shiftrightunsigned("gram", shift).alias("part")).groupBy("part")
+    return asked.cogroup(counted.filter("kind = 1").select("part", "first").groupBy("part")).applyInArrow(probe, "gram long, level long")
 
-def score_by_join(docs: DataFrame, training: DataFrame, model: BloomModel, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The rows of ``score`` without a broadcast: the probes of each document are joined to counts of any number.
 
-    Counts are quantised as the filter does, without its false positives.
-    """
-    grams = materialise(_gram_rows(training, text_col))
+def score_by_join(docs: DataFrame, counted: DataFrame, model: BloomModel, keep: list[str], text_col: str = "text") -> DataFrame:
+    """The rows of ``score`` without a broadcast: probes of bigrams go to the segments of their ranges, and words to their
+    counts."""
+    grams = materialise(_word_rows(counted))
     rows = materialise(docs.select(*[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)], F.col(text_col).alias("_text"), F.monotonically_increasing_id().alias("_row")))
 
     def probes(batches):
@@ -260,11 +290,13 @@ def score_by_join(docs: DataFrame, training: DataFrame, model: BloomModel, keep:
             yield pa.RecordBatch.from_arrays([pa.array(ids), *[pa.array(x.view(np.int64)) for x in (before, tokens, pair_hash(before, tokens))]], names=["_row", "u", "w", "uw"])
 
     wanted = rows.select("_row", "_text").mapInArrow(probes, "_row long, u long, w long, uw long").groupBy("_row", "u", "w", "uw").agg(F.count("*").alias("times"))
-    for name in ("u", "w", "uw"):
+    wanted = materialise(wanted)
+    levels = materialise(_routed_levels(wanted.select(F.col("uw").alias("gram")).distinct(), counted, model.shift))
+    wanted = wanted.join(levels.withColumnRenamed("gram", "uw"), "uw")
+    for name in ("u", "w"):
         wanted = wanted.join(grams.select(F.col("gram").alias(name), F.col("n").alias(f"n_{name}")), name, "left")
     n_u = F.when(F.col("u") == F.lit(int(START.view(np.int64))), F.lit(model.start_count)).otherwise(F.coalesce("n_u", F.lit(0)))
-    low = F.pow(F.lit(2.0), F.floor(F.log2("n_uw")))
-    expected = F.coalesce((F.lit(3.0) * low - 1) / 2, F.lit(0.0))
+    expected = F.when(F.col("level") > 0, (F.lit(3.0) * F.pow(F.lit(2.0), F.col("level") - 1) - 1) / 2).otherwise(0.0)
     size = float(model.total + model.distinct + 1)
     p1 = (F.coalesce("n_w", F.lit(0)) + 1) / F.lit(size)
     weight = F.lit(model.seen) * n_u / (n_u + 1)
@@ -276,10 +308,10 @@ def score_by_join(docs: DataFrame, training: DataFrame, model: BloomModel, keep:
 
 
 def lm_scores(docs: DataFrame, training: DataFrame, keep: list[str], text_col: str = "text", model_bytes: int = MODEL_BYTES) -> DataFrame:
-    """Train on ``training`` and score ``docs``: by the broadcast filter up to ``model_bytes``, else by joins."""
-    model = train(training, text_col, model_bytes)
+    """Train on ``training`` and score ``docs``: by the broadcast filter up to ``model_bytes``, else by segments that stay where they are."""
+    model, counted = train(training, text_col, model_bytes)
     if model.total and not model.words:
-        return score_by_join(docs, training, model, keep, text_col)
+        return score_by_join(docs, counted, model, keep, text_col)
     return score(docs, model, keep, text_col)
 
 
