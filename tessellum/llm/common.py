@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
+import tempfile
 import uuid
 
 import numpy as np
@@ -27,9 +30,15 @@ def fold(column: str | Column, modulus: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors share; /tmp only where none is set (local tests)."""
+    """The folder of spark.checkpoint.dir, which all executors share. A temporary one of this machine only where none is
+    set and everything runs in one process (local tests); on a cluster that is an error."""
     conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return (conf or "file:///tmp/tessellum-checkpoints").rstrip("/")
+    if not conf:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all machines share (master {master})")
+        conf = f"file://{tempfile.gettempdir()}/tessellum-checkpoints"
+    return conf.rstrip("/")
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -70,8 +79,22 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offs - offs[0]
 
 
+def give_back() -> None:
+    """Free memory goes back to the system, so that a worker that waits for its next task holds little."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def blocks(batches, column: str, limit: int = BLOCK_BYTES, rows: int = 4096):
     """Row slices of the batches with at most ``limit`` bytes of ``column`` each (or one row), and at most ``rows`` rows."""
+    yield from _slices(batches, column, limit, rows)
+    give_back()
+
+
+def _slices(batches, column: str, limit: int, rows: int):
     for batch in batches:
         n = batch.num_rows
         if not n:

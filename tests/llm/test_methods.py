@@ -162,20 +162,44 @@ def test_tokenizer_is_the_library_s():
     import sentencepiece
 
     lib = sentencepiece.SentencePieceProcessor(model_file=sp.MODEL_PATH)
-    p = sp.Pieces.load(sp.read_model())
+    p = sp.read_pieces(sp.MODEL_PATH)
     rng = np.random.default_rng(7)
     bits = ["a", "th", "the", "日本", "😀", " ", "  ", "\n", "ing", "É", "\t", "0", "==", "    ", "import "]
+    texts = []
     for _ in range(300):
         text = "".join(bits[i] for i in rng.integers(0, len(bits), rng.integers(0, 120)))
+        texts.append(text)
         ids = p.encode(text)
         assert ids == lib.encode(text) and p.decode(ids) == text
         marked = "▁" + text.replace(" ", "▁")
         if text:
             commits = list(p.stream(marked[k : k + 5] for k in range(0, len(marked), 5)))
             assert [i for c in commits for i in c] == ids
+    for _ in range(2):  # the second time words and pairs are remembered
+        ids, counts = p.encode_texts(texts)
+        assert counts.tolist() == [len(lib.encode(t)) for t in texts] and ids.tolist() == [i for t in texts for i in lib.encode(t)]
     assert p.decode(p.encode("a ▁ b▁")) == "a ▁ b▁"
     whole = "x" * 20_000
     assert p.encode(whole) == lib.encode(whole) and len(list(p.stream(iter([whole])))) > 50
+    assert len(list(p.stream(iter(["日本語" * 5000])))) > 50
+
+
+@pytest.mark.parametrize("limit", [1, 7, 64])
+def test_slices_and_tables_change_no_ids(monkeypatch, limit):
+    rng = np.random.default_rng(17)
+    texts = [None, "", " ", "▁", "a\n\n b", *["".join(chr(c) for c in rng.choice([32, 97, 101, 104, 116, 233, 10, 0x65E5, 0x1F600, 0x2581], rng.integers(1, 200))) for _ in range(80)]]
+    want, sizes = sp.read_pieces().encode_texts(texts)
+    for name, value in (("SLICE", limit), ("TOGETHER", limit), ("ARENA", limit)):
+        monkeypatch.setattr(sp, name, value)
+    p = sp.Pieces.load(open(sp.MODEL_PATH, "rb").read())
+    got, counts = p.encode_texts(texts)
+    assert got.tolist() == want.tolist() and counts.tolist() == sizes.tolist()
+    import pyarrow as pa
+
+    assert p.gives(got, counts, pa.array(texts)).all()
+    wrong = got.copy()
+    wrong[-1] = wrong[-1] + 1
+    assert p.gives(wrong, counts, pa.array(texts)).tolist() == [True] * (len(texts) - 1) + [False]
 
 
 def test_weighted_jaccard():
