@@ -1,16 +1,22 @@
 """Mixing sources to target weights (7), with soft membership; DataFrame functions only.
 
-A Gaussian naive Bayes classifier, learned from a labelled table, gives each document a posterior over domains. With n
-tokens, posterior p and rate r of each document, the expected tokens of domain d are sum(r n p[d]). The rates are the
-nonnegative ones nearest to 1 (least squares, weighted by tokens) whose expected domain totals match the targets. They
-are fitted by projected gradient steps: the gradient of a document's rate is p . g with g the domains' residuals, so a
-rate is max(0, 1 - p . theta), where theta sums the (preconditioned) residuals of all steps. Each step is one aggregation
-to as many sums as there are domains (and pairs of them); no step holds a rate of a document.
+A naive Bayes classifier over hashed n-grams, learned from a labelled table, gives each document a posterior over domains:
+its features are the words and the character pairs at their beginnings and ends. With n tokens, posterior p and rate r of
+each document, the expected tokens of domain d are sum(r n p[d]). Nonnegative rates are fitted to the targets t by
+projected gradient steps on the least-squares objective (A r - t)' M (A r - t) / 2, where A r are the domains' expected
+tokens: r becomes max(0, r - p . v) with v = M (A r - t). M is the (pseudo-)inverse of sum(n p p') over all documents, so
+a step of one is the reciprocal of the gradient's Lipschitz constant and the objective falls at every step, whatever the
+targets; where no mixture reaches them, the steps end at the nearest one. A longer step, scaled by the documents whose
+rates are above zero alone, is tried first and taken back unless it lowers the objective more than by half.
+
+A step is one aggregation to as many sums as there are domains. A document's rate is a function of its posterior and the
+steps so far, so no rate is held anywhere but in the table that is written now and then to keep that function short.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import logging
+from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,93 +24,165 @@ from pyspark.sql import functions as F
 
 from tessellum.llm.common import OWN, materialise, table
 
-#: Strings whose share of a text's bytes is a feature: letters and pairs that tell languages apart, and marks of junk.
-MARKS = ["th", "ei", "ou", "ci", "ß", "ä", "ü", "ö", "é", "è", "ñ", "ó", "í", "|", "!!", "%", "$", "#", "*", "."]
-MAX_DOMAINS = 64
-#: Steps of the fit at most; it ends when every domain is within TOLERANCE of all tokens.
-STEPS = 60
-TOLERANCE = 1e-5
-#: A feature's variance is at least this.
-MIN_VARIANCE = 1e-4
+#: Hash buckets of the features, and domains at most: they bound the model, which is a literal of the plan.
+BUCKETS, MAX_DOMAINS = 2048, 64
+#: Labelled documents of a domain to learn from, about (a hash of the id picks them from all rows).
+TRAIN_DOCS = 4000
+ALPHA = 0.5
+#: The posterior is that of so many average features of a text; the evidence of whole texts would make it 0 or 1.
+EVIDENCE = 100.0
+#: Steps at most, and steps between two tables of rates. The fit ends when every domain is within TOLERANCE of all tokens,
+#: or when a step lowers the objective by less than STALLED of it.
+STEPS, SETTLE = 60, 12
+TOLERANCE, STALLED = 1e-5, 1e-4
+_log = logging.getLogger(__name__)
+
+
+def words_of(text: str = "text") -> Column:
+    """The words ``[^\\x20\\x09-\\x0D]+`` of a text; none of null."""
+    return F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
 def n_words(text: str = "text") -> Column:
     """Number of words of a text; null counts as empty."""
-    return F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+    return F.size(words_of(text)).cast("long")
+
+
+def features(words: Column) -> Column:
+    """Buckets of a text's features, from the array of its words: each word, its first two characters and its last two."""
+
+    def bucket(x: Column, kind: int) -> Column:
+        return F.pmod(F.hash(x, F.lit(kind)), F.lit(BUCKETS))
+
+    return F.concat(
+        F.transform(words, lambda w: bucket(w, 0)),
+        F.transform(words, lambda w: bucket(F.substring(w, 1, 2), 1)),
+        F.transform(words, lambda w: bucket(F.substring(w, -2, 2), 2)),
+    )
+
+
+def _numbers(values: list[float] | np.ndarray) -> Column:
+    """A constant array, as short text that the optimizer folds to a literal."""
+    return F.split(F.lit(",".join(f"{v:.4f}".rstrip("0").rstrip(".") for v in values)), ",").cast("array<double>")
+
 
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, b: a + b)
 
-def features(text: str = "text") -> Column:
-    """Array of the square roots of the marks' shares of the text's bytes; zeros for empty and null texts."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    size = F.octet_length(t)
-    share = [(size - F.octet_length(F.replace(t, F.lit(m), F.lit("")))) / F.greatest(size, F.lit(1)) for m in MARKS]
-    return F.array(*[F.sqrt(s) for s in share])
+
+def _looked_up(at: Column, values: Column) -> Column:
+    """The sum of the values at these places."""
+    return F.aggregate(at, F.lit(0.0), lambda a, b: a + F.get(values, b))
 
 
 @dataclass
 class DomainModel:
     domains: list[str]
     log_prior: list[float]
-    mean: list[list[float]]
-    variance: list[list[float]]
-
-    def posterior(self, x: Column) -> Column:
-        """Array of the domains' probabilities, from a column of features that is evaluated once."""
-
-        def soft(v: Column) -> Column:
-            logits = []
-            for prior, mean, var in zip(self.log_prior, self.mean, self.variance, strict=True):
-                at = prior - 0.5 * sum(np.log(var))
-                pairs = F.zip_with(v, F.array(*[F.lit(float(m)) for m in mean]), lambda a, m: (a - m) * (a - m))
-                terms = F.zip_with(pairs, F.array(*[F.lit(float(0.5 / s)) for s in var]), lambda d, s: d * s)
-                logits.append(F.lit(float(at)) - F.aggregate(terms, F.lit(0.0), lambda a, b: a + b))
-            return F.array(*logits)
-
-        bound = F.transform(F.array(x), soft)  # a lambda's argument is evaluated once
+    weight: np.ndarray  # (domains, buckets): log-probabilities, less the bucket's mean
+
+    def posterior(self, buckets: Column) -> Column:
+        """Array of the domains' probabilities, from a column of features that is evaluated once; the priors without features."""
+
+        def logits(at: Column) -> Column:
+            share = F.least(F.lit(1.0), F.lit(EVIDENCE) / F.greatest(F.size(at), F.lit(1)))
+            sums = [_looked_up(at, _numbers(w)) for w in self.weight]
+            return F.array(*[F.lit(float(prior)) + share * s for prior, s in zip(self.log_prior, sums, strict=True)])
+
+        bound = F.transform(F.array(buckets), logits)  # a lambda's argument is evaluated once
         exps = F.transform(bound, lambda z: F.transform(z, lambda a: F.exp(a - F.array_max(z))))
-        return F.transform(exps, lambda e: F.transform(e, lambda a: a / F.aggregate(e, F.lit(0.0), lambda s, b: s + b)))[0]
+        return F.transform(exps, lambda e: F.transform(e, lambda a: a / _sum(e)))[0]
 
 
-def learn(labelled: DataFrame, x_col: str = "x", domain_col: str = "domain") -> DomainModel:
-    """Means and variances of all labelled rows' features, in one aggregation; null domains teach nothing."""
-    k = len(MARKS)
-    x = [F.col(x_col)[i] for i in range(k)]
-    rows = labelled.filter(F.col(domain_col).isNotNull() & F.col(x_col).isNotNull()).groupBy(domain_col).agg(F.count("*").alias("n"), F.array(*[F.avg(c) for c in x]).alias("m"), F.array(*[F.var_pop(c) for c in x]).alias("s"))
-    got = sorted(rows.limit(MAX_DOMAINS + 1).collect(), key=lambda r: r[0])
+def learn(labelled: DataFrame, id_col: str = "id", text_col: str = "text", domain_col: str = "domain", train_docs: int = TRAIN_DOCS) -> DomainModel:
+    """Learn from about ``train_docs`` rows of each domain; null ids and domains teach nothing; equal counts keep the
+    order of the domains' names, and no result depends on the order of rows."""
+    rows = labelled.filter(F.col(domain_col).isNotNull() & F.col(id_col).isNotNull())
+    got = sorted(rows.groupBy(domain_col).count().limit(MAX_DOMAINS + 1).collect(), key=lambda r: r[0])
     if len(got) > MAX_DOMAINS:
         raise ValueError(f"over {MAX_DOMAINS} domains")
-    total = sum(r["n"] for r in got)
-    return DomainModel([str(r[0]) for r in got], [float(np.log(r["n"] / total)) for r in got], [list(r["m"]) for r in got], [[max(v, MIN_VARIANCE) for v in r["s"]] for r in got])
+    if not got:
+        return DomainModel([], [], np.zeros((0, BUCKETS)))
+    names, sizes = [r[0] for r in got], np.array([r[1] for r in got], float)
+    rate = F.create_map(*[F.lit(x) for name, n in zip(names, sizes, strict=True) for x in (name, min(1.0, train_docs / n))])
+    at = F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) / float(1 << 30)
+    picked = rows.filter(at < rate[F.col(domain_col)])
+    # at most MAX_DOMAINS * BUCKETS sums come to the driver
+    sums = picked.select(F.col(domain_col).alias("d"), F.explode(features(words_of(text_col))).alias("b")).groupBy("d", "b").count().collect()
+    counts, place = np.zeros((len(names), BUCKETS)), {d: k for k, d in enumerate(names)}
+    for r in sums:
+        counts[place[r["d"]], r["b"]] = r["count"]
+    logs = np.log((counts + ALPHA) / (counts.sum(axis=1, keepdims=True) + ALPHA * BUCKETS))
+    return DomainModel([str(d) for d in names], np.log(sizes / sizes.sum()).tolist(), logs - logs.mean(axis=0))
+
+
+def rate_of(p: Column, steps: list[list[float]], start: Column | None = None) -> Column:
+    """The rate of a posterior after these steps: from one, or from ``start``."""
+    start = F.lit(1.0) if start is None else start
+    if not steps:
+        return start
+
+    def step(r: Column, v: Column) -> Column:
+        return F.greatest(F.lit(0.0), r - _sum(F.zip_with(p, v, lambda a, b: a * b)))
+
+    return F.aggregate(F.array(*[F.array(*[F.lit(float(x)) for x in v]) for v in steps]), start, step)
 
 
-def rate_of(p: Column, theta: list[float]) -> Column:
-    dot = F.aggregate(F.zip_with(p, F.array(*[F.lit(float(t)) for t in theta]), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    return F.greatest(F.lit(0.0), 1.0 - dot)
+@dataclass
+class Fit:
+    steps: list[list[float]] = field(default_factory=list)
+    #: What the expected tokens of each domain have over its target, as shares of all tokens.
+    gap: list[float] = field(default_factory=list)
+    met: bool = True
 
 
-def fit_rates(soft: DataFrame, weights: list[float], steps: int = STEPS, tolerance: float = TOLERANCE) -> list[float]:
-    """theta for documents (``n`` tokens, ``p`` posterior), so that expected domain tokens match ``weights`` of all tokens.
+def fit_rates(soft: DataFrame, weights: list[float], steps: int = STEPS, tolerance: float = TOLERANCE) -> Fit:
+    """Steps for documents (``n`` tokens, ``p`` posterior), so that expected domain tokens match ``weights`` of all tokens.
 
-    Domains without any expected tokens can't match; the others get as near as nonnegative rates come.
+    The result says how far each domain is from its target. Without tokens there are no steps.
     """
     d = len(weights)
-    want, theta = np.array(weights) / sum(weights), np.zeros(d)
-    for _ in range(steps):
-        rated = soft.select("n", "p", rate_of(F.col("p"), theta.tolist()).alias("r"))
+    want, fit = np.array(weights, float) / sum(weights), Fit()
+    cells = [(i, j) for i in range(d) for j in range(i, d)]
+
+    def look(rated: DataFrame) -> tuple[float, np.ndarray, np.ndarray]:
+        """Tokens, what domains have over their targets, and sum(n p p') of the documents with a rate above zero."""
         sums = [F.sum(F.col("n") * F.col("r") * F.col("p")[i]) for i in range(d)]
-        curve = [F.sum(F.when(F.col("r") > 0, F.col("n") * F.col("p")[i] * F.col("p")[j])) for i in range(d) for j in range(i, d)]
-        got = rated.agg(F.sum("n"), *sums, *curve).first()
-        total = float(got[0] or 0)
-        if not total:
+        products = [F.sum(F.when(F.col("r") > 0, F.col("n") * F.col("p")[i] * F.col("p")[j])) for i, j in cells]
+        got = [float(v or 0) for v in rated.agg(F.sum("n"), *sums, *products).first()]
+        gram, total = np.zeros((d, d)), max(got[0], 1.0)
+        for (i, j), v in zip(cells, got[d + 1 :], strict=True):
+            gram[i, j] = gram[j, i] = v / total
+        return got[0], np.array(got[1 : d + 1]) / total - want, gram
+
+    def inverse(gram: np.ndarray) -> np.ndarray:
+        return np.linalg.pinv(gram, rcond=1e-6, hermitian=True)
+
+    rows, done = soft.select("n", "p", F.lit(1.0).alias("r")), 0
+    total, gap, gram = look(rows)
+    if not total:
+        return fit
+    metric = inverse(gram)
+    while True:
+        objective = float(gap @ metric @ gap)
+        fit.gap, fit.met = gap.tolist(), bool(np.abs(gap).max() < tolerance)
+        if fit.met or len(fit.steps) >= steps:
             break
-        gap = np.array([float(v or 0) for v in got[1 : d + 1]]) / total - want
-        if np.abs(gap).max() < tolerance:
+        after = None
+        for v, least in ((inverse(gram) @ gap, 0.5), (metric @ gap, 1 - STALLED)):
+            tried = [*fit.steps, v.tolist()]
+            after = look(rows.select("n", "p", rate_of(F.col("p"), tried[done:], F.col("r")).alias("r")))
+            if float(after[1] @ metric @ after[1]) < least * objective:
+                break
+            after = None
+        if after is None:  # the nearest mixture
             break
-        h = np.zeros((d, d))
-        h[np.triu_indices(d)] = [float(v or 0) / total for v in got[d + 1 :]]
-        h = h + np.triu(h, 1).T
-        theta = theta + np.linalg.solve(h + 1e-6 * np.eye(d), gap)
-    return theta.tolist()
+        fit.steps, (_, gap, gram) = tried, after
+        if len(fit.steps) - done >= SETTLE:
+            rows, done = materialise(rows.select("n", "p", rate_of(F.col("p"), fit.steps[done:], F.col("r")).alias("r"))), len(fit.steps)
+    if not fit.met:
+        _log.warning("no mixture meets the targets to %g within %d steps; largest gap %.3g of all tokens", tolerance, len(fit.steps), np.abs(fit.gap).max())
+    return fit
 
 
 def copies_of(rate: Column, id_col: str) -> Column:
@@ -113,28 +191,52 @@ def copies_of(rate: Column, id_col: str) -> Column:
     return (F.floor(rate) + F.when(u < rate - F.floor(rate), 1).otherwise(0)).cast("int")
 
 
-def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DomainModel, list[float]]:
-    """Soft mixture of ``docs`` with the classifier and theta it is made by.
+def described(docs: DataFrame, model: DomainModel, text_col: str = "text") -> DataFrame:
+    """All columns of ``docs`` with ``n`` and ``p`` (under names of this library): number of words and posterior."""
+
+    def both(words: Column) -> Column:
+        return F.struct(F.size(words).cast("long").alias("n"), model.posterior(features(words)).alias("p"))
+
+    at = F.transform(F.array(words_of(text_col)), both)[0]
+    return docs.select("*", at.alias(f"{OWN}at")).select(*[F.col(f"`{c}`") for c in docs.columns], F.col(f"{OWN}at.n").alias(f"{OWN}n"), F.col(f"{OWN}at.p").alias(f"{OWN}p"))
+
+
+def _model_of(docs: DataFrame, labelled: DataFrame, id_col: str, text_col: str) -> DomainModel:
+    known = labelled.select(F.col("id").alias("_id"), "domain").distinct()
+    return learn(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(known, "_id"), "_id", "_text")
+
+
+def _fitted(marked: DataFrame, model: DomainModel, weights: dict[str, float]) -> Fit:
+    known = [weights.get(d, 0.0) for d in model.domains]
+    return fit_rates(marked.select(F.col(f"{OWN}n").alias("n"), F.col(f"{OWN}p").alias("p")), known) if sum(known) else Fit()
 
-    ``labelled``: (id, domain). Domains without a weight weigh 0. The result has ``id``, ``n_tokens``, ``posterior`` (of
-    the model's domains in order), ``rate`` and ``copies``, one row for each row of ``docs``. Empty and null texts have no
-    tokens and the posterior of zero features; null ids are never labelled. Without labelled rows all rates are 1.
+
+def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DomainModel, Fit]:
+    """Soft mixture of ``docs`` with the classifier and the fit it is made by.
+
+    ``labelled``: (id, domain). Domains without a weight weigh 0; without ``weights`` the production targets hold. The
+    result has ``id``, ``n_tokens``, ``posterior`` (of the model's domains in order), ``rate`` and ``copies``, one row for
+    each row of ``docs``: equal texts have equal rates. Empty and null texts have no tokens and the priors as posterior;
+    null ids are never labelled. Without labelled rows all rates are 1 and posteriors empty; targets that no mixture
+    reaches give the nearest one, and the fit's gap tells by how much it misses them.
     """
-    seen = materialise(docs.select(F.col(id_col).alias("id"), n_words(text_col).alias("n"), features(text_col).alias("x")))
-    model = learn(seen.join(labelled.select(F.col("id").alias("id"), "domain").distinct(), "id"))
+    model = _model_of(docs, labelled, id_col, text_col)
     if not model.domains:
-        rows = seen.select("id", F.col("n").alias("n_tokens"), F.array().cast("array<double>").alias("posterior"), F.lit(1.0).alias("rate"), F.lit(1).alias("copies"))
-        return rows.withColumnRenamed("id", id_col), model, []
-    soft = materialise(seen.select("id", "n", model.posterior(F.col("x")).alias("p")))
-    known = [weights.get(d, 0.0) for d in model.domains]
-    theta = fit_rates(soft, known) if sum(known) else [0.0] * len(known)
-    rated = soft.select(F.col("id").alias(id_col), F.col("n").alias("n_tokens"), F.col("p").alias("posterior"), rate_of(F.col("p"), theta).alias("rate"))
-    return rated.withColumn("copies", copies_of(F.col("rate"), id_col)), model, theta
+        rows = docs.select(F.col(id_col), n_words(text_col).alias("n_tokens"), F.array().cast("array<double>").alias("posterior"), F.lit(1.0).alias("rate"), F.lit(1).alias("copies"))
+        return rows, model, Fit()
+    marked = materialise(described(docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias(f"{OWN}text")), model, f"{OWN}text").drop(f"{OWN}text"))
+    fit = _fitted(marked, model, weights or target_weights(model.domains))
+    rated = marked.select(F.col(f"`{id_col}`"), F.col(f"{OWN}n").alias("n_tokens"), F.col(f"{OWN}p").alias("posterior"), rate_of(F.col(f"{OWN}p"), fit.steps).alias("rate"))
+    return rated.withColumn("copies", copies_of(F.col("rate"), f"`{id_col}`")), model, fit
+
 
+#: Production targets: all languages alike, nine tokens in ten of good quality.
+GOOD = 0.9
 
-#: Production targets: languages alike, nine tokens in ten of good quality.
-LANGS, GOOD = ("de", "en", "es", "fr"), 0.9
-WEIGHTS = {f"{lang}/{q}": share / len(LANGS) for lang in LANGS for q, share in ((1, GOOD), (0, 1 - GOOD))}
+
+def target_weights(domains: list[str]) -> dict[str, float]:
+    """Weights of domains ``language/quality``."""
+    return {d: GOOD if d.endswith("/1") else 1 - GOOD for d in domains}
 
 
 def domain_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,17 +248,24 @@ def domain_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: doc_id, n_tokens, posterior, rate, copies."""
-    return mix(table(spark, sf_dir, "documents"), domain_labels(spark, sf_dir), WEIGHTS)[0]
+    return mix(table(spark, sf_dir, "documents"), domain_labels(spark, sf_dir))[0]
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: each document comes as often as its rate says (0 times and more); columns stay."""
-    _, model, theta = mix(docs, domain_labels(spark, sf_dir), WEIGHTS)
+    """Pipeline stage: each document comes as often as its rate says (0 times and more); columns stay.
+
+    Rows without an id and repeated rows have rates like others; rows of one id come equally often. Without labelled
+    rows, or without tokens, the table stays as it is.
+    """
+    model = _model_of(docs, domain_labels(spark, sf_dir), "doc_id", "text")
     if not model.domains:
         return docs
+    marked = materialise(described(docs, model))  # each text is read once; its copies come from what was written
+    fit = _fitted(marked, model, target_weights(model.domains))
+
     def times(rate: Column) -> Column:
         return F.array_repeat(F.lit(1), copies_of(rate, "doc_id"))
 
     # the rate is a lambda's argument, so that it is worked out once
-    rate = rate_of(model.posterior(features("text")), theta)
-    return docs.select("*", F.explode(F.transform(F.array(rate), times)[0]).alias(f"{OWN}nth")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rate = rate_of(F.col(f"{OWN}p"), fit.steps)
+    return marked.select("*", F.explode(F.transform(F.array(rate), times)[0]).alias(f"{OWN}nth")).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -4,7 +4,8 @@ least a threshold are linked, and no others.
 Two sets of such a similarity share one of the first n - ceil(threshold * n) + 1 shingles of each, in any order that all
 sets keep; candidates are pairs that share one of these. The order puts shingles that a sample finds often last, so that
 common passages make no candidates; it changes costs only. Pairs whose SimHash fingerprints are far apart are dropped,
-the others are compared exactly.
+the others are compared by profiles (how many shingles of a set lie in each range of hashes: what two sets have in common is
+at most the sum of the smaller numbers), and only those whose profiles allow the similarity are compared shingle by shingle.
 """
 
 from __future__ import annotations
@@ -22,6 +23,10 @@ SAMPLE_DOCS = 10_000
 COMMON, MOST_COMMON = 3, 1 << 18
 #: Shingles that a task holds before it sends a run.
 RUN = 1 << 18
+#: Ids that are broadcast to pick the texts to compare, at most; more are joined.
+BROADCAST_IDS = 1 << 21
+#: Hash ranges of a profile, as powers of two; about half as many as shingles.
+LEAST_RANGES, MOST_RANGES = 4, 12
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -82,8 +87,26 @@ def _common_shingles(docs: DataFrame, words_of_shingle: int) -> tuple[np.ndarray
     return h[order], n[order]
 
 
+def profiles(h: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """How many shingles of each set lie in each range of hashes, a byte a range; no bytes where a byte doesn't hold one."""
+    ends = np.cumsum(sizes)
+    out = []
+    for end, size in zip(ends.tolist(), sizes.tolist(), strict=True):
+        bits = min(MOST_RANGES, max(LEAST_RANGES, (size // 2).bit_length()))
+        counts = np.bincount((h[end - size : end] >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+        out.append(counts.astype(np.uint8).tobytes() if counts.max() < 256 else b"")
+    return out
+
+
+def most_in_common(p: np.ndarray, q: np.ndarray) -> int:
+    """The sum of the smaller numbers of two profiles, in the ranges of the coarser."""
+    ranges = min(len(p), len(q))
+    p, q = (x if len(x) == ranges else x.reshape(ranges, -1).sum(axis=1, dtype=np.int64) for x in (p, q))
+    return int(np.minimum(p, q).sum(dtype=np.int64))
+
+
 def _described(docs: DataFrame, words_of_shingle: int) -> DataFrame:
-    """``(id, s, fp, n)``: digest, fingerprint and size of each row's set."""
+    """``(id, s, fp, n, profile)``: digest, fingerprint, size and profile of each row's set."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches):
@@ -91,9 +114,10 @@ def _described(docs: DataFrame, words_of_shingle: int) -> DataFrame:
             h, sizes = shingle_sets(b.column(1), words_of_shingle)
             fp = np.zeros(len(sizes), np.uint64)
             fp[sizes > 0] = majority_bits(h, sizes[sizes > 0])
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x.view(np.int64)) for x in (digests(h, sizes), fp)], pa.array(sizes.astype(np.int64))], names=["id", "s", "fp", "n"])
+            marks = [pa.array(x.view(np.int64)) for x in (digests(h, sizes), fp)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *marks, pa.array(sizes.astype(np.int64)), pa.array(profiles(h, sizes), pa.binary())], names=["id", "s", "fp", "n", "profile"])
 
-    return docs.select("id", "t").mapInArrow(run, f"id {kind}, s long, fp long, n long")
+    return docs.select("id", "t").mapInArrow(run, f"id {kind}, s long, fp long, n long, profile binary")
 
 
 def _shared_shingles(docs: DataFrame, words_of_shingle: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -165,11 +189,25 @@ def digests(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words_of_shingle: int, distance: int, similarity: float) -> DataFrame:
-    """The pairs (u, v) of digests that pass the fingerprint's distance and the exact similarity."""
-    a, b = (nodes.select(F.col("s").alias(x), F.col("n").alias(f"n_{x}"), F.col("fp").alias(f"fp_{x}"), F.col("rep").alias(f"rep_{x}")) for x in ("u", "v"))
+    """The pairs (u, v) of digests that pass the fingerprint's distance, the profiles and the exact similarity."""
+    a, b = (nodes.select(F.col("s").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "fp", "rep")]) for x in ("u", "v"))
     sized = F.least("n_u", "n_v") >= F.greatest("n_u", "n_v") * similarity - 1e-9
-    near = materialise(pairs.join(a, "u").join(b, "v").filter(sized & (F.bit_count(F.col("fp_u").bitwiseXOR(F.col("fp_v"))) <= distance)).select("u", "v", "rep_u", "rep_v"))
-    wanted = near.select(F.col("rep_u").alias("id")).union(near.select("rep_v")).distinct()
+    near = materialise(pairs.join(a, "u").join(b, "v").filter(sized & (F.bit_count(F.col("fp_u").bitwiseXOR(F.col("fp_v"))) <= distance)).select("u", "v", "rep_u", "rep_v", "n_u", "n_v"))
+
+    def possible(batches):
+        for x in batches:
+            keep = []
+            for p, q, n, m in zip(*(x.column(k) for k in ("p_u", "p_v")), *(x.column(k).to_pylist() for k in ("n_u", "n_v")), strict=True):
+                p, q = np.frombuffer(p.as_buffer(), np.uint8), np.frombuffer(q.as_buffer(), np.uint8)
+                keep.append(not len(p) or not len(q) or most_in_common(p, q) * (1 + similarity) >= similarity * (n + m) - 1e-6)
+            yield x.select(["u", "v", "rep_u", "rep_v"]).filter(pa.array(keep, pa.bool_()))
+
+    held = [nodes.select(F.col("s").alias(x), F.col("profile").alias(f"p_{x}")) for x in ("u", "v")]
+    kind = nodes.schema["rep"].dataType.simpleString()
+    near = materialise(near.join(held[0], "u").join(held[1], "v").mapInArrow(possible, f"u long, v long, rep_u {kind}, rep_v {kind}"))
+    wanted = materialise(near.select(F.col("rep_u").alias("id")).union(near.select("rep_v")).distinct())
+    if wanted.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
 
     def sets(batches):
         for x in blocks(batches, "t"):
@@ -201,7 +239,7 @@ def similar_components(docs: DataFrame, id_col: str, text_col: str, words_of_shi
     """
     docs = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     marked = materialise(_described(docs, words_of_shingle))
-    nodes = materialise(marked.groupBy("s").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("fp").alias("fp")))
+    nodes = materialise(marked.groupBy("s").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("profile").alias("profile")))
     rows = _shared_shingles(docs, words_of_shingle, similarity, _common_shingles(docs, words_of_shingle)).join(nodes.select("s", "rep", "n"), "s")
     bucket = Window.partitionBy("key")
     rows = materialise(rows.withColumn("size", F.count("*").over(bucket)).withColumn("centre", F.min(F.struct("rep", "s")).over(bucket)["s"]))

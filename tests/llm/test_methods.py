@@ -230,17 +230,6 @@ def test_next_document(spark):
     assert len(alone) == 1 and alone[0].near_next == 1.0
 
 
-def test_rates_match_targets(spark):
-    rng = np.random.default_rng(9)
-    p = rng.dirichlet([0.3, 0.3, 0.3], 2000)
-    soft = spark.createDataFrame([(int(n), [float(x) for x in q]) for n, q in zip(rng.integers(1, 500, 2000), p, strict=True)], "n long, p array<double>")
-    theta = mixing.fit_rates(soft, [0.7, 0.25, 0.05])
-    rows = soft.select("n", "p", mixing.rate_of(F.col("p"), theta).alias("r")).collect()
-    total = sum(r.n for r in rows)
-    assert min(r.r for r in rows) >= 0 and min(r.r for r in rows) == 0
-    assert [sum(r.n * r.r * r.p[d] for r in rows) / total for d in range(3)] == pytest.approx([0.7, 0.25, 0.05], abs=1e-4)
-
-
 def test_url_rules_in_chunks(spark):
     rules = [*url_filter.RULES, ("a.example.net", "/en/x", "block"), ("example.org", "", "block"), ("org", "/fr/", "block"), ("b.c", "/a/b", "allow"), ("b.c", "/a/", "block")]
     urls = ["http://a.example.net/en/xyz", "http://a.example.net/en/", "http://q.example.org", "http://example.org/fr/", "http://fr.org/fr/", "http://x.b.c/a/bc/d", "http://b.c/a/c", "http://b.c/a", "http://net/", "http://xnet/", "x", "http://net"]

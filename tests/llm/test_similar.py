@@ -58,3 +58,16 @@ def test_stage_drops_near_copies(spark):
     rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far)), (None, " ".join(words))]
     kept = simhash.simhash_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
     assert sorted((r.doc_id or 0) for r in kept) == [0, 1, 3]
+
+
+def test_profiles_bound_what_sets_have_in_common():
+    import numpy as np
+
+    rng = np.random.default_rng(13)
+    for n, m, both in [(3, 3, 3), (40, 40, 30), (900, 1000, 850), (5000, 6000, 10), (1, 1, 0), (20_000, 17_000, 16_500)]:
+        h = rng.integers(0, 1 << 63, n + m - both, dtype=np.uint64) << np.uint64(1)
+        sets = [np.sort(h[:n]), np.sort(h[n - both :])]
+        p, q = (np.frombuffer(x, np.uint8) for x in shingle_sets.profiles(np.concatenate(sets), np.array([n, m])))
+        assert both <= shingle_sets.most_in_common(p, q) <= min(n, m)
+    few = np.arange(3000, dtype=np.uint64)  # all in one range: more than a byte holds
+    assert shingle_sets.profiles(few, np.array([3000, 0])) == [b"", bytes(16)]
