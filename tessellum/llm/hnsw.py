@@ -1,33 +1,40 @@
 """Embedding near-dedup (1): hierarchical navigable small-world graphs, one a shard of a label's vectors.
 
-Equal vectors of a label are one node with a multiplicity. Each node asks every shard of its label; the beam of a query
-doubles while its worst entry still links, and the beams of a shard double until a recall audit against brute force
-passes (past the shard's size the search is exact). Links have been verified as cosine in double precision; each task
-joins its links to a spanning forest, and the forests' union gives the components.
+Equal vectors of a label are one node with a multiplicity. A shard's graph is built once and written; each node asks every
+shard of its label, in blocks. The beam of a query that ends in a link widens, and the beams of a block widen until a
+recall audit passes: it counts the links of sampled nodes, found by brute force, and planted ones, copies of the shard's
+vectors turned away to just over the threshold, so that it never passes for want of links. Past the widest beam the search
+is exact. Links have been verified as cosine in double precision. A task folds its links into counts and a spanning forest
+batch by batch, and the forests' union gives the components.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessellum.llm.common import materialise, table
+from tessellum.llm.common import give_back, materialise, table
 from tessellum.llm.components import connected_components, local_roots
 
 MIN_COSINE = 0.93
 #: Nodes of a shard, and of the block of queries that one task puts to it.
 SHARD = 8192
-QUERIES = 16384
+QUERIES = 32768
 NEIGHBOURS = 16
 BUILD_BEAM = 64
 BEAM = 48
-#: Queries of each task that are held against brute force, and the share of links that the beams must find for them.
+#: What a beam grows by, and the widest one; beyond it the whole shard is compared.
+WIDEN, WIDEST = 4, 1024
+#: Sampled queries and planted links of an audit, and the share of links that the beams must find for them.
 AUDIT = 128
 AUDIT_RECALL = 0.999
-#: Queries that search in step.
+#: Queries that search in step, and links that a task holds before they are folded.
 BATCH = 256
+HELD_LINKS = 1 << 20
 
 
 class Graph:
@@ -48,6 +55,17 @@ class Graph:
         for k in range(len(self.tops)):
             self._build(k)
 
+    @classmethod
+    def of(cls, x: np.ndarray, order: np.ndarray, tops: list[int], links: np.ndarray) -> Graph:
+        """A graph that was built from ``x`` and written."""
+        self = cls.__new__(cls)
+        self.x, self.order, self.tops, self.links, at = x.astype(np.float32)[order], order, tops, [], 0
+        for k, size in enumerate(tops):
+            width = NEIGHBOURS * (2 if k == 0 else 1)
+            self.links.append(links[at : at + size * width].reshape(size, width))
+            at += size * width
+        return self
+
     def _build(self, k: int) -> None:
         size, links = self.tops[k], self.links[k]
         done = min(size, BUILD_BEAM)
@@ -80,40 +98,61 @@ class Graph:
     def _attach(self, k: int, rows: np.ndarray, near: np.ndarray, sims: np.ndarray) -> None:
         """Link rows to diverse near rows (one closer to a chosen neighbour than to the row is passed over), both ways."""
         links = self.links[k]
-        for i, row in enumerate(rows):
-            chosen = self._diverse(row, near[i], sims[i], NEIGHBOURS)
-            links[row, : len(chosen)] = chosen
-        for row in rows:
-            for other in links[row]:
-                if other < 0:
-                    break
-                back = links[other]
-                if (back == row).any():
-                    continue
-                free = np.flatnonzero(back < 0)
-                if len(free):
-                    back[free[0]] = row
-                else:
-                    every = np.append(back, row)
-                    s = self.x[every] @ self.x[other]
-                    rank = np.argsort(-s, kind="stable")
-                    keep = self._diverse(other, every[rank], s[rank], links.shape[1])
-                    back[:] = -1
-                    back[: len(keep)] = keep
-
-    def _diverse(self, row: int, near: np.ndarray, sims: np.ndarray, most: int) -> np.ndarray:
-        ok = (near >= 0) & (near != row) & (sims > -2)
-        near, sims = near[ok][: 2 * most], sims[ok][: 2 * most]
-        if len(near) <= most // 2:
-            return near
-        between = self.x[near] @ self.x[near].T
-        keep = np.zeros(len(near), bool)
-        for j in range(len(near)):
-            if keep.sum() >= most:
-                break
-            keep[j] = not (between[j, keep] > sims[j]).any()
-        rest = np.flatnonzero(~keep)[: most - int(keep.sum())]  # fill up with the nearest, so that tight groups stay joined
-        return np.concatenate([near[keep], near[rest]])
+        chosen = self._diverse(rows, near, sims, NEIGHBOURS)
+        links[rows, : chosen.shape[1]] = chosen
+        row, other = np.repeat(rows, chosen.shape[1]), chosen.ravel()
+        some = other >= 0
+        row, other = row[some], other[some]
+        new = ~(links[other] == row[:, None]).any(axis=1)
+        row, other = row[new], other[new]
+        if not len(row):
+            return
+        # the nearest new rows of each other one, beside those that it has
+        s = np.einsum("nd,nd->n", self.x[row], self.x[other])
+        order = np.lexsort((row, -s, other))
+        row, other, s = row[order], other[order], s[order]
+        target, first, count = np.unique(other, return_index=True, return_counts=True)
+        most = links.shape[1]
+        nth = np.arange(len(row)) - np.repeat(first, count)
+        kept = nth < 2 * most
+        wide = np.full((len(target), min(int(count.max()), 2 * most)), -1, np.int64)
+        wide[np.repeat(np.arange(len(target)), count)[kept], nth[kept]] = row[kept]
+        for lo in range(0, len(target), 1024):
+            t = target[lo : lo + 1024]
+            every = np.concatenate([links[t], wide[lo : lo + 1024]], axis=1)
+            near_s = np.where(every >= 0, np.einsum("td,tmd->tm", self.x[t], self.x[np.maximum(every, 0)]), -3)
+            rank = np.argsort(-near_s, axis=1, kind="stable")
+            every, near_s = np.take_along_axis(every, rank, axis=1), np.take_along_axis(near_s, rank, axis=1)
+            over = (every >= 0).sum(axis=1) > most
+            full = np.full((len(t), most), -1, np.int32)
+            if (~over).any():
+                full[~over] = every[~over][:, :most]
+            if over.any():
+                got = self._diverse(t[over], every[over], near_s[over], most)
+                full[over, : got.shape[1]] = got
+            links[t] = full
+
+    def _diverse(self, rows: np.ndarray, near: np.ndarray, sims: np.ndarray, most: int) -> np.ndarray:
+        """Of near rows, best first (-1: none), the diverse ones, filled up with the nearest, so that tight groups stay joined."""
+        out = np.full((len(rows), most), -1, np.int64)
+        for lo in range(0, len(rows), 1024):
+            r = rows[lo : lo + 1024]
+            ids, s = near[lo : lo + 1024], sims[lo : lo + 1024]
+            ok = (ids >= 0) & (ids != r[:, None]) & (s > -2)
+            front = np.argsort(~ok, axis=1, kind="stable")[:, : 2 * most]  # usable ones first, in their order
+            ids, s, ok = (np.take_along_axis(x, front, axis=1) for x in (ids, s, ok))
+            m = ids.shape[1]
+            v = self.x[np.maximum(ids, 0)]
+            between = np.einsum("rid,rjd->rij", v, v)
+            keep = np.zeros(ids.shape, bool)
+            for j in range(m):
+                closer = (keep & (between[:, j, :] > s[:, j, None])).any(axis=1)
+                keep[:, j] = ok[:, j] & ~closer & (keep.sum(axis=1) < most)
+            place = np.where(keep, 0, np.where(ok, 1, 2)) * m + np.arange(m)
+            order = np.argsort(place, axis=1, kind="stable")[:, :most]
+            picked = np.where(np.take_along_axis(ok, order, axis=1), np.take_along_axis(ids, order, axis=1), -1)
+            out[lo : lo + 1024, : picked.shape[1]] = picked
+        return out
 
     def _beam(self, q: np.ndarray, links: np.ndarray, start: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """Best-first search of all queries in step; ids (-1: none) and similarities, best first."""
@@ -175,40 +214,89 @@ class Graph:
 
 
 def _range_links(graph: Graph, x: np.ndarray, q: np.ndarray, beam: int, least: float):
-    """Yield (query, row, cosine in double) of the links that beams find; a beam that ends in a link is doubled."""
+    """Yield (query, row) of the links that beams find, by cosine in double; a beam that ends in a link widens."""
     margin = least - 1e-4  # single precision inside, double for the verdict
     for lo in range(0, len(q), BATCH):
         rows, width = np.arange(lo, min(len(q), lo + BATCH)), min(beam, len(x))
         while len(rows):
-            if width >= len(x) or width > 2048:
+            if width >= len(x) or width > WIDEST:
                 for k in range(0, len(rows), 64):  # the whole shard
-                    sims = q[rows[k : k + 64]] @ x.T
-                    i, j = np.nonzero(sims >= least)
-                    yield rows[k : k + 64][i], j, sims[i, j]
+                    i, j = np.nonzero(q[rows[k : k + 64]] @ x.T >= least)
+                    yield rows[k : k + 64][i], j
                 break
             ids, sims = graph.search(q[rows].astype(np.float32), width)
             full = sims[:, -1] >= margin
             i, c = np.nonzero((sims >= margin) & (ids >= 0) & ~full[:, None])
             j = ids[i, c]
-            cos = np.einsum("nd,nd->n", q[rows[i]], x[j])
-            ok = cos >= least
-            yield rows[i][ok], j[ok], cos[ok]
-            rows, width = rows[full], 2 * width
+            ok = np.einsum("nd,nd->n", q[rows[i]], x[j]) >= least
+            yield rows[i][ok], j[ok]
+            rows, width = rows[full], WIDEN * width
+
+
+@dataclass
+class Audit:
+    """Beam that a block ended with, links that its audit knew (planted ones included) and share of them that it found."""
+
+    beam: int = 0
+    links: int = 0
+    recall: float = 1.0
+    planted: int = field(default=0)
 
 
-def shard_links(x: np.ndarray, q: np.ndarray, least: float, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """(query, row) of the links of unit vectors ``q`` with the shard ``x``, audited."""
-    graph = Graph(x, seed)
-    picked = np.random.default_rng(seed).permutation(len(q))[:AUDIT]
-    truth = {(int(a), int(b)) for k in range(0, len(picked), 64) for a, b in zip(*np.nonzero(q[picked[k : k + 64]] @ x.T >= least), strict=True) for a in [picked[k + a]]}
+def _turned(x: np.ndarray, cosine: float, rng: np.random.Generator) -> np.ndarray:
+    """Unit vectors at this cosine from those of ``x``, each in a random direction; in one dimension the same."""
+    side = rng.normal(size=x.shape)
+    side -= (side * x).sum(axis=1, keepdims=True) * x
+    size = np.sqrt((side * side).sum(axis=1, keepdims=True))
+    out = np.where(size > 1e-9, cosine * x + np.sqrt(1 - cosine**2) * side / np.maximum(size, 1e-9), x)
+    return out / np.sqrt((out * out).sum(axis=1, keepdims=True))
+
+
+def audited_beam(graph: Graph, x: np.ndarray, q: np.ndarray, same: np.ndarray, least: float, seed: int = 7) -> Audit:
+    """The beam that finds the links of sampled and planted queries; ``same``: the row of ``x`` that a query is itself, or -1."""
+    rng = np.random.default_rng(seed)
+    picked = rng.permutation(len(q))[:AUDIT]
+    held = rng.permutation(len(x))[:AUDIT]
+    cosine = min(1.0, least + 0.1 * (1 - least))
+    asked = np.concatenate([q[picked], _turned(x[held], cosine, rng)])
+    skip = np.concatenate([same[picked], np.full(len(held), -1)])
+    known = set()
+    for k in range(0, len(asked), 64):
+        i, j = np.nonzero(asked[k : k + 64] @ x.T >= least)
+        known |= {(int(a) + k, int(b)) for a, b in zip(i, j, strict=True) if skip[a + k] != b}
     beam = BEAM
     while True:
-        found = {(int(picked[a]), int(b)) for i, j, _ in _range_links(graph, x, q[picked], beam, least) for a, b in zip(i, j, strict=True)}
-        if len(found & truth) >= AUDIT_RECALL * len(truth) or beam >= len(x):
-            break
-        beam *= 2
-    got = [(i, j) for i, j, _ in _range_links(graph, x, q, beam, least)]
-    return np.concatenate([i for i, _ in got]), np.concatenate([j for _, j in got])
+        found = sum((int(a), int(b)) in known for i, j in _range_links(graph, x, asked, beam, least) for a, b in zip(i, j, strict=True))
+        recall = found / len(known) if known else 1.0
+        if recall >= AUDIT_RECALL or beam >= len(x) or beam > WIDEST:
+            return Audit(beam, len(known), recall, len(held))
+        beam *= WIDEN
+
+
+class Links:
+    """Links folded batch by batch: the number of each query, and a spanning forest of all."""
+
+    def __init__(self, queries: np.ndarray, rows: np.ndarray, copies: np.ndarray):
+        self.queries, self.rows, self.copies = queries, rows, copies
+        self.found = np.zeros(len(queries), np.int64)
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        u, v = self.queries[i], self.rows[j]
+        other = u != v
+        self.found += np.bincount(i[other], weights=self.copies[j[other]], minlength=len(self.queries)).astype(np.int64)
+        self.held.append((u[other], v[other]))
+        self.size += int(other.sum())
+        if self.size >= HELD_LINKS:
+            self.fold()
+
+    def fold(self) -> tuple[np.ndarray, np.ndarray]:
+        u, v = (np.concatenate([h[k] for h in self.held] or [np.zeros(0, np.int64)]) for k in (0, 1))
+        node, root = local_roots(u, v)
+        some = node != root
+        self.held, self.size = [(node[some], root[some])], 0
+        return self.held[0]
 
 
 def unit_rows(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -216,64 +304,101 @@ def unit_rows(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
         column = column.combine_chunks()
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     x = flat.reshape(len(column), -1)
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # first, so that squares of large numbers don't overflow
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+_GRAPH = "node binary, copies binary, v binary, ranked binary, tops binary, links binary"
+
+
+def _built(node: np.ndarray, copies: np.ndarray, x: np.ndarray) -> dict[str, bytes]:
+    graph = Graph(x)
+    links = np.concatenate([level.ravel() for level in graph.links])
+    parts = {"node": node, "copies": copies, "v": x, "ranked": graph.order.astype(np.int64), "tops": np.array(graph.tops, np.int64), "links": links.astype(np.int32)}
+    return {k: v.tobytes() for k, v in parts.items()}
+
+
+def _read(row: dict[str, bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, Graph]:
+    node, copies, order, tops = (np.frombuffer(row[k], np.int64) for k in ("node", "copies", "ranked", "tops"))
+    x = np.frombuffer(row["v"], np.float64).reshape(len(node), -1)
+    return node, copies, x, Graph.of(x, order, tops.tolist(), np.frombuffer(row["links"], np.int32))
+
+
 def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", group_col: str = "label", least: float = MIN_COSINE, shard: int = SHARD, queries: int = QUERIES) -> DataFrame:
-    """``(id, n_links, component_id, kept)``, one row for each row of ``vectors`` that has an id.
+    """``(id, n_links, component_id, kept, audit_recall)``, one row for each row of ``vectors``.
 
     Linked are rows of equal, non-null group and equal vector length whose cosine is at least ``least``. Vectors that
     are null, empty, zero or hold null or non-finite components link with nothing; rows without an id are left out
-    of the links and stay with null component. Repeated ids count as rows.
+    of the links and have a null component. Repeated ids count as rows. ``audit_recall`` is the least share of known links
+    that any block's audit found with the beam it used.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"), F.col(group_col).alias("g"))
     sound = F.col("id").isNotNull() & F.col("g").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)
     sound &= F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("v", lambda c: c != 0)
     rows = rows.withColumn("ok", F.coalesce(sound, F.lit(False)))
-    usable = rows.filter("ok").withColumn("dim", F.size("v"))
-    # -0.0 and 0.0 group as one, as equal vectors should
-    nodes = materialise(usable.groupBy("g", "dim", "v").agg(F.min("id").alias("node"), F.count("*").alias("copies")))
-    per_group = nodes.groupBy("g", "dim").agg(F.count("*").alias("size"))
-    shards, blocks = F.ceil(F.col("size") / shard), F.ceil(F.col("size") / queries)
+    # equal vectors have equal keys of 128 bits; -0.0 counts as 0.0
+    usable = rows.filter("ok").withColumn("v", F.transform("v", lambda c: c + F.lit(0.0))).withColumns({"dim": F.size("v"), "k1": F.xxhash64("g", "v"), "k2": F.xxhash64(F.lit(1), F.reverse("v"), "g")})
+    key = ["g", "dim", "k1", "k2"]
+    nodes = materialise(usable.groupBy(*key).agg(F.min("id").alias("node"), F.count("*").alias("copies"), F.first("v").alias("v")))
+    per_group = nodes.groupBy("g", "dim").agg(F.count("*").alias("size")).withColumns({"shards": F.ceil(F.col("size") / shard), "blocks": F.ceil(F.col("size") / queries)})
     placed = nodes.join(per_group, ["g", "dim"])
-    h = F.xxhash64("node", F.lit(1))
-    index = placed.select("g", "dim", F.pmod(h, shards).alias("shard"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"), "node", "copies", "v", F.lit(True).alias("indexed"))
-    asked = placed.select("g", "dim", F.explode(F.sequence(F.lit(0).cast("long"), shards - 1)).alias("shard"), F.pmod(F.xxhash64("node", F.lit(2)), blocks).alias("block"), "node", "copies", "v", F.lit(False).alias("indexed"))
-
-    def link(group: pa.Table) -> pa.Table:
-        stands = group.column("indexed").to_numpy()
-        node, copies, x = group.column("node").to_numpy(), group.column("copies").to_numpy(), unit_rows(group.column("v"))
-        # an order of its own, so that a task that runs again gives the same rows
-        a, b = (np.flatnonzero(m)[np.argsort(node[m], kind="stable")] for m in (stands, ~stands))
+
+    def build(group: pa.Table) -> pa.Table:
+        node = group.column("node").to_numpy()
+        order = np.argsort(node, kind="stable")  # an order of its own, so that a task that runs again gives the same rows
+        made = _built(node[order], group.column("copies").to_numpy()[order], unit_rows(group.column("v"))[order])
+        out = group.select(["g", "dim", "shard"]).slice(0, 1)
+        for k, v in made.items():
+            out = out.append_column(k, pa.array([v], pa.binary()))
+        give_back()
+        return out
+
+    kind = vectors.schema[group_col].dataType.simpleString()
+    sharded = placed.select("g", "dim", F.pmod(F.xxhash64("node", F.lit(1)), F.col("shards")).alias("shard"), "node", "copies", "v").repartition("g", "dim", "shard")
+    graphs = materialise(sharded.groupBy("g", "dim", "shard").applyInArrow(build, f"g {kind}, dim int, shard long, {_GRAPH}"))
+    counts = per_group.select("g", "dim", "shards", "blocks")
+    graphs = graphs.join(counts, ["g", "dim"]).select("g", "dim", "shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), *[x.split()[0] for x in _GRAPH.split(", ")])
+    asked = placed.select("g", "dim", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard"), F.pmod(F.xxhash64("node", F.lit(2)), F.col("blocks")).alias("block"), "node", "v")
+
+    def link(left: pa.Table, right: pa.Table) -> pa.Table:
         none = np.zeros(0, np.int64)
-        if not len(a) or not len(b):
-            return pa.table({"node": pa.array(none), "root": pa.array(none), "found": pa.array(none)})
-        i, j = shard_links(x[a], x[b], least)
-        u, v = node[b][i], node[a][j]
-        other = u != v
-        found = np.bincount(i[other], weights=copies[a][j[other]], minlength=len(b)).astype(np.int64)
-        members, roots = local_roots(u[other], v[other])
-        has = found > 0
-        extra = members != roots
-        return pa.table(
-            {
-                "node": pa.array(np.concatenate([node[b][has], members[extra]])),
-                "root": pa.array(np.concatenate([node[b][has], roots[extra]])),
-                "found": pa.array(np.concatenate([found[has], np.zeros(int(extra.sum()), np.int64)])),
+        out = {"node": none, "root": none, "found": none, "recall": np.zeros(0)}
+        if left.num_rows and right.num_rows:
+            row = {k: left.column(k)[0].as_py() for k in left.schema.names if k in _GRAPH.replace(" binary", "").split(", ")}
+            stands, copies, x, graph = _read(row)
+            node = right.column("node").to_numpy()
+            order = np.argsort(node, kind="stable")
+            node, q = node[order], unit_rows(right.column("v"))[order]
+            at = np.minimum(np.searchsorted(stands, node), len(stands) - 1)
+            audit = audited_beam(graph, x, q, np.where(stands[at] == node, at, -1), least)
+            links = Links(node, stands, copies)
+            for i, j in _range_links(graph, x, q, audit.beam, least):
+                links.add(i, j)
+            members, roots = links.fold()
+            has = links.found > 0
+            first = np.concatenate([node[has], members, node[:1]])
+            out = {
+                "node": first,
+                "root": np.concatenate([node[has], roots, node[:1]]),
+                "found": np.concatenate([links.found[has], np.zeros(len(members) + 1, np.int64)]),
+                "recall": np.concatenate([np.full(len(first) - 1, np.nan), [audit.recall]]),
             }
-        )
+            give_back()
+        return pa.table({k: pa.array(v, from_pandas=k == "recall") for k, v in out.items()})
 
     # dealt by all four keys: a group's rows lie together by label already, and would all stay in the label's task
-    dealt = index.union(asked).repartition("g", "dim", "shard", "block")
-    searched = dealt.groupBy("g", "dim", "shard", "block").applyInArrow(link, "node long, root long, found long")
-    links = materialise(searched)
-    of_node = nodes.select("node", "copies", "g", "dim", "v")
+    four = ["g", "dim", "shard", "block"]
+    both = graphs.repartition(*four).groupBy(*four).cogroup(asked.repartition(*four).groupBy(*four))
+    links = materialise(both.applyInArrow(link, "node long, root long, found long, recall double"))
+    recall = links.agg(F.min("recall")).first()[0]
     found = links.groupBy("node").agg(F.sum("found").alias("found"))
-    joined = connected_components(links.select(F.col("node").alias("u"), F.col("root").alias("v")))
-    settled = of_node.join(found, "node", "left").join(joined, "node", "left").select("g", "dim", "v", (F.coalesce("found", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
-    out = usable.join(settled, ["g", "dim", "v"]).select("id", "n_links", "component_id")
+    joined = connected_components(links.select(F.col("node").alias("u"), F.col("root").alias("v"))).withColumnRenamed("node", "member")
+    settled = nodes.select(*key, "node", "copies").join(found, "node", "left").join(joined, F.col("node") == F.col("member"), "left")
+    settled = settled.select(*key, (F.coalesce("found", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
+    out = usable.select("id", *key).join(settled, key).select("id", "n_links", "component_id")
     alone = rows.filter("NOT ok").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").cast("long").alias("component_id"))
-    return out.union(alone).select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    kept = F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept")
+    return out.union(alone).select(F.col("id").alias(id_col), "n_links", "component_id", kept, F.lit(recall).cast("double").alias("audit_recall"))
 
 
 def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
