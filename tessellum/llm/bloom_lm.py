@@ -5,10 +5,14 @@ until one is missing, which gives the quantised count back. Word counts are exac
 covers all training documents: each map task sends sorted runs of 64-bit hashes, cut by hash range, and one task a range
 merges them and builds its own segment of the filter.
 
-The model's probability is an interpolation, s p2(w|u) + (1 - s) p1(w), with p1 add-one over words, p2 the quantised
-count over the context's, and s the share of training bigrams that occur again (Good-Turing's seen mass), less for rare
-contexts. Where word counts and filter would pass MODEL_BYTES, they aren't broadcast: each probe goes to the task that
-holds its hash range's segment, and the scores are the same.
+The model's probability is an interpolation, s p2(w|u) + (1 - s) p1(w), with p1 add-one over words and p2 the count's lower
+bound at its level, less an absolute discount, over the context's count. Lower bounds over exact context counts keep each
+context's sum at one or below, but for false positives of the filter, which are believed only between words that the
+training knows. s is the share of training bigrams that occur again (Good-Turing's seen mass), less for rare contexts; the
+discount is n1 / (n1 + 2 n2) of the numbers of bigrams that come once and twice.
+
+The filter is broadcast up to MODEL_BYTES. A larger one stays where it is: each probe goes to the task that holds its hash
+range's segment, and the scores are the same, false positives included.
 """
 
 from __future__ import annotations
@@ -29,6 +33,8 @@ PROBES = 4
 MAX_LEVEL = 48
 #: Hashes that a counting task holds before it sends a run.
 RUN = 1 << 21
+#: Words with more than one in so many of all tokens are joined apart.
+HOT_SHARE = 1000
 END, START = np.uint64(0x5DEECE66D1234567), np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -59,10 +65,14 @@ def _level(count: np.ndarray) -> np.ndarray:
     return np.minimum(1 + np.floor(np.log2(np.maximum(count, 1))).astype(np.int64), MAX_LEVEL)
 
 
-def expected_count(level: np.ndarray) -> np.ndarray:
-    """The middle of the counts of a level; 0 for level 0."""
-    low = 2.0 ** (np.maximum(level, 1) - 1)
-    return np.where(level > 0, (low + 2 * low - 1) / 2, 0.0)
+def least_count(level: np.ndarray) -> np.ndarray:
+    """The least count of a level; 0 for level 0."""
+    return np.where(level > 0, 2.0 ** (np.maximum(level, 1) - 1), 0.0)
+
+
+def _counts(keys: bytes, counts: bytes) -> np.ndarray:
+    """Counts of 64-bit keys, of 32 bits where all of them fit, else of 64."""
+    return np.frombuffer(counts, np.uint64 if len(counts) == len(keys) else np.uint32)
 
 
 def _positions(keys: np.ndarray, level: int, bits: np.ndarray | int):
@@ -73,10 +83,10 @@ def _positions(keys: np.ndarray, level: int, bits: np.ndarray | int):
         yield (h + np.uint64(k) * step & np.uint64((1 << 40) - 1)) % np.asarray(bits, np.uint64)
 
 
-def filter_segment(keys: np.ndarray, counts: np.ndarray) -> bytes:
+def filter_segment(keys: np.ndarray, counts: np.ndarray, bits_per_item: int = BITS_PER_ITEM) -> bytes:
     """The bits of one hash range, in proportion to its entries."""
     level = _level(counts)
-    bits = max(64, -(-int(level.sum()) * BITS_PER_ITEM // 64) * 64)
+    bits = max(64, -(-int(level.sum()) * bits_per_item // 64) * 64)
     out = np.zeros(bits // 8, np.uint8)
     for k in range(1, int(level.max(initial=0)) + 1):
         for at in _positions(keys[level >= k], k, bits):
@@ -104,7 +114,7 @@ def segment_levels(keys: np.ndarray, segment: bytes) -> np.ndarray:
 @dataclass
 class BloomModel:
     words: bytes  # sorted uint64 hashes
-    word_counts: bytes  # uint32
+    word_counts: bytes  # uint32, or uint64 where a count needs it
     segments: bytes
     starts: np.ndarray  # first byte of each range's segment, and the end
     shift: int  # hash >> shift is the range
@@ -112,9 +122,10 @@ class BloomModel:
     distinct: int
     start_count: int
     seen: float
+    discount: float = 0.0
 
     def count(self, tokens: np.ndarray) -> np.ndarray:
-        keys, counts = np.frombuffer(self.words, np.uint64), np.frombuffer(self.word_counts, np.uint32)
+        keys, counts = np.frombuffer(self.words, np.uint64), _counts(self.words, self.word_counts)
         if not len(keys):
             return np.zeros(len(tokens), np.int64)
         some, back = np.unique(tokens, return_inverse=True)
@@ -147,15 +158,22 @@ class BloomModel:
         before = np.empty_like(c)
         before[1:] = c[:-1]
         before[first[:-1]] = self.start_count
-        expected = expected_count(self.levels(pair_hash(contexts(tokens, first), tokens)))
+        level = np.zeros(len(tokens), np.int64)
+        both = np.flatnonzero((c > 0) & (before > 0))  # words that the training doesn't know have no bigram
+        level[both] = self.levels(pair_hash(contexts(tokens, first), tokens)[both])
         size = self.total + self.distinct + 1
         p1 = (c + 1) / size
-        weight = self.seen * before / (before + 1)
-        p = weight * np.minimum(1.0, expected / np.maximum(before, 1)) + (1 - weight) * p1
+        p = self.probability(least_count(level), before, p1)
         base = segment_sum(np.log10(c + 1.0), owner, n) - np.diff(first) * np.log10(size)
         return np.diff(first), segment_sum(c > 0, owner, n).astype(np.int64), base, segment_sum(np.log10(p), owner, n)
 
 
+    def probability(self, least: np.ndarray, before: np.ndarray, p1: np.ndarray) -> np.ndarray:
+        """Of a token with this least bigram count, count of its context and unigram probability."""
+        weight = self.seen * before / (before + 1)
+        return weight * np.clip((least - self.discount) / np.maximum(before, 1), 0.0, 1.0) + (1 - weight) * p1
+
+
 def _runs(hashes: list[np.ndarray], kind: int, shift: int):
     keys, counts = np.unique(np.concatenate(hashes), return_counts=True)
     part = keys >> np.uint64(shift)
@@ -168,7 +186,7 @@ def _runs(hashes: list[np.ndarray], kind: int, shift: int):
     )
 
 
-def count_ranges(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, int]:
+def count_ranges(docs: DataFrame, text_col: str = "text", bits_per_item: int = BITS_PER_ITEM) -> tuple[DataFrame, int]:
     """Merged counts by kind (0 words, 1 bigrams) and hash range: ``n`` entries, ``total``, ``once`` (entries of count one),
     ``size`` of what would be broadcast, and for words keys and counts, for bigrams the filter's segment."""
     parts = docs.rdd.getNumPartitions()  # of the plan; runs nothing
@@ -198,20 +216,21 @@ def count_ranges(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, in
         keys, counts = keys[order], counts[order]
         at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
         keys, sums = keys[at], np.add.reduceat(counts, at, dtype=np.int64)
-        first, second = (keys.tobytes(), sums.astype(np.uint32).tobytes()) if kind == 0 else (filter_segment(keys, sums), b"")
-        row = {"kind": [kind], "part": [part], "n": [len(keys)], "total": [int(sums.sum())], "once": [int((sums == 1).sum())], "size": [len(first) + len(second)], "first": [first], "second": [second]}
-        return pa.table(row, schema=pa.schema([("kind", pa.int32()), ("part", pa.int64()), ("n", pa.int64()), ("total", pa.int64()), ("once", pa.int64()), ("size", pa.int64()), ("first", pa.binary()), ("second", pa.binary())]))
+        wide = np.uint64 if len(sums) and sums.max() >= 1 << 32 else np.uint32
+        first, second = (keys.tobytes(), sums.astype(wide).tobytes()) if kind == 0 else (filter_segment(keys, sums, bits_per_item), b"")
+        row = {"kind": [kind], "part": [part], "n": [len(keys)], "total": [int(sums.sum())], "once": [int((sums == 1).sum())], "twice": [int((sums == 2).sum())], "size": [len(first) + len(second)], "first": [first], "second": [second]}
+        return pa.table(row, schema=pa.schema([("kind", pa.int32()), ("part", pa.int64()), ("n", pa.int64()), ("total", pa.int64()), ("once", pa.int64()), ("twice", pa.int64()), ("size", pa.int64()), ("first", pa.binary()), ("second", pa.binary())]))
 
     runs = docs.select(F.col(text_col)).mapInArrow(count, "kind int, part long, keys binary, counts binary")
-    return runs.groupBy("kind", "part").applyInArrow(merge, "kind int, part long, n long, total long, once long, size long, first binary, second binary"), shift
+    return runs.groupBy("kind", "part").applyInArrow(merge, "kind int, part long, n long, total long, once long, twice long, size long, first binary, second binary"), shift
 
 
-def train(docs: DataFrame, text_col: str = "text", model_bytes: int = MODEL_BYTES) -> tuple[BloomModel, DataFrame]:
+def train(docs: DataFrame, text_col: str = "text", model_bytes: int = MODEL_BYTES, bits_per_item: int = BITS_PER_ITEM) -> tuple[BloomModel, DataFrame]:
     """Count all of ``docs``: the model and the table of counts and segments by hash range that it comes from. Null texts
     count as empty: one end. Over ``model_bytes`` the model has sums but no tables."""
-    counted, shift = count_ranges(docs, text_col)
+    counted, shift = count_ranges(docs, text_col, bits_per_item)
     counted = materialise(counted)
-    sums = {r["kind"]: r for r in counted.groupBy("kind").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("once").alias("once"), F.sum("size").alias("size")).collect()}
+    sums = {r["kind"]: r for r in counted.groupBy("kind").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("once").alias("once"), F.sum("twice").alias("twice"), F.sum("size").alias("size")).collect()}
     if not sums:
         return BloomModel(b"", b"", b"", np.zeros((1 << 64 - shift) + 1, np.int64), shift, 0, 0, 0, 0.0), counted
     sizes = np.zeros((1 << 64 - shift) + 1, np.int64)
@@ -228,7 +247,10 @@ def train(docs: DataFrame, text_col: str = "text", model_bytes: int = MODEL_BYTE
             else:
                 segments.append(bytes(r["first"]))
                 sizes[r["part"] + 1] = len(segments[-1])
-    model = BloomModel(b"".join(words), b"".join(counts), b"".join(segments), np.cumsum(sizes), shift, sums[0]["total"], sums[0]["n"], 0, 1.0 - sums[1]["once"] / sums[1]["total"])
+    if any(len(c) == len(w) for w, c in zip(words, counts, strict=True) if w):
+        counts = [_counts(w, c).astype(np.uint64).tobytes() for w, c in zip(words, counts, strict=True)]
+    discount = sums[1]["once"] / max(1, sums[1]["once"] + 2 * sums[1]["twice"])
+    model = BloomModel(b"".join(words), b"".join(counts), b"".join(segments), np.cumsum(sizes), shift, sums[0]["total"], sums[0]["n"], 0, 1.0 - sums[1]["once"] / sums[1]["total"], discount)
     del words, counts, segments
     # each document starts and ends once
     start_count = int(model.count(np.array([END]))[0]) if model.words else docs.count()
@@ -257,7 +279,7 @@ def _word_rows(counted: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             for key, n in zip(b.column(0), b.column(1), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(key.as_buffer(), np.int64)), pa.array(np.frombuffer(n.as_buffer(), np.uint32).astype(np.int64))], names=["gram", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(key.as_buffer(), np.int64)), pa.array(_counts(key.as_buffer(), n.as_buffer()).astype(np.int64))], names=["gram", "n"])
 
     return counted.filter("kind = 0").select("first", "second").mapInArrow(run, "gram long, n long")
 
@@ -293,23 +315,30 @@ def score_by_join(docs: DataFrame, counted: DataFrame, model: BloomModel, keep:
     wanted = materialise(wanted)
     levels = materialise(_routed_levels(wanted.select(F.col("uw").alias("gram")).distinct(), counted, model.shift))
     wanted = wanted.join(levels.withColumnRenamed("gram", "uw"), "uw")
+    # a word with over a thousandth of all tokens would fill one task: there are at most a thousand, which are broadcast
+    often = F.col("n") * HOT_SHARE > model.total
+    hot, rest = F.broadcast(grams.filter(often)), grams.filter(~often)
     for name in ("u", "w"):
-        wanted = wanted.join(grams.select(F.col("gram").alias(name), F.col("n").alias(f"n_{name}")), name, "left")
-    n_u = F.when(F.col("u") == F.lit(int(START.view(np.int64))), F.lit(model.start_count)).otherwise(F.coalesce("n_u", F.lit(0)))
-    expected = F.when(F.col("level") > 0, (F.lit(3.0) * F.pow(F.lit(2.0), F.col("level") - 1) - 1) / 2).otherwise(0.0)
+        wanted = wanted.join(hot.select(F.col("gram").alias(name), F.col("n").alias("n_hot")), name, "left")
+        known = F.when(F.col(name) == F.lit(int(START.view(np.int64))), F.lit(model.start_count)).otherwise(F.col("n_hot"))
+        wanted = wanted.withColumn("n_hot", known).withColumn("key", F.when(F.col("n_hot").isNull(), F.col(name)).otherwise(F.xxhash64("_row", "uw")))
+        wanted = wanted.join(rest.select(F.col("gram").alias("key"), F.col("n").alias("n_rest")), "key", "left").withColumn(f"n_{name}", F.coalesce("n_hot", "n_rest", F.lit(0))).drop("key", "n_hot", "n_rest")
+    n_u, n_w = F.col("n_u"), F.col("n_w")
+    least = F.when((F.col("level") > 0) & (n_u > 0) & (n_w > 0), F.pow(F.lit(2.0), F.col("level") - 1)).otherwise(0.0)
     size = float(model.total + model.distinct + 1)
-    p1 = (F.coalesce("n_w", F.lit(0)) + 1) / F.lit(size)
+    p1 = (n_w + 1) / F.lit(size)
     weight = F.lit(model.seen) * n_u / (n_u + 1)
-    p = weight * F.least(F.lit(1.0), expected / F.greatest(n_u, F.lit(1))) + (1 - weight) * p1
+    share = (least - F.lit(model.discount)) / F.greatest(n_u, F.lit(1))
+    p = weight * F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)) + (1 - weight) * p1
     sums = wanted.groupBy("_row").agg(
         F.sum("times").alias("n_tokens"), F.sum(F.when(F.col("n_w") > 0, F.col("times")).otherwise(0)).alias("n_known"), F.sum(F.col("times") * F.log10(p1)).alias("base_score"), F.sum(F.col("times") * F.log10(p)).alias("score")
     )
     return rows.join(sums, "_row").select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-def lm_scores(docs: DataFrame, training: DataFrame, keep: list[str], text_col: str = "text", model_bytes: int = MODEL_BYTES) -> DataFrame:
+def lm_scores(docs: DataFrame, training: DataFrame, keep: list[str], text_col: str = "text", model_bytes: int = MODEL_BYTES, bits_per_item: int = BITS_PER_ITEM) -> DataFrame:
     """Train on ``training`` and score ``docs``: by the broadcast filter up to ``model_bytes``, else by segments that stay where they are."""
-    model, counted = train(training, text_col, model_bytes)
+    model, counted = train(training, text_col, model_bytes, bits_per_item)
     if model.total and not model.words:
         return score_by_join(docs, counted, model, keep, text_col)
     return score(docs, model, keep, text_col)

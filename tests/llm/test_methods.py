@@ -116,6 +116,51 @@ def test_hnsw_links(spark):
     got = {r.vec_id: r for r in hnsw.embedding_links(df, shard=120, queries=200).collect()}
     assert [got[i].n_links for i in range(len(rows))] == s.sum(axis=1).tolist()
     assert [got[i].component_id for i in range(len(rows))] == want
+    assert all(r.audit_recall == 1.0 for r in got.values())
+
+
+def test_hnsw_sparse_links_are_audited_and_found(spark):
+    """Thirty planted pairs among vectors that link with nothing else, and one pair across shards of a size used in production."""
+    rng = np.random.default_rng(14)
+    x = rng.normal(size=(3000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[30:60] = hnsw._turned(x[:30], 0.94, rng)
+    s = x @ x.T >= 0.93
+    np.fill_diagonal(s, False)
+    df = spark.createDataFrame([(i, [float(c) for c in v], 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r for r in hnsw.embedding_links(df, shard=1500).collect()}
+    assert [got[i].n_links for i in range(3000)] == s.sum(axis=1).tolist() and s.sum() >= 60
+    assert {r.audit_recall for r in got.values()} <= {got[0].audit_recall} and got[0].audit_recall >= 0.999
+
+
+def test_audit_knows_planted_links_where_there_are_none():
+    rng = np.random.default_rng(15)
+    x = rng.normal(size=(2000, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    graph = hnsw.Graph(x)
+    audit = hnsw.audited_beam(graph, x, x[:500], np.arange(500), 0.97)
+    assert audit.links >= hnsw.AUDIT and audit.planted == hnsw.AUDIT and audit.recall >= hnsw.AUDIT_RECALL
+    for level in graph.links:  # a graph without edges fails its audit and falls back on the whole shard
+        level[:] = -1
+    assert hnsw.audited_beam(graph, x, x[:500], np.arange(500), 0.97).beam > hnsw.WIDEST
+
+
+def test_links_are_folded_in_bounded_memory(monkeypatch):
+    monkeypatch.setattr(hnsw, "HELD_LINKS", 1000)
+    ids = np.arange(100, 3100)
+    links = hnsw.Links(ids, ids, np.full(3000, 2))
+    for lo in range(0, 3000, 50):  # all pairs of a group of near copies
+        i, j = np.meshgrid(np.arange(lo, lo + 50), np.arange(3000), indexing="ij")
+        links.add(i.ravel(), j.ravel())
+        assert sum(len(u) for u, _ in links.held) < 3000
+    node, root = links.fold()
+    assert (links.found == 2 * 2999).all() and len(node) == 2999 and (root == 100).all()
+
+
+def test_large_numbers_do_not_overflow(spark):
+    df = spark.createDataFrame([(1, [1e200, 1e200], 1), (2, [1.0, 1.0], 1), (3, [-0.0, 5.0], 1), (4, [0.0, 5.0], 1)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in hnsw.embedding_links(df).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (1, 3)}
 
 
 def test_graph_beams_find_neighbours():
@@ -127,20 +172,61 @@ def test_graph_beams_find_neighbours():
     assert np.mean([len(set(a) & set(b)) / 10 for a, b in zip(ids[:, :64].tolist(), true.tolist(), strict=True)]) > 0.9
 
 
-def test_language_model(spark):
-    texts = ["the cat sat on the mat", "The cat sat", None, "", "a dog sat on the cat", "zebra zebra"] * 5
+def _bigram_counts(tokens):
+    pairs = collections.Counter(p for t in tokens for p in zip(["<s>", *t], t, strict=False))
+    return pairs, collections.Counter(w for t in tokens for w in t), len(tokens)
+
+
+def _brute_probability(u, w, pairs, c, n_docs, n, v):
+    once, twice = (sum(x == k for x in pairs.values()) for k in (1, 2))
+    seen, discount = 1 - once / sum(pairs.values()), once / (once + 2 * twice)
+    before = n_docs if u == "<s>" else c[u]
+    least = 2 ** int(math.log2(pairs[u, w])) if pairs[u, w] else 0
+    s = seen * before / (before + 1)
+    return s * max(0.0, (least - discount) / max(before, 1)) + (1 - s) * (c[w] + 1) / (n + v + 1)
+
+
+@pytest.mark.parametrize("size", [bloom_lm.MODEL_BYTES, 0])
+def test_language_model(spark, size):
+    rng = np.random.default_rng(16)
+    texts = ["the cat sat on the mat", "The cat sat", None, "", "a dog sat on the cat", "zebra zebra"] * 5 + [" ".join(f"w{int(k)}" for k in rng.zipf(1.5, 40) % 90) for _ in range(40)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     training = df.filter("doc_id % 4 <> 3")
     tokens = [[*WORD.findall((t or "").translate(LOWER)), "\0"] for t in texts]
-    c = collections.Counter(w for i, t in enumerate(tokens) if i % 4 != 3 for w in t)
+    pairs, c, n_docs = _bigram_counts([t for i, t in enumerate(tokens) if i % 4 != 3])
     n, v = sum(c.values()), len(c)
-    got = {r.doc_id: r for r in bloom_lm.lm_scores(df, training, ["doc_id"]).collect()}
-    joined = {r.doc_id: r for r in bloom_lm.lm_scores(df, training, ["doc_id"], model_bytes=0).collect()}
+    got = {r.doc_id: r for r in bloom_lm.lm_scores(df, training, ["doc_id"], model_bytes=size, bits_per_item=256).collect()}  # as good as no false positives
     for i, t in enumerate(tokens):
         base = sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t)
-        for r in (got[i], joined[i]):
-            assert r.base_score == pytest.approx(base) and (r.n_tokens, r.n_known, r.train_tokens) == (len(t), sum(c[w] > 0 for w in t), n)
-        assert got[i].score == pytest.approx(joined[i].score, abs=1.0) and got[i].score < 0
+        own = sum(math.log10(_brute_probability(u, w, pairs, c, n_docs, n, v)) for u, w in zip(["<s>", *t], t, strict=False))
+        r = got[i]
+        assert r.base_score == pytest.approx(base) and (r.n_tokens, r.n_known, r.train_tokens) == (len(t), sum(c[w] > 0 for w in t), n)
+        assert r.score == pytest.approx(own)
+
+
+def test_probabilities_of_a_context_sum_to_one_at_most(spark):
+    """Over all known words and one unknown one, of the model as it is used, false positives included."""
+    rng = np.random.default_rng(18)
+    texts = [" ".join(f"w{int(k)}" for k in rng.zipf(1.3, 120) % 400) for _ in range(150)]
+    import pyarrow as pa
+
+    model, _ = bloom_lm.train(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    words = sorted({w for t in texts for w in t.split()})
+    tokens, first = bloom_lm.tokens_of(pa.array(words))
+    tokens = np.append(tokens[first[:-1]], bloom_lm.END)
+    c = model.count(tokens)
+    size = model.total + model.distinct + 1
+    sums = []
+    for u, n in zip(tokens[:-1], c[:-1], strict=True):
+        least = bloom_lm.least_count(model.levels(bloom_lm.pair_hash(np.full(len(tokens), u), tokens)))
+        sums.append(model.probability(least, np.full(len(tokens), n), (c + 1) / size).sum() + model.probability(np.zeros(1), np.array([n]), np.array([1 / size])).sum())
+    assert len(sums) > 200 and np.mean(np.array(sums) <= 1 + 1e-9) > 0.75 and max(sums) < 1.6 and np.average(sums, weights=c[:-1]) < 1
+
+
+def test_counts_over_32_bits_are_kept():
+    keys = np.arange(4, dtype=np.uint64).tobytes()
+    assert bloom_lm._counts(keys, np.array([1, 2, 3, 1 << 40], np.uint64).tobytes()).tolist() == [1, 2, 3, 1 << 40]
+    assert bloom_lm._counts(keys, np.array([1, 2, 3, 4], np.uint32).tobytes()).tolist() == [1, 2, 3, 4]
 
 
 def test_bloom_levels():
@@ -244,6 +330,37 @@ def test_url_rules_in_chunks(spark):
     ]
 
 
+def _slow_match(rules, host, path):
+    best = None
+    for h, p, verdict in rules:
+        if (host == h or host.endswith("." + h)) and path.startswith(p):
+            best = max(best or (-1, -1, "", ""), (h.count(".") + 1, len(p), verdict == "block", f"{h}{p}"))
+    return best and (best[3], "block" if best[2] else "allow")
+
+
+def test_url_trie_is_brute_force_and_scales():
+    import time
+
+    rng = np.random.default_rng(19)
+    hosts, parts = ["a.b", "b", "x.a.b", "c"], ["", "d", "de", "def", "e", "é"]
+
+    def path():
+        return "".join("/" + parts[int(k)] for k in rng.integers(0, len(parts), rng.integers(0, 4)))
+
+    rules = [(hosts[int(rng.integers(4))], path(), "block" if rng.random() < 0.5 else "allow") for _ in range(120)]
+    trie = url_filter.UrlTrie(rules)
+    for _ in range(2000):
+        host, p = ["y.", ""][int(rng.integers(2))] + hosts[int(rng.integers(4))], path()
+        got = trie.match(host, p)
+        assert (got and got[2:]) == _slow_match(rules, host, p)
+    many = [("big.net", f"/p/q{k}", "block") for k in range(100_000)]
+    began = time.process_time()
+    trie = url_filter.UrlTrie(many)
+    for k in range(0, 100_000, 10):
+        assert trie.match("www.big.net", f"/p/q{k}-more")[2] == f"big.net/p/q{k}"
+    assert time.process_time() - began < 5
+
+
 def test_licences_found_and_prose_left_alone(spark):
     prose = ["the river runs under the bridge and the work is long", "all the rights of way were reserved seats", "a public library with general books, version two"] * 40
     rows = [(i, t) for i, t in enumerate(prose)] + [(900, "x\nLicensed under the Apache License, Version 2.0.\ny"), (901, "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"), (902, "word " * 300 + "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files" + " word" * 300)]
