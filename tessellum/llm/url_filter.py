@@ -30,7 +30,9 @@ class UrlTrie:
     """Rules under the labels of their host from the last to the first, then under the segments of their path.
 
     A rule fits its host and all subdomains if the url's path starts with the rule's path. The rule with the most host
-    labels wins, then the longest path; of equal rules with both verdicts, block wins.
+    labels wins, then the longest path; of equal rules with both verdicts, block wins. What follows the last slash of a rule
+    may end inside a segment: a node holds these ends by their text and probes a segment's beginnings of their lengths,
+    longest first, so a match costs no more with many rules of one host.
     """
 
     def __init__(self, rules: Iterable[tuple[str, str, str]]):
@@ -39,13 +41,16 @@ class UrlTrie:
             node = self.root
             for label in reversed(host.translate(_LOWER).split(".")):
                 node = node.setdefault(label, {})
-            node = node.setdefault("/", {"": None})  # no host label holds a slash
+            node = node.setdefault("/", {})  # no host label holds a slash
             segments = path.split("/")
             for segment in segments[:-1]:
-                node = node.setdefault(("", segment), {"": None})
-            # what follows the last slash may end inside a segment
-            known = (node[""] or {}).get(segments[-1])
-            node[""] = (node[""] or {}) | {segments[-1]: (f"{host}{path}", "block" if "block" in (verdict, known and known[1]) else verdict)}
+                node = node.setdefault(("", segment), {})
+            ends, lengths = node.setdefault("", ({}, []))
+            if len(segments[-1]) not in lengths:
+                lengths.append(len(segments[-1]))
+                lengths.sort(reverse=True)
+            known = ends.get(segments[-1])
+            ends[segments[-1]] = (f"{host}{path}", "block" if "block" in (verdict, known and known[1]) else verdict)
 
     def match(self, host: str, path: str) -> tuple[int, int, str, str] | None:
         """(host labels, path characters, rule, verdict) of the longest rule that fits."""
@@ -60,11 +65,14 @@ class UrlTrie:
             if at is None:
                 continue
             segments = path.split("/") if segments is None else segments
-            longest, length = None, 0
+            longest, length = None, 0  # a deeper node's rules are longer
             for k, segment in enumerate(segments):
-                for partial, found in (at[""] or {}).items():
-                    if segment.startswith(partial) and (longest is None or length + len(partial) > longest[1]):
-                        longest = (depth, length + len(partial), *found)
+                ends, lengths = at.get("", ({}, ()))
+                for n in lengths:
+                    found = ends.get(segment[:n]) if n <= len(segment) else None
+                    if found:
+                        longest = (depth, length + n, *found)
+                        break
                 if k + 1 == len(segments) or (at := at.get(("", segment))) is None:
                     break
                 length += len(segment) + 1
@@ -130,4 +138,6 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/')
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per page: page_id, host, path, rule, verdict. Null ids and repeated rows stay; null urls and such without ``://`` have
+    empty host and path, no rule and the verdict allow; of rules that fit, the longest wins."""
     return judge_urls(table(spark, sf_dir, "pages"), RULES)
