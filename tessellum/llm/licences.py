@@ -2,7 +2,10 @@
 whose predictions a comparison with templates confirms.
 
 A paragraph is a line, or 40 words of a longer line, each 20 words on. The classifier learns from variants of the
-templates and, for the unknown class, from paragraphs of the corpus that resemble no template.
+templates and, for the unknown class, from paragraphs of the corpus, cut in the same way, that resemble no template; those
+that share some word pairs with one stay as hard cases. Temperature and threshold are calibrated on whole templates, and
+paragraphs, that the model at hand has not learned from: two models, each without every other template of a family and
+without some variants of the rest, see what the other learned.
 """
 
 from __future__ import annotations
@@ -26,10 +29,20 @@ UNKNOWN_PARAGRAPHS = 6000
 #: Variants made of each template.
 VARIANTS = 24
 STEPS = 200
+#: The fit ends when no weight moves by more than this share of the largest.
+SETTLED = 1e-3
+FOLDS = 2
+#: Share of paragraphs that are taken to belong to no family before they are read; classes weigh alike in training.
+UNKNOWN_PRIOR = 0.9
+LEAST_THRESHOLD, MOST_THRESHOLD = 0.02, 0.95
 #: Share of held-out unknown paragraphs that may pass for a family: the threshold is set by it.
 FALSE_RATE = 0.001
+#: Share of held-out paragraphs of families that it may keep out: the comparison with templates, not the threshold, has the last word.
+MISS_RATE = 0.02
 #: Share of word pairs (of the shorter side) that a paragraph and a template must have in common.
 MIN_OVERLAP = 0.6
+#: A paragraph with less than this in common with every template is none of their families.
+FOREIGN = 0.3
 #: Words that may stand between matched ones of one place.
 GAP = 4
 #: Share of a place's word pairs that families of higher probability may have taken already.
@@ -127,11 +140,15 @@ class LicenceModel:
         return max((len(own & t) / max(1, min(len(own), len(t))) for t in self.pairs[family]), default=0.0)
 
     def probabilities(self, logits: np.ndarray) -> np.ndarray:
-        z = (logits + self.bias) / self.temperature
+        z = (logits + self.bias) / self.temperature + _log_prior(len(self.families))
         z = np.exp(z - z.max(axis=1, keepdims=True))
         return z / z.sum(axis=1, keepdims=True)
 
 
+def _log_prior(families: int) -> np.ndarray:
+    return np.log([UNKNOWN_PRIOR, *[(1 - UNKNOWN_PRIOR) / max(1, families - 1)] * (families - 1)])
+
+
 def _variants(rng: np.random.Generator, text: str, filler: list[bytes]) -> list[bytes]:
     words = text.encode().split()
     out = [text.encode(), text.lower().encode(), text.upper().encode()]
@@ -161,59 +178,102 @@ def _softmax_fit(row: np.ndarray, col: np.ndarray, y: np.ndarray, m: int, k: int
         rate = step / n * 4
         w = v - rate * (np.stack([np.bincount(col, weights=g[row, j], minlength=m) for j in range(k)], axis=1) + 1e-5 * v)
         b = c - rate * g.sum(axis=0)
+        if s % 10 == 9 and np.abs(w - w0).max(initial=0.0) < SETTLED * np.abs(w).max(initial=0.0):
+            break
     return w, b
 
 
+def _paragraphs(docs: DataFrame, text_col: str) -> DataFrame:
+    """``(line)``: the paragraphs of all lines, as a scan cuts them: WINDOW words from each STRIDE-th on, the last one reaching the end."""
+    words = F.filter(F.split("line", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    lines = docs.filter(F.col(text_col).isNotNull()).select(F.explode(F.split(F.col(text_col), "\n")).alias("line")).select(words.alias("w")).filter(F.size("w") > 0)
+    last = F.greatest(F.lit(0), F.ceil((F.size("w") - WINDOW) / STRIDE)).cast("int")
+    return lines.select("w", F.explode(F.sequence(F.lit(0), last)).alias("k")).select(F.array_join(F.slice("w", F.col("k") * STRIDE + 1, WINDOW), " ").alias("line"))
+
+
+def _fit(row: np.ndarray, bucket: np.ndarray, y: np.ndarray, use: np.ndarray, families: int) -> tuple[np.ndarray, np.ndarray]:
+    """(weights of all buckets, biases) learned from the texts in ``use``."""
+    mine = use[row]
+    used, col = np.unique(bucket[mine], return_inverse=True)
+    # features of the unknown class alone carry no weight: they'd only follow the sample's own words
+    speaks = np.zeros(len(used), bool)
+    speaks[col[y[row[mine]] > 0]] = True
+    place = np.cumsum(speaks) - 1
+    keep = speaks[col]
+    w, b = _softmax_fit((np.cumsum(use) - 1)[row[mine][keep]], place[col[keep]], y[use], int(speaks.sum()), families)
+    full = np.zeros((1 << BITS, families), np.float32)
+    full[used[speaks]] = w
+    return full, b
+
+
+def _logits(weight: np.ndarray, row: np.ndarray, bucket: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Sums of weights of the texts ``of`` (a mask), without biases."""
+    mine = of[row]
+    at, n = (np.cumsum(of) - 1)[row[mine]], int(of.sum())
+    return np.stack([np.bincount(at, weights=weight[bucket[mine], j], minlength=n) for j in range(weight.shape[1])], axis=1)
+
+
 def train(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", templates: dict[str, list[str]] | None = None, unknown_docs: int = UNKNOWN_DOCS, seed: int = 3) -> LicenceModel:
-    """Learn families from templates and the unknown class from the lines of about ``unknown_docs`` documents (by a hash
-    of their ids); an empty table teaches no unknown class beyond shuffled templates."""
+    """Learn families from templates and the unknown class from paragraphs of about ``unknown_docs`` documents (by a hash
+    of their ids), UNKNOWN_PARAGRAPHS at most (by a hash of theirs; repeated ones count once). Null ids and texts teach
+    nothing; an empty table teaches no unknown class beyond shuffled templates. Of equal probabilities the family that
+    comes first by name wins."""
     templates = templates or TEMPLATES
     total = docs.count()
     u = F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) / float(1 << 30)
-    lines = docs.filter(F.col(text_col).isNotNull() & (u < min(1.0, unknown_docs / max(1, total)))).select(F.explode(F.split(F.col(text_col), "\n")).alias("line"))
-    lines = lines.filter(F.length("line").between(1, 2000)).orderBy(F.xxhash64("line"), "line").limit(UNKNOWN_PARAGRAPHS)
+    sample = docs.filter(F.col(id_col).isNotNull() & (u < min(1.0, unknown_docs / max(1, total))))
+    lines = _paragraphs(sample, text_col).distinct().orderBy(F.xxhash64("line"), "line").limit(UNKNOWN_PARAGRAPHS)
     corpus = [r[0].encode("utf-8", "surrogatepass") for r in lines.collect()]
     pairs = {f: [_pairs(t.encode()) for t in texts] for f, texts in templates.items()}
     flat = [p for v in pairs.values() for p in v]
     known_pairs = set().union(*flat)
-    unknown = [x for x in corpus if len(_pairs(x) & known_pairs) < 2]
+
+    def foreign(x: bytes) -> bool:
+        own = _pairs(x)
+        shared = own & known_pairs
+        return not shared or all(len(shared & p) < FOREIGN * max(1, min(len(own), len(p))) for p in flat)
+
+    unknown = [x for x in corpus if foreign(x)]
+    found_ones = len(unknown)
     rng = np.random.default_rng(seed)
     # words of the templates in another order belong to no family
     bag = [w for texts in templates.values() for t in texts for w in t.encode().split()]
     unknown += [b" ".join(bag[i] for i in rng.integers(0, len(bag), rng.integers(3, 20))) for _ in range(400)]
     families = [UNKNOWN, *sorted(templates)]
-    texts, y = list(unknown), [0] * len(unknown)
+    texts, y, fold = list(unknown), [0] * len(unknown), (np.arange(len(unknown)) % FOLDS).tolist()
     for k, f in enumerate(families[1:], 1):
-        for t in templates[f]:
+        for nth, t in enumerate(templates[f]):
             made = _variants(rng, t, unknown)
             texts += made
             y += [k] * len(made)
-    y = np.array(y)
+            # a fold leaves out whole templates (not a family's only one) and every fourth variant of the others
+            left_out = nth % FOLDS if len(templates[f]) > 1 else -1
+            fold += [1 - left_out if left_out >= 0 and v % 4 == 3 else left_out if left_out >= 0 else v % FOLDS if v % 4 == 3 else -1 for v in range(len(made))]
+    y, fold = np.array(y), np.array(fold)
     row, bucket = _rows(texts)
-    held = rng.random(len(y)) < 0.25
-    used, col = np.unique(bucket, return_inverse=True)
-    # features of the unknown class alone carry no weight: they'd only follow the sample's own words
-    speaks = np.zeros(len(used), bool)
-    speaks[col[y[row] > 0]] = True
-    mine = speaks[col] & ~held[row]
-    w, b = _softmax_fit(np.cumsum(~held)[row[mine]] - 1, col[mine], y[~held], len(used), len(families))
-    full = np.zeros((1 << BITS, len(families)), np.float32)
-    full[used] = np.where(speaks[:, None], w, 0)
-    model = LicenceModel(families, full, b, 1.0, 0.5, pairs)
-    hr = np.flatnonzero(held[row])
-    index = np.cumsum(held)[row[hr]] - 1
-    n = int(held.sum())
-    logits = np.stack([np.bincount(index, weights=full[bucket[hr], j], minlength=n) for j in range(len(families))], axis=1)
-    truth = y[held]
-    # calibration on what wasn't learned from: a temperature, then the threshold that keeps unknown paragraphs out
-    def loss(t: float) -> float:
-        model.temperature = t
-        return -np.log(np.maximum(model.probabilities(logits)[np.arange(n), truth], 1e-12)).mean()
+    seen, truth, from_corpus = [], [], np.arange(len(y)) < found_ones
+    for k in range(FOLDS):
+        weight, bias = _fit(row, bucket, y, fold != k, len(families))
+        seen.append(_logits(weight, row, bucket, fold == k) + bias)
+        truth.append(y[fold == k])
+    logits, truth, own = np.concatenate(seen), np.concatenate(truth), np.concatenate([from_corpus[fold == k] for k in range(FOLDS)])
+    full, bias = _fit(row, bucket, y, np.ones(len(y), bool), len(families))
+    model = LicenceModel(families, full, bias, 1.0, 0.5, pairs)
+
+    def soft(t: float) -> np.ndarray:
+        z = logits / t + _log_prior(len(families))
+        z = np.exp(z - z.max(axis=1, keepdims=True))
+        return z / z.sum(axis=1, keepdims=True)
 
-    model.temperature = min([0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 5.0], key=loss) if n else 1.0
-    p = model.probabilities(logits)
-    outside = 1 - p[truth == 0, 0]
-    model.threshold = float(np.clip(np.quantile(outside, 1 - FALSE_RATE), 0.5, 0.95)) if len(outside) else 0.5
+    def loss(t: float) -> float:
+        return -np.log(np.maximum(soft(t)[np.arange(len(truth)), truth], 1e-12)).mean()
+
+    # a temperature, then the threshold that keeps the corpus's unknown paragraphs out, but few of the families'
+    model.temperature = min([0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 5.0], key=loss)
+    outside = 1 - soft(model.temperature)[own, 0]
+    inside = 1 - soft(model.temperature)[truth > 0, 0]
+    low, high = np.quantile(inside, MISS_RATE) if len(inside) else 1.0, np.quantile(outside, 1 - FALSE_RATE) if len(outside) else 0.0
+    model.threshold = float(np.clip(min(low, high), LEAST_THRESHOLD, MOST_THRESHOLD))
     return model
 
 
