@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessellum.llm.common import blocks, materialise, mix64, utf8, word_hashes
@@ -25,6 +25,8 @@ COMMON, MOST_COMMON = 3, 1 << 18
 RUN = 1 << 18
 #: Ids that are broadcast to pick the texts to compare, at most; more are joined.
 BROADCAST_IDS = 1 << 21
+#: Sizes of sets are met in bands, each so many times as large as the one before.
+BAND = 1.05
 #: Hash ranges of a profile, as powers of two; about half as many as shingles.
 LEAST_RANGES, MOST_RANGES = 4, 12
 _LANES = np.uint64(0x0101010101010101)
@@ -231,26 +233,59 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words_of_shin
     return materialise(full.select("u", "v", "h_u", "h_v").mapInArrow(compare, "u long, v long"))
 
 
+def _least_shared(n: Column, m: Column, similarity: float) -> Column:
+    """What two similar sets of these sizes have in common among their first shingles, at least.
+
+    They have ceil(s / (1 + s) * (n + m)) shingles in common; behind the first ones of the set whose first shingles end
+    earlier in the common order stand ceil(s * size) - 1 at most, and what it shares before that lies in both prefixes.
+    """
+    return (n + m) * (similarity / (1 + similarity)) - F.greatest(n, m) * similarity - 1e-6
+
+
+def _open_pairs(rows: DataFrame, joined: DataFrame, similarity: float) -> DataFrame:
+    """``(u, v)`` of sets of different components that may be similar. ``rows``: (key, s, n, size) of shared first shingles.
+
+    In a pair the set of the smaller component asks. Of what it shares with others, the shingles of its fullest buckets may
+    be left out, as many as make one less than similar sets of these sizes share: so a set that has little in common with
+    a crowd doesn't meet it at all. Sets of a bucket's largest component don't ask in it.
+    """
+    sizes = joined.groupBy("component").agg(F.count("*").alias("members"))
+    of = joined.join(sizes, "component").select(F.col("node").alias("s"), F.col("component").alias("c"), "members")
+    rank = Window.partitionBy("s").orderBy(F.desc("size"), "key")
+    placed = rows.select("key", "s", "n", F.row_number().over(rank).alias("nth")).join(of, "s", "left")
+    group = F.struct(F.coalesce("members", F.lit(1)).alias("members"), F.coalesce("c", "s").alias("c"))
+    placed = placed.select("key", "s", "n", "nth", group.alias("group"))
+    placed = materialise(placed.withColumn("largest", F.max("group").over(Window.partitionBy("key"))).withColumn("others", F.min("group").over(Window.partitionBy("key")) < F.col("largest")).filter("others").drop("others"))
+    band = lambda n: F.floor(F.log(n) / F.log(F.lit(BAND)))
+    reach = int(np.ceil(np.log(1 / similarity) / np.log(BAND))) + 1
+    asks = placed.filter(F.col("group") < F.col("largest")).select("key", "s", "n", "nth", "group", F.explode(F.array(*[band(F.col("n")) + F.lit(k) for k in range(-reach, reach + 1)])).alias("band"))
+    # the least that any size of the band asks for: it falls with the distance of the sizes
+    low, high = (F.least(F.greatest(F.pow(F.lit(BAND), F.col("band") + k), F.col("n") * similarity), F.col("n") / similarity) for k in (-0.01, 1.01))
+    asks = asks.filter(F.col("nth") >= F.least(_least_shared(F.col("n"), low, similarity), _least_shared(F.col("n"), high, similarity)))
+    asks = asks.select("key", "band", *[F.col(x).alias(f"{x}1") for x in ("s", "n", "nth", "group")])
+    told = placed.select("key", band(F.col("n")).alias("band"), *[F.col(x).alias(f"{x}2") for x in ("s", "n", "group")])
+    sized = F.least("n1", "n2") >= F.greatest("n1", "n2") * similarity - 1e-9
+    met = asks.join(told, ["key", "band"]).filter((F.col("group1") < F.col("group2")) & (F.col("group1.c") != F.col("group2.c")) & sized & (F.col("nth1") >= _least_shared(F.col("n1"), F.col("n2"), similarity)))
+    return met.select(F.col("s1").alias("u"), F.col("s2").alias("v")).distinct()
+
+
 def similar_components(docs: DataFrame, id_col: str, text_col: str, words_of_shingle: int, distance: int, similarity: float) -> DataFrame:
     """``(id, component_id)``, one row for each row with an id: the smallest id that verified links reach.
 
-    A first round compares the texts of a shared shingle with the one of the smallest id; a second compares those that
-    are still in different components, so the components are those of all pairs.
+    A first round compares the texts of a shared shingle with the one that shares most; a second compares those that are
+    still in different components and may be similar, so the components are those of all pairs. Null and empty texts are
+    alike; equal sets count as one, however many rows have them.
     """
     docs = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     marked = materialise(_described(docs, words_of_shingle))
     nodes = materialise(marked.groupBy("s").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("profile").alias("profile")))
-    rows = _shared_shingles(docs, words_of_shingle, similarity, _common_shingles(docs, words_of_shingle)).join(nodes.select("s", "rep", "n"), "s")
+    rows = _shared_shingles(docs, words_of_shingle, similarity, _common_shingles(docs, words_of_shingle)).join(nodes.select("s", "n"), "s")
     bucket = Window.partitionBy("key")
-    rows = materialise(rows.withColumn("size", F.count("*").over(bucket)).withColumn("centre", F.min(F.struct("rep", "s")).over(bucket)["s"]))
+    rows = rows.withColumn("share", F.count("*").over(Window.partitionBy("s")) / F.col("n"))
+    rows = materialise(rows.withColumn("size", F.count("*").over(bucket)).withColumn("centre", F.max(F.struct("share", "s")).over(bucket)["s"]).drop("share"))
     first = rows.filter("s <> centre").select(F.col("centre").alias("u"), F.col("s").alias("v")).distinct()
     links = _verified(first, docs, nodes, words_of_shingle, distance, similarity)
-    joined = connected_components(links)
-    open_rows = rows.filter("size > 2 AND s <> centre").join(joined, F.col("s") == F.col("node"), "left").select("key", "s", "n", F.coalesce("component", "s").alias("c"))
-    a, b = (open_rows.select("key", *[F.col(x).alias(f"{x}{k}") for x in ("s", "n", "c")]) for k in (1, 2))
-    sized = F.least("n1", "n2") >= F.greatest("n1", "n2") * similarity - 1e-9
-    second = a.join(b, "key").filter((F.col("s1") < F.col("s2")) & (F.col("c1") != F.col("c2")) & sized).select(F.col("s1").alias("u"), F.col("s2").alias("v")).distinct()
-    more = _verified(second, docs, nodes, words_of_shingle, distance, similarity)
+    more = _verified(_open_pairs(rows, connected_components(links), similarity), docs, nodes, words_of_shingle, distance, similarity)
     joined = connected_components(links.union(more))
     placed = nodes.join(joined, F.col("s") == F.col("node"), "left").select("s", "rep", F.coalesce("component", "s").alias("c"))
     least = placed.groupBy("c").agg(F.min("rep").alias("component_id"))
