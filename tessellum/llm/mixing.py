@@ -1,7 +1,7 @@
 """Mixing sources to target weights (7), with soft membership; DataFrame functions only.
 
 A naive Bayes classifier over hashed n-grams, learned from a labelled table, gives each document a posterior over domains:
-its features are the words and the character pairs at their beginnings and ends. With n tokens, posterior p and rate r of
+its features are the words and the character pairs at their ends. With n tokens, posterior p and rate r of
 each document, the expected tokens of domain d are sum(r n p[d]). Nonnegative rates are fitted to the targets t by
 projected gradient steps on the least-squares objective (A r - t)' M (A r - t) / 2, where A r are the domains' expected
 tokens: r becomes max(0, r - p . v) with v = M (A r - t). M is the (pseudo-)inverse of sum(n p p') over all documents, so
@@ -49,15 +49,14 @@ def n_words(text: str = "text") -> Column:
 
 
 def features(words: Column) -> Column:
-    """Buckets of a text's features, from the array of its words: each word, its first two characters and its last two."""
+    """Buckets of a text's features, from the array of its words: each word and its last two characters."""
 
     def bucket(x: Column, kind: int) -> Column:
         return F.pmod(F.hash(x, F.lit(kind)), F.lit(BUCKETS))
 
     return F.concat(
         F.transform(words, lambda w: bucket(w, 0)),
-        F.transform(words, lambda w: bucket(F.substring(w, 1, 2), 1)),
-        F.transform(words, lambda w: bucket(F.substring(w, -2, 2), 2)),
+        F.transform(words, lambda w: bucket(F.right(w, F.lit(2)), 1)),
     )
 
 
@@ -94,21 +93,27 @@ class DomainModel:
         return F.transform(exps, lambda e: F.transform(e, lambda a: a / _sum(e)))[0]
 
 
-def learn(labelled: DataFrame, id_col: str = "id", text_col: str = "text", domain_col: str = "domain", train_docs: int = TRAIN_DOCS) -> DomainModel:
-    """Learn from about ``train_docs`` rows of each domain; null ids and domains teach nothing; equal counts keep the
-    order of the domains' names, and no result depends on the order of rows."""
-    rows = labelled.filter(F.col(domain_col).isNotNull() & F.col(id_col).isNotNull())
-    got = sorted(rows.groupBy(domain_col).count().limit(MAX_DOMAINS + 1).collect(), key=lambda r: r[0])
+def learn(docs: DataFrame, labelled: DataFrame, id_col: str = "id", text_col: str = "text", train_docs: int = TRAIN_DOCS) -> DomainModel:
+    """Learn from about ``train_docs`` of the documents that ``labelled`` (id, domain) gives to each domain.
+
+    Null ids and domains teach nothing; a document of several domains teaches each; equal counts keep the order of the
+    domains' names, and no result depends on the order of rows. Only ids are joined; the picked ones, MAX_DOMAINS times
+    ``train_docs`` at most by expectation, are broadcast to the texts.
+    """
+    rows = labelled.select(F.col("id").alias("_id"), F.col("domain").alias("d")).filter("_id IS NOT NULL AND d IS NOT NULL").distinct()
+    rows = rows.join(docs.select(F.col(id_col).alias("_id")), "_id")
+    got = sorted(rows.groupBy("d").count().limit(MAX_DOMAINS + 1).collect(), key=lambda r: r[0])
     if len(got) > MAX_DOMAINS:
         raise ValueError(f"over {MAX_DOMAINS} domains")
     if not got:
         return DomainModel([], [], np.zeros((0, BUCKETS)))
     names, sizes = [r[0] for r in got], np.array([r[1] for r in got], float)
     rate = F.create_map(*[F.lit(x) for name, n in zip(names, sizes, strict=True) for x in (name, min(1.0, train_docs / n))])
-    at = F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) / float(1 << 30)
-    picked = rows.filter(at < rate[F.col(domain_col)])
+    at = F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) / float(1 << 30)
+    picked = F.broadcast(rows.filter(at < rate[F.col("d")]).distinct())
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(picked, "_id")
     # at most MAX_DOMAINS * BUCKETS sums come to the driver
-    sums = picked.select(F.col(domain_col).alias("d"), F.explode(features(words_of(text_col))).alias("b")).groupBy("d", "b").count().collect()
+    sums = texts.select("d", F.explode(features(words_of("_text"))).alias("b")).groupBy("d", "b").count().collect()
     counts, place = np.zeros((len(names), BUCKETS)), {d: k for k, d in enumerate(names)}
     for r in sums:
         counts[place[r["d"]], r["b"]] = r["count"]
@@ -201,11 +206,6 @@ def described(docs: DataFrame, model: DomainModel, text_col: str = "text") -> Da
     return docs.select("*", at.alias(f"{OWN}at")).select(*[F.col(f"`{c}`") for c in docs.columns], F.col(f"{OWN}at.n").alias(f"{OWN}n"), F.col(f"{OWN}at.p").alias(f"{OWN}p"))
 
 
-def _model_of(docs: DataFrame, labelled: DataFrame, id_col: str, text_col: str) -> DomainModel:
-    known = labelled.select(F.col("id").alias("_id"), "domain").distinct()
-    return learn(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(known, "_id"), "_id", "_text")
-
-
 def _fitted(marked: DataFrame, model: DomainModel, weights: dict[str, float]) -> Fit:
     known = [weights.get(d, 0.0) for d in model.domains]
     return fit_rates(marked.select(F.col(f"{OWN}n").alias("n"), F.col(f"{OWN}p").alias("p")), known) if sum(known) else Fit()
@@ -220,7 +220,7 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None =
     null ids are never labelled. Without labelled rows all rates are 1 and posteriors empty; targets that no mixture
     reaches give the nearest one, and the fit's gap tells by how much it misses them.
     """
-    model = _model_of(docs, labelled, id_col, text_col)
+    model = learn(docs, labelled, id_col, text_col)
     if not model.domains:
         rows = docs.select(F.col(id_col), n_words(text_col).alias("n_tokens"), F.array().cast("array<double>").alias("posterior"), F.lit(1.0).alias("rate"), F.lit(1).alias("copies"))
         return rows, model, Fit()
@@ -257,7 +257,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Rows without an id and repeated rows have rates like others; rows of one id come equally often. Without labelled
     rows, or without tokens, the table stays as it is.
     """
-    model = _model_of(docs, domain_labels(spark, sf_dir), "doc_id", "text")
+    model = learn(docs, domain_labels(spark, sf_dir), "doc_id", "text")
     if not model.domains:
         return docs
     marked = materialise(described(docs, model))  # each text is read once; its copies come from what was written

@@ -72,7 +72,7 @@ def test_each_step_lowers_the_objective(spark):
 
 def _posteriors(texts, domains):
     """Naive Bayes with one bucket for each feature."""
-    feats = [[f for w in WORD.findall(t or "") for f in (("w", w), ("b", w[:2]), ("e", w[-2:]))] for t in texts]
+    feats = [[f for w in WORD.findall(t or "") for f in (("w", w), ("e", w[-2:]))] for t in texts]
     names = sorted(set(domains) - {None})
     counts = {d: collections.Counter(f for x, k in zip(feats, domains, strict=True) if k == d for f in x) for d in names}
     rows = collections.Counter(d for d in domains if d)
@@ -98,7 +98,7 @@ def test_posteriors_are_naive_bayes(spark):
     words = {w for t in texts for w in WORD.findall(t or "")}
     probes = spark.createDataFrame([(w,) for w in sorted(words)], "w string").select(F.explode(mixing.features(F.array("w"))).alias("b"), "w")
     seen = probes.select("b").distinct().count()
-    assert seen == len(words) + len({w[:2] for w in words}) + len({w[-2:] for w in words})
+    assert seen == len(words) + len({w[-2:] for w in words})
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     labelled = spark.createDataFrame([(i, d) for i, d in enumerate(domains) if d] + [(None, "a/1"), (5, None)], "id long, domain string")
     out, model, fit = mixing.mix(docs, labelled)
