@@ -37,7 +37,7 @@ def format_bytes(n: Column) -> Column:
     x = n.cast("double")
     out = F.concat(n.cast("string"), F.lit(" B"))
     for power, unit in ((1, "KiB"), (2, "MiB"), (3, "GiB")):
-        out = F.when(x >= 1024.0**power, F.format_string(f"%.1f {unit}", x / 1024.0**power)).otherwise(out)
+        out = F.when(x >= 1024.0**power, F.format_string(f"%.1f {unit}", F.bround(x / 1024.0**power, 1))).otherwise(out)
     return out
 
 
@@ -79,8 +79,14 @@ def count_sequence(words: Column, keyword: list[str]) -> Column:
 
 
 # Words of good and bad mood.
-POSITIVE = "pride proud joy happy love loving beautiful amazing wonderful incredible fantastic brilliant perfect excited thrilled grateful warm breakthrough success works working solved fixed nailed heart hug precious adore".split()
-NEGATIVE = "bug error crash crashing crashed fail failed failing failure broken broke breaking breaks issue problem wrong stuck blocked unable impossible missing terrible horrible awful worse worst panic disaster mess".split()
+POSITIVE = [
+    "pride", "proud", "joy", "happy", "love", "loving", "beautiful", "amazing", "wonderful", "incredible", "fantastic", "brilliant", "perfect", "excited", "thrilled", "grateful", "warm",
+    "breakthrough", "success", "works", "working", "solved", "fixed", "nailed", "heart", "hug", "precious", "adore",
+]
+NEGATIVE = [
+    "bug", "error", "crash", "crashing", "crashed", "fail", "failed", "failing", "failure", "broken", "broke", "breaking", "breaks", "issue", "problem", "wrong", "stuck", "blocked", "unable",
+    "impossible", "missing", "terrible", "horrible", "awful", "worse", "worst", "panic", "disaster", "mess",
+]
 
 
 def sentiment(text: Column) -> Column:
@@ -119,7 +125,9 @@ def drift_percent(current: Column, baseline: Column) -> Column:
 
 
 # Months of transcript headers.
-MONTHS = "January February March April May June July August September October November December".split()
+MONTHS = [
+    "January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December",
+]
 
 
 def session_time(text: Column) -> Column:

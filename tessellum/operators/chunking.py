@@ -75,3 +75,23 @@ def chunk_column(docs: DataFrame, keep: list[str], text_col: str = "text", how=c
             yield pa.RecordBatch.from_arrays([*[batch.column(k).take(at) for k in keep], pa.array(index, pa.int32()), pa.array(content, pa.string())], names=[*keep, "chunk_index", "content"])
 
     return source.mapInArrow(run, f"{types}, chunk_index int, content string")
+
+
+def merge_blocks(docs: DataFrame, keep: list[str], blocks_col: str, text_col: str, otherwise=chunk_lines) -> DataFrame:
+    """``keep``, ``chunk_index`` and ``content`` of an array of blocks, merged and split by size; null blocks: what
+    ``otherwise`` makes of the text."""
+    source = docs.select(*keep, F.col(blocks_col).alias("_blocks"), F.col(text_col).alias("_text"))
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema if f.name not in ("_blocks", "_text"))
+
+    def run(batches):
+        for batch in batches:
+            rows, index, content = [], [], []
+            for i, (blocks, text) in enumerate(zip(batch.column("_blocks").to_pylist(), batch.column("_text").to_pylist(), strict=True)):
+                for k, c in enumerate(otherwise(text) if blocks is None else merge_split(blocks)):
+                    rows.append(i)
+                    index.append(k)
+                    content.append(c)
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([*[batch.column(k).take(at) for k in keep], pa.array(index, pa.int32()), pa.array(content, pa.string())], names=[*keep, "chunk_index", "content"])
+
+    return source.mapInArrow(run, f"{types}, chunk_index int, content string")

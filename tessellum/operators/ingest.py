@@ -30,3 +30,13 @@ def newest_per_kind(rows: DataFrame, keep: int, kind: str = "kind", age: str = "
     """Rows with ``retained``: the newest ``keep`` of each kind, by time and name."""
     w = Window.partitionBy(kind).orderBy(F.desc(age), F.desc(name))
     return rows.withColumn("retained", F.row_number().over(w) <= keep)
+
+
+def distinct_sources(chunks: DataFrame, wing: str) -> DataFrame:
+    """``(source_file)`` of a wing, each once."""
+    return chunks.filter(F.col("wing") == wing).select("source_file").distinct()
+
+
+def first_hashes(chunks: DataFrame, wing: str) -> DataFrame:
+    """``(source_file, source_hash)`` of a wing: the hash of each file's first chunk (ties by id)."""
+    return chunks.filter(F.col("wing") == wing).groupBy("source_file").agg(F.min_by("source_hash", F.struct("chunk_index", "id")).alias("source_hash"))

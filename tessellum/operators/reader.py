@@ -25,3 +25,18 @@ def resolve_source(chunks: DataFrame, wanted: str) -> DataFrame:
     rows = found.crossJoin(F.broadcast(counted))  # a single row
     rows = rows.filter((F.col("_exact") == 0) | (F.col("how") == "exact"))
     return rows.select("source_file", F.when((F.col("how") == "suffix") & (F.col("_suffix") > 1), "ambiguous").otherwise(F.col("how")).alias("how"))
+
+
+def pick(chunks: DataFrame, ids: DataFrame | list[str]) -> DataFrame:
+    """Rows of these ids; a table of ids is joined, a list becomes a filter that reaches the scan."""
+    return chunks.filter(F.col("id").isin(ids)) if isinstance(ids, list) else chunks.join(ids.select("id"), "id", "left_semi")
+
+
+def file_context(chunks: DataFrame, source_file: str, most: int = 10_000) -> DataFrame:
+    """A file's chunks in order, ten thousand at most."""
+    return chunks.filter(F.col("source_file") == source_file).orderBy("chunk_index", "id").limit(most)
+
+
+def latest(entries: DataFrame, n: int = 10, at: str = "filed_at", id_col: str = "id") -> DataFrame:
+    """The latest entries of a diary, newest first, ties by id downwards."""
+    return entries.orderBy(F.desc(at), F.desc(id_col)).limit(n)

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessellum.operators.reader import pick
+
 # The columns of a chunk and what stands for unknown.
 CHUNK_COLUMNS = {
     "id": "string", "text": "string", "wing": "string", "room": "string", "source_file": "string", "chunk_index": "int", "added_by": "string", "filed_at": "string", "hall": "string", "topic": "string", "type": "string", "agent": "string", "date": "string",
@@ -78,7 +80,7 @@ class ChunkStore:
     def get(self, ids: list[str] | None = None, where: Column | None = None, limit: int = 10_000, offset: int = 0) -> DataFrame:
         """Rows of these ids, or a page in order of id."""
         rows = self.read(where)
-        return rows.filter(F.col("id").isin(ids)) if ids is not None else rows.orderBy("id").offset(offset).limit(limit)
+        return pick(rows, ids) if ids is not None else rows.orderBy("id").offset(offset).limit(limit)
 
     def count(self) -> int:
         """From the manifest; reads no data."""

@@ -192,9 +192,9 @@ def extract_reusable(spark, sf):
     return code_graph.reusable(o.union(li).distinct().withColumn("valid_to", F.lit(None).cast("string")), "s3", 2)
 
 
-@register("auto_entities", f"WITH {TRIPLES} SELECT 'order_' || CAST(o_orderkey AS VARCHAR) AS id, 'Order ' || CAST(o_orderkey AS VARCHAR) AS name FROM orders WHERE o_orderkey < 500 UNION ALL SELECT id, name FROM entities")
+@register("auto_entities", f"WITH {TRIPLES} SELECT 'order_' || CAST(o_orderkey AS VARCHAR) AS id, 'Order ' || CAST(o_orderkey AS VARCHAR) AS name FROM orders UNION ALL SELECT id, name FROM entities")
 def auto_entities(spark, sf):
-    names = table(spark, sf, "orders").filter("o_orderkey < 500").selectExpr("concat('Order ', o_orderkey) AS name", "o_orderkey AS order")
+    names = table(spark, sf, "orders").selectExpr("concat('Order ', o_orderkey) AS name", "2 * o_orderkey AS order")
     return kg.auto_entities(entities(spark, sf), names.union(names.selectExpr("upper(name)", "order + 1"))).select("id", "name")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessellum.operators import metrics, rerank, taxonomy, vector
+from tessellum.operators import ingest, metrics, reader, rerank, taxonomy, vector
 from tessellum.operators.where import predicate
 from tessellum.plans.registry import register
 from tessellum.plans.views import CHUNKS, chunks, query_vector, table, vectors
@@ -67,8 +67,7 @@ def scope_page(spark, sf):
 @register("point_lookup", f"WITH {CHUNKS} SELECT id, wing, room FROM chunks WHERE id IN (SELECT id FROM chunks ORDER BY doc_id LIMIT 3)")
 def point_lookup(spark, sf):
     c = chunks(spark, sf)
-    ids = [r[0] for r in c.orderBy("doc_id").limit(3).select("id").collect()]
-    return c.filter(F.col("id").isin(ids)).select("id", "wing", "room")
+    return reader.pick(c, c.orderBy("doc_id").limit(3)).select("id", "wing", "room")
 
 
 @register("count_by_wing", f"WITH {CHUNKS} SELECT wing, count(*) AS n FROM chunks GROUP BY wing")
@@ -102,12 +101,12 @@ def unknown_scope_check(spark, sf):
 
 @register("distinct_source_files", f"WITH {CHUNKS} SELECT DISTINCT source_file FROM chunks WHERE wing = 'src3'")
 def distinct_source_files(spark, sf):
-    return chunks(spark, sf).filter("wing = 'src3'").select("source_file").distinct()
+    return ingest.distinct_sources(chunks(spark, sf), "src3")
 
 
 @register("source_hash_first", f"WITH {CHUNKS} SELECT source_file, source_hash FROM (SELECT *, row_number() OVER (PARTITION BY source_file ORDER BY chunk_index, id) AS k FROM chunks WHERE wing = 'src3') WHERE k = 1")
 def source_hash_first(spark, sf):
-    return chunks(spark, sf).filter("wing = 'src3'").groupBy("source_file").agg(F.min_by("source_hash", F.struct("chunk_index", "id")).alias("source_hash"))
+    return ingest.first_hashes(chunks(spark, sf), "src3")
 
 
 @register(

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessellum.operators import chunking, conversations, ingest, memories
+from tessellum.operators import chunking, conversations, ingest, layers, memories, reader
 from tessellum.plans.registry import register
 from tessellum.plans.views import CHUNKS, chunks, table
 
@@ -53,15 +52,43 @@ def chunk_documents(spark, sf):
     return chunking.chunk_column(table(spark, sf, "documents"), ["doc_id"])
 
 
-@register("memory_types")
+# Segments that are told to events in turn, with the type and confidence that their signs add up to.
+_SEGMENTS = [
+    ("We decided to use the small parser because it is simple.", "decision", 0.4), ("I prefer tabs and we always use them, never use blanks here.", "preference", 0.8), ("It works now and we finally shipped version 2 of the demo.", "milestone", 1.0),
+    ("The bug is a crash and the build keeps failing again.", "problem", 0.8), ("The issue was a broken lock but now it is fixed and resolved.", "milestone", 0.8), ("Nothing of note was said here today at all.", None, None), ("short", None, None),
+    ("We chose this strategy today.\n```\nerror bug crash fail error bug crash\n```\nimport error from bug", "decision", 0.4),
+]
+_SEGMENT_VALUES = ", ".join("({}, {}, {})".format(k, "NULL" if t is None else f"'{t}'", "NULL" if c is None else c) for k, (_, t, c) in enumerate(_SEGMENTS))
+
+
+@register("memory_types", f"SELECT event_id, t AS memory_type, CAST(c AS DOUBLE) AS confidence FROM events JOIN (VALUES {_SEGMENT_VALUES}) v(k, t, c) ON k = event_id % {len(_SEGMENTS)} WHERE t IS NOT NULL")
 def memory_types(spark, sf):
-    return memories.memory_types(table(spark, sf, "conversations").select("conv_id", "turn", F.col("text").alias("content"))).select("conv_id", "turn", "memory_type", "confidence")
+    text = F.element_at(F.array(*[F.lit(x[0]) for x in _SEGMENTS]), (F.col("event_id") % len(_SEGMENTS)).cast("int") + 1)
+    return memories.memory_types(table(spark, sf, "events").select("event_id", text.alias("content"))).select("event_id", "memory_type", "confidence")
+
+
+@register("memory_segments", f"SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS INTEGER) AS chunk_index, t AS memory_type FROM events JOIN (VALUES {_SEGMENT_VALUES}) v(k, t, c) ON k = event_id % 7 WHERE t IS NOT NULL AND k < 7")
+def memory_segments(spark, sf):
+    """Memories of a user's whole log, whose paragraphs are the segments above."""
+    text = F.element_at(F.array(*[F.lit(x[0]) for x in _SEGMENTS]), (F.col("event_id") % 7).cast("int") + 1)
+    logs = table(spark, sf, "events").select("user_id", "event_id", text.alias("t")).groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "t"))), lambda x: x["t"]), "\n\n").alias("text"))
+    return memories.extract_memories(logs, ["user_id"]).select("user_id", "chunk_index", "memory_type")
 
 
 _STOP = ["the", "and", "for", "with", "that", "this", "from", "was", "are", "not"]
+_STOPPED = ", ".join(f"'{w}'" for w in _STOP)
 
 
-@register("entity_candidates", "WITH x AS (SELECT unnest(regexp_split_to_array(text, '[^\\p{L}\\p{N}_]+')) AS name FROM conversations), w AS (SELECT name FROM x WHERE regexp_full_match(name, '[A-Z][a-z]{1,19}')) SELECT name, count(*) AS frequency FROM w WHERE lower(name) NOT IN (" + ", ".join(f"'{w}'" for w in _STOP) + ") GROUP BY name HAVING count(*) >= 3")
+@register(
+    "entity_candidates",
+    r"WITH x AS (SELECT conv_id, turn, unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+')) AS tok, generate_subscripts(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+'), 1) AS i FROM conversations), "
+    r"c AS (SELECT *, regexp_full_match(tok, '[A-Z][a-z]+') AS cap, regexp_full_match(tok, '\s+') AS ws FROM x), "
+    r"l AS (SELECT *, coalesce(lag(cap) OVER w AND ws AND lead(cap) OVER w, FALSE) AS glue FROM c WINDOW w AS (PARTITION BY conv_id, turn ORDER BY i)), "
+    r"m AS (SELECT *, cap AND NOT coalesce(lag(glue) OVER (PARTITION BY conv_id, turn ORDER BY i), FALSE) AS first FROM l), g AS (SELECT *, sum(CAST(first AS INT)) OVER (PARTITION BY conv_id, turn ORDER BY i) AS run FROM m), "
+    r"p AS (SELECT string_agg(tok, '' ORDER BY i) AS name, count(*) AS n, bool_or(lower(tok) IN (" + _STOPPED + r")) AS stopped FROM g WHERE cap OR glue GROUP BY conv_id, turn, run), "
+    r"every AS (SELECT name FROM p WHERE n > 1 AND NOT stopped UNION ALL SELECT tok FROM c WHERE regexp_full_match(tok, '[A-Z][a-z]{1,19}') AND lower(tok) NOT IN (" + _STOPPED + ")) "
+    "SELECT name, count(*) AS frequency FROM every GROUP BY name HAVING count(*) >= 3",
+)
 def entity_candidates(spark, sf):
     return memories.name_candidates(table(spark, sf, "conversations"), _STOP)
 
@@ -83,13 +110,13 @@ def upsert_latest_wins(spark, sf):
 
 @register("diary_latest", "SELECT event_id, ts, event_type FROM events WHERE user_id = 7 ORDER BY ts DESC, event_id DESC LIMIT 10")
 def diary_latest(spark, sf):
-    return table(spark, sf, "events").filter("user_id = 7").orderBy(F.desc("ts"), F.desc("event_id")).limit(10).select("event_id", "ts", "event_type")
+    return reader.latest(table(spark, sf, "events").filter("user_id = 7"), 10, "ts", "event_id").select("event_id", "ts", "event_type")
 
 
-@register("file_context", f"WITH {CHUNKS} SELECT id, chunk_index, length(text) AS chars FROM chunks WHERE source_file LIKE '%/file_3.txt' ORDER BY chunk_index, id LIMIT 10000")
+@register("file_context", f"WITH {CHUNKS} SELECT id, chunk_index, length(text) AS chars FROM chunks WHERE regexp_replace(source_file, '/src[0-9]+/', '/') = '/src/file_3.txt' ORDER BY chunk_index, id LIMIT 10000")
 def file_context(spark, sf):
-    rows = chunks(spark, sf).filter("source_file LIKE '%/file_3.txt'")
-    return rows.orderBy("chunk_index", "id").limit(10000).select("id", "chunk_index", F.length("text").cast("long").alias("chars"))
+    merged = chunks(spark, sf).withColumn("source_file", F.regexp_replace("source_file", "/src[0-9]+/", "/"))
+    return reader.file_context(merged, "/src/file_3.txt").select("id", "chunk_index", F.length("text").cast("long").alias("chars"))
 
 
 @register("read_slice", f"WITH {CHUNKS}, l AS (SELECT id, unnest(string_split(text, chr(10))) AS text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM chunks WHERE wing = 'src2') SELECT id, line, text FROM l WHERE line BETWEEN 2 AND 5")
@@ -99,14 +126,22 @@ def read_slice(spark, sf):
     return line_slice(chunks(spark, sf).filter("wing = 'src2'"), 2, 5).select("id", F.col("line").cast("long").alias("line"), "text")
 
 
+_SNIP = r"replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), chr(10), ' ')"
+
+
 @register(
-    "essential_budget",
-    f"WITH {CHUNKS}, t AS (SELECT * FROM chunks ORDER BY id LIMIT 15), e AS (SELECT id, room, least(length(text), 200) AS n FROM t), r AS (SELECT *, sum(n) OVER (ORDER BY room, id ROWS UNBOUNDED PRECEDING) AS total FROM e) SELECT id, room, CAST(total AS BIGINT) AS total FROM r WHERE total <= 2000",
+    "essential_story",
+    f"WITH {CHUNKS}, t AS (SELECT * FROM chunks ORDER BY id LIMIT 15), e AS (SELECT room, row_number() OVER (PARTITION BY room ORDER BY id) AS k, '  - ' || CASE WHEN length({_SNIP}) > 200 THEN left({_SNIP}, 197) || '...' ELSE {_SNIP} END || '  (' || string_split(source_file, '/')[-1] || ')' AS line FROM t "
+    "UNION ALL SELECT DISTINCT room, 0, chr(10) || '[' || room || ']' FROM t), s AS (SELECT *, sum(length(line)) OVER (ORDER BY room, k ROWS UNBOUNDED PRECEDING) AS total FROM e), p AS (SELECT *, bool_or(k > 0 AND total > 3200) OVER (ORDER BY room, k ROWS UNBOUNDED PRECEDING) AS past FROM s) "
+    "SELECT '## L1 — ESSENTIAL STORY' || coalesce(chr(10) || string_agg(line, chr(10) ORDER BY room, k) FILTER (NOT past), '') || CASE WHEN bool_or(past) THEN chr(10) || '  ... (more in L3 search)' ELSE '' END AS story FROM p",
 )
-def essential_budget(spark, sf):
-    top = chunks(spark, sf).orderBy("id").limit(15).select("id", "room", F.least(F.length("text"), F.lit(200)).alias("n"))
-    total = F.sum("n").over(Window.orderBy("room", "id").rowsBetween(Window.unboundedPreceding, 0))  # fifteen rows
-    return top.withColumn("total", total).filter("total <= 2000").select("id", "room", "total")
+def essential_story(spark, sf):
+    return layers.essential_story(chunks(spark, sf))
+
+
+@register("recall_scope", f"WITH {CHUNKS} SELECT id, room, source_file, CASE WHEN length({_SNIP}) > 300 THEN left({_SNIP}, 297) || '...' ELSE {_SNIP} END AS snippet FROM chunks WHERE wing = 'src2' AND room = 'en' ORDER BY id LIMIT 10")
+def recall_scope(spark, sf):
+    return layers.recall(chunks(spark, sf), "src2", "en", 10)
 
 
 @register("export_records", f"WITH {CHUNKS} SELECT id, wing, room, source_file, chunk_index FROM chunks WHERE wing = 'src5'")

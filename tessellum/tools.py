@@ -132,8 +132,7 @@ class Tools:
         return found.orderBy(*order).limit(n).withColumn("similarity", vector.similarity(F.col("distance")))
 
     def file_context(self, source_file: str, wing: str | None = None) -> DataFrame:
-        rows = self.chunks.read(wings=[wing] if wing else None).filter(F.col("source_file") == source_file)
-        return rows.orderBy("chunk_index", "id").limit(10_000)
+        return reader.file_context(self.chunks.read(wings=[wing] if wing else None), source_file)
 
     def check_duplicate(self, content: str, threshold: float = 0.9) -> DataFrame:
         near = vector.duplicates(self._vectors(), self._vector(content), threshold)
@@ -176,4 +175,4 @@ class Tools:
 
     def diary_read(self, agent_name: str, last_n: int = 10) -> DataFrame:
         rows = self.chunks.read(wings=[f"wing_{agent_name.lower()}"]).filter("room = 'diary'")
-        return rows.orderBy(F.desc("filed_at"), "id").limit(last_n).select("date", "filed_at", "topic", "text")
+        return reader.latest(rows, last_n).select("date", "filed_at", "topic", "text")
