@@ -49,12 +49,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 def materialise(df: DataFrame) -> DataFrame:
     """Write to Parquet in the shared folder and read back: cuts lineage and survives lost executors.
 
-    The tables of an application lie in a folder of its id, which may go once the application has ended.
+    The tables of an application lie in a folder of its id, which may go once the application has ended; ``discard``
+    deletes one that no result reads any more.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessellum/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialise`` wrote; nothing may read them afterwards."""
+    for df in tables:
+        path = getattr(df, "_written_to", None)
+        if path:
+            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(conf).delete(target, True)
 
 
 def cut(df: DataFrame) -> DataFrame:

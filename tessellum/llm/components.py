@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessellum.llm.common import materialise
+from tessellum.llm.common import discard, materialise
 
 #: Edges that one local contraction holds.
 LOCAL_EDGES = 1 << 20
@@ -76,7 +76,8 @@ def connected_components(edges: DataFrame, max_steps: int = 60) -> DataFrame:
         # small star: u and its smaller neighbours go to the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = materialise(moved.union(least.select("u", F.col("m").alias("v"))).distinct())
+        old, edges = edges, materialise(moved.union(least.select("u", F.col("m").alias("v"))).distinct())
+        discard(old, large)
         after = _mark(edges)
         if after == before:
             break

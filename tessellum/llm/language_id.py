@@ -48,7 +48,8 @@ class LanguageModel:
 
 
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = TRAIN_DOCS) -> LanguageModel:
-    """Learn from about ``train_docs`` rows of each non-null language (all, where it has fewer); null ids and texts teach nothing."""
+    """Learn from about ``train_docs`` rows of each non-null language (all, where it has fewer); null ids and texts teach nothing.
+    Repeated rows count as often as they come; of equally likely languages the first by name is predicted."""
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(id_col, text_col, lang_col)
     most = MATRIX_BYTES // (4 << BITS)
     sizes = {r[0]: r[1] for r in rows.groupBy(lang_col).count().limit(most + 1).collect()}
@@ -118,7 +119,10 @@ MIN_SCORE = 0.3
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents of no recognisable language go (``und``, or a score under MIN_SCORE); columns stay."""
+    """Pipeline stage: documents of no recognisable language go (``und``, or a score under MIN_SCORE); columns stay.
+
+    Null and empty texts, and those without a letter, are ``und`` and go; null ids and repeated rows are judged like others.
+    """
     names = docs.columns
     judged = predict(docs, train(_train_fold(docs)), names, names=(f"{OWN}lang", f"{OWN}score"))
     return judged.filter((F.col(f"{OWN}lang") != UNKNOWN) & (F.col(f"{OWN}score") >= MIN_SCORE)).select(*[F.col(f"`{c}`") for c in names])

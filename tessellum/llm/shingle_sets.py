@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessellum.llm.common import blocks, materialise, mix64, utf8, word_hashes
+from tessellum.llm.common import blocks, discard, materialise, mix64, utf8, word_hashes
 from tessellum.llm.components import connected_components
 
 #: Documents that the sample holds, about, the count in it that makes a shingle common, and common shingles at most.
@@ -206,10 +206,11 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words_of_shin
 
     held = [nodes.select(F.col("s").alias(x), F.col("profile").alias(f"p_{x}")) for x in ("u", "v")]
     kind = nodes.schema["rep"].dataType.simpleString()
+    sized_pairs = near
     near = materialise(near.join(held[0], "u").join(held[1], "v").mapInArrow(possible, f"u long, v long, rep_u {kind}, rep_v {kind}"))
-    wanted = materialise(near.select(F.col("rep_u").alias("id")).union(near.select("rep_v")).distinct())
-    if wanted.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
+    ids = wanted = materialise(near.select(F.col("rep_u").alias("id")).union(near.select("rep_v")).distinct())
+    if ids.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(ids)
 
     def sets(batches):
         for x in blocks(batches, "t"):
@@ -230,7 +231,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words_of_shin
             yield x.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     full = near.select("u", "v").join(held.select(F.col("s").alias("u"), F.col("h").alias("h_u")), "u").join(held.select(F.col("s").alias("v"), F.col("h").alias("h_v")), "v")
-    return materialise(full.select("u", "v", "h_u", "h_v").mapInArrow(compare, "u long, v long"))
+    links = materialise(full.select("u", "v", "h_u", "h_v").mapInArrow(compare, "u long, v long"))
+    discard(sized_pairs, near, ids, held)
+    return links
 
 
 def _least_shared(n: Column, m: Column, similarity: float) -> Column:

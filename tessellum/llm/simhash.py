@@ -171,7 +171,7 @@ def link_fingerprints(fps: DataFrame, plan: list[tuple[list[int], int]], hot_buc
     for i, bits in near:
         flips = F.array(*[F.lit(_mask([b])).cast("long") for b in bits])
         probes = probes.union(fps.select("fp", "rep", F.lit(i).alias("part"), F.explode(F.transform(flips, _key(bits).bitwiseXOR)).alias("key")))
-    sizes = indexed.groupBy("part", "key").count()
+    sizes = probes.groupBy("part", "key").count()  # index and probes: flipped probes of a full bucket's neighbours count
     if near:
         usual, hot = sizes.filter(F.col("count") <= hot_bucket), sizes.filter(F.col("count") > hot_bucket)
     else:
@@ -214,7 +214,8 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group the document with the smallest id stays, one row of it; rows without an id stay.
 
-    Groups hold all pairs of documents whose sets of five-word shingles have a similarity of 0.8 and more.
+    Groups hold all pairs of documents whose sets of five-word shingles have a similarity of 0.8 and more. Null, empty and
+    blank texts are one group. Of several rows of one id the first by its other columns stays. An empty table stays empty.
     """
     groups = similar_components(docs, "doc_id", "text", STAGE_SHINGLE, STAGE_DISTANCE, STAGE_SIMILARITY)
     gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()

@@ -57,7 +57,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Learn from about ``train_docs`` labelled documents of each class.
 
     Null ids and labels teach nothing; of several labels of one id the largest counts; without one of the classes every
-    score is the share of toxic labels.
+    score is the share of toxic labels. Of several rows of an id the least text teaches; features that tell the classes equally well
+    are taken in order of their buckets.
     """
     marks = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg((F.max(label_col) > 0).cast("int").alias("_y"))
     sizes = {r[0]: r[1] for r in marks.groupBy("_y").count().collect()}
@@ -68,7 +69,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rate = F.when(F.col("_y") == 1, min(1.0, train_docs / sizes[1])).otherwise(min(1.0, train_docs / sizes[0]))
     picked = marks.filter(F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) / float(1 << 30) < rate)
     # about 2 * train_docs ids and labels at most: safe to broadcast at any size
-    sample = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(picked.withColumnRenamed(id_col, "_id")), "_id").select("_text", "_y")
+    sample = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(picked.withColumnRenamed(id_col, "_id")), "_id")
+    # one text an id, however often it comes: the bound holds
+    sample = sample.groupBy("_id", "_y").agg(F.min("_text").alias("_text")).select("_text", "_y")
 
     def count(batches):
         sums = np.zeros((2, 1 << BITS), np.int64)
@@ -138,7 +141,11 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents predicted toxic go; columns stay."""
+    """Pipeline stage: documents predicted toxic go; columns stay.
+
+    Null and empty texts get the score of a text without features, and stay while toxic labels are the rarer; null ids and
+    repeated rows are judged like others.
+    """
     names = docs.columns
     judged = score(docs, train(docs, _train_labels(spark, sf_dir)), names, names=(f"{OWN}score", f"{OWN}toxic"))
     return judged.filter(F.col(f"{OWN}toxic") == 0).select(*[F.col(f"`{c}`") for c in names])
