@@ -1,4 +1,4 @@
-"""The stored graph of facts: one folder a version for triples and entities, the newest is read."""
+"""The stored graph of facts: triples and entities as logs of commits."""
 
 from __future__ import annotations
 
@@ -9,39 +9,24 @@ from pyspark.sql import functions as F
 
 from tessellum.functions.text import entity_id
 from tessellum.operators import kg
+from tessellum.operators.log_table import LogTable
 
 TRIPLE = "id string, subject string, predicate string, object string, valid_from string, valid_to string, confidence double, source_closet string, source_file string, extracted_at string"
 ENTITY = "id string, name string, type string, properties string, created_at string"
 
 
 class FactStore:
+    """Two logs of commits; a fact that is added or ended is written alone."""
+
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-
-    def _version(self) -> int:
-        try:
-            return self.spark.read.schema("version int").parquet(f"{self.path}/versions").agg(F.max("version")).first()[0] or 0
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return 0
-
-    def _read(self, what: str, schema: str) -> DataFrame:
-        v = self._version()
-        return self.spark.read.schema(schema).parquet(f"{self.path}/v{v}/{what}") if v else self.spark.createDataFrame([], schema)
+        self._triples, self._entities = LogTable(spark, f"{self.path}/triples", TRIPLE), LogTable(spark, f"{self.path}/entities", ENTITY)
 
     def triples(self) -> DataFrame:
-        return self._read("triples", TRIPLE)
+        return self._triples.read()
 
     def entities(self) -> DataFrame:
-        return self._read("entities", ENTITY)
-
-    def _write(self, triples: DataFrame, entities: DataFrame) -> None:
-        v = self._version() + 1
-        names = lambda s: [c.split()[0] for c in s.split(", ")]
-        triples.select(*names(TRIPLE)).write.parquet(f"{self.path}/v{v}/triples")
-        entities.select(*names(ENTITY)).write.parquet(f"{self.path}/v{v}/entities")
-        self.spark.createDataFrame([(v,)], "version int").coalesce(1).write.mode("append").parquet(f"{self.path}/versions")
+        return self._entities.read()
 
     def add(self, facts: DataFrame) -> None:
         """Facts by name (``subject``, ``predicate``, ``object`` and what else of a triple there is): entities are made
@@ -59,14 +44,20 @@ class FactStore:
         if bad:
             raise ValueError(f"{bad['error']}: {bad['_s']} {bad['predicate']} {bad['_o']}")
         names = ids.select(F.col("_s").alias("name"), F.lit(0).alias("order")).union(ids.select(F.col("_o"), F.lit(1)))
-        made = kg.auto_entities(self.entities(), names).withColumn("created_at", F.coalesce("created_at", F.lit(now)))
-        self._write(kg.add_triples(self.triples(), ids.drop("_s", "_o")), made)
+        held, known = self.triples(), self.entities()
+        made = kg.auto_entities(known, names).withColumn("created_at", F.coalesce("created_at", F.lit(now))).join(known.select("id"), "id", "left_anti")
+        self._entities.commit(made.cache(), None, "add")
+        made.unpersist()
+        new = kg.add_triples(held, ids.drop("_s", "_o")).join(held.select("id"), "id", "left_anti")
+        self._triples.commit(new, None, "add")
 
     def add_entity(self, name: str, kind: str = "unknown", properties: str = "{}") -> None:
         now = datetime.datetime.now(datetime.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
         new = self.spark.createDataFrame([(name, kind, properties, now)], "name string, type string, properties string, created_at string").withColumn("id", entity_id(F.col("name")))
-        self._write(self.triples(), self.entities().join(new.select("id"), "id", "left_anti").unionByName(new))
+        self._entities.commit(new, new.select("id"), "add entity")
 
     def invalidate(self, condition: Column, ended: str | None = None) -> None:
         day = ended or datetime.date.today().isoformat()
-        self._write(kg.invalidate(self.triples(), condition, day), self.entities())
+        before = self.triples()
+        ended_now = kg.invalidate(before, condition, day).join(before.filter("valid_to IS NULL").select("id"), "id", "left_semi").filter("valid_to IS NOT NULL")
+        self._triples.commit(ended_now, ended_now.select("id"), "invalidate")

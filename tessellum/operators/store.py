@@ -1,15 +1,18 @@
-"""A versioned chunk store on plain Parquet: data folders by wing, and a manifest of which folder each version reads.
+"""A versioned store of chunks with their vectors, on a log of commits.
 
-A write makes new folders for the wings that it touches only and then adds a manifest row; readers of an older version
-go on reading theirs. One writer at a time.
+A write adds the rows that it brings and the ids that go; nothing else is written anew, and readers of an older version go
+on reading theirs. Vectors are made once, when a chunk is written.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from tessellum.functions.text import embed as test_embed
+from tessellum.operators.log_table import LogTable
 from tessellum.operators.reader import pick
 
 # The columns of a chunk and what stands for unknown.
@@ -18,64 +21,36 @@ CHUNK_COLUMNS = {
     "ingest_mode": "string", "extract_mode": "string", "compression_ratio": "float", "original_tokens": "int", "language": "string", "symbol_name": "string", "symbol_type": "string", "heading": "string", "heading_level": "int", "heading_path": "string",
     "doc_section_type": "string", "contains_mermaid": "int", "contains_code": "int", "contains_table": "int", "source_hash": "string", "extractor_version": "string", "chunker_strategy": "string", "line_start": "int", "line_end": "int",
 }
-MANIFEST = "version long, reason string, folders map<string,string>, rows map<string,long>"
+VECTOR = "vector"
 
 
-def conform(rows: DataFrame) -> DataFrame:
-    """The columns of a chunk: unknown ones go, missing ones and nulls get '' or 0, others are cast (bad numbers: 0)."""
+def conform(rows: DataFrame, embed: Callable[[Column], Column] = test_embed) -> DataFrame:
+    """The columns of a chunk: unknown ones go, missing ones and nulls get '' or 0, others are cast (bad numbers: 0). A missing
+    vector is made from the text."""
     out = []
     for name, kind in CHUNK_COLUMNS.items():
         empty = F.lit("") if kind == "string" else F.lit(0).cast(kind)
         out.append((F.coalesce(F.col(name).try_cast(kind), empty) if name in rows.columns else empty).alias(name))
-    return rows.select(*out)
+    made = embed(F.coalesce(F.col("text"), F.lit(""))).cast("array<float>") if "text" in rows.columns else F.array().cast("array<float>")
+    vector = F.coalesce(F.col(VECTOR).cast("array<float>"), made) if VECTOR in rows.columns else made
+    return rows.select(*out, vector.alias(VECTOR))
 
 
 class ChunkStore:
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    # ---- versions
-
-    def manifest(self) -> DataFrame:
-        """All versions; empty where there is no store yet."""
-        try:
-            return self.spark.read.schema(MANIFEST).parquet(f"{self.path}/manifest")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return self.spark.createDataFrame([], MANIFEST)
-
-    def _head(self, version: int | None = None):
-        rows = self.manifest()
-        if version is not None:
-            rows = rows.filter(F.col("version") == version)
-        return rows.orderBy(F.desc("version")).first()
-
-    def _commit(self, rows: DataFrame | None, wings: set[str], reason: str) -> int:
-        """New folders for ``wings`` with ``rows`` (all of their rows)."""
-        head = self._head()
-        version = (head["version"] if head else 0) + 1
-        folders, counts = (dict(head["folders"]), dict(head["rows"])) if head else ({}, {})
-        for w in wings:
-            folders.pop(w, None)
-            counts.pop(w, None)
-        if rows is not None:
-            root = f"{self.path}/data/v{version}"
-            rows.withColumn("_wing", F.md5("wing")).write.partitionBy("_wing").parquet(root)
-            for r in self.spark.read.parquet(root).groupBy("wing", "_wing").count().collect():
-                folders[r["wing"]], counts[r["wing"]] = f"{root}/_wing={r['_wing']}", r["count"]
-        self.spark.createDataFrame([(version, reason, folders, counts)], MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
-        return version
+    def __init__(self, spark: SparkSession, path: str, embed: Callable[[Column], Column] = test_embed):
+        self.spark, self.path, self.embed = spark, path.rstrip("/"), embed
+        self.log = LogTable(spark, self.path, ", ".join(f"{n} {k}" for n, k in CHUNK_COLUMNS.items()) + f", {VECTOR} array<float>", "wing")
 
     # ---- reading
 
-    def read(self, where: Column | None = None, wings: list[str] | None = None, version: int | None = None) -> DataFrame:
-        """Rows of the newest (or a given) version; of ``wings`` only their folders are listed."""
-        head = self._head(version)
-        schema = T.StructType([T.StructField(n, T._parse_datatype_string(k)) for n, k in CHUNK_COLUMNS.items()])
-        folders = [f for w, f in (head["folders"] if head else {}).items() if wings is None or w in wings]
-        rows = self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
-        return rows if where is None else rows.filter(where)
+    def version(self) -> int:
+        head = self.log.head()
+        return head["version"] if head else 0
+
+    def read(self, where: Column | None = None, wings: list[str] | None = None, version: int | None = None, vectors: bool = False) -> DataFrame:
+        """Rows of the newest (or a given) version; of ``wings`` only their files are read, and no vectors unless asked for."""
+        rows = self.log.read(where, wings, version)
+        return rows if vectors else rows.drop(VECTOR)
 
     def get(self, ids: list[str] | None = None, where: Column | None = None, limit: int = 10_000, offset: int = 0) -> DataFrame:
         """Rows of these ids, or a page in order of id."""
@@ -83,59 +58,50 @@ class ChunkStore:
         return pick(rows, ids) if ids is not None else rows.orderBy("id").offset(offset).limit(limit)
 
     def count(self) -> int:
-        """From the manifest; reads no data."""
-        head = self._head()
-        return sum(head["rows"].values()) if head else 0
+        return self.log.count()
 
     # ---- writing
 
-    def _touched(self, rows: DataFrame) -> set[str]:
-        return {r[0] for r in rows.select("wing").distinct().collect()}
-
     def add(self, rows: DataFrame, reason: str = "add") -> int:
-        new = conform(rows)
-        wings = self._touched(new)
-        return self._commit(self.read(wings=list(wings)).unionByName(new), wings, reason)
+        """Rows with new ids; cost follows them."""
+        return self.log.commit(conform(rows, self.embed), None, reason)
 
     def upsert(self, rows: DataFrame, order: str | None = None, reason: str = "upsert") -> int:
-        """Rows replace those of the same id, in whatever wing; of several incoming rows of an id the last by ``order``."""
+        """Rows replace those of the same id, in whatever wing; of several incoming rows of an id the last by ``order``. What is
+        stored isn't read."""
         source = rows if order is None else rows.withColumn("_k", F.row_number().over(Window.partitionBy("id").orderBy(F.desc(order)))).filter("_k = 1")
-        new = conform(source)
-        old = self.read()
-        wings = self._touched(new) | self._touched(old.join(new.select("id"), "id", "left_semi"))
-        kept = self.read(wings=list(wings)).join(new.select("id"), "id", "left_anti").select(*CHUNK_COLUMNS)
-        return self._commit(kept.unionByName(new), wings, reason)
+        new = conform(source, self.embed)
+        return self.log.commit(new, new.select("id"), reason)
 
-    def delete(self, condition: Column, reason: str = "delete") -> int:
-        """Rows that meet the condition go; returns their number. Without any, no version is made."""
-        hit = self.read(condition).groupBy("wing").count().collect()
-        gone = {r["wing"]: r["count"] for r in hit}
-        if gone:
-            self._commit(self.read(~F.coalesce(condition, F.lit(False)), wings=list(gone)), set(gone), reason)
-        return sum(gone.values())
+    def replace(self, rows: DataFrame, gone: DataFrame, reason: str) -> int:
+        """One version with ``rows`` and without the rows of the ids ``gone``."""
+        return self.log.commit(conform(rows, self.embed), gone, reason)
 
-    def delete_wing(self, wing: str) -> int:
-        head = self._head()
-        n = head["rows"].get(wing, 0) if head else 0
+    def delete(self, condition: Column, reason: str = "delete", wings: list[str] | None = None) -> int:
+        """Rows that meet the condition go; returns their number. Without any, no version is made."""
+        hit = self.read(condition, wings).select("id")
+        n = hit.count()
         if n:
-            self._commit(None, {wing}, "delete wing")
+            self.log.commit(None, hit, reason)
         return n
 
+    def delete_wing(self, wing: str) -> int:
+        return self.delete(F.col("wing") == wing, "delete wing", [wing])
+
     def delete_sources(self, source_files: list[str], wing: str) -> int:
-        return self.delete((F.col("wing") == wing) & F.col("source_file").isin(source_files), "delete sources")
+        return self.delete((F.col("wing") == wing) & F.col("source_file").isin(source_files), "delete sources", [wing])
 
     # ---- maintenance
 
-    def compact(self, file_rows: int = 1_000_000) -> int:
-        """All wings written anew with files of up to ``file_rows``; checked against the old counts before it counts."""
-        before = self.count()
-        head = self._head()
-        if not head:
-            return 0
-        if self.read().count() != before:
-            raise RuntimeError("the store can't be read whole; nothing was changed")
-        rows = self.read().repartition(max(1, -(-before // file_rows)), "wing")
-        return self._commit(rows, set(head["folders"]), "compact")
+    def compact(self, file_rows: int = 1_000_000, backup: Callable[[], bool] | None = None) -> int:
+        """All rows in files of up to ``file_rows``; a backup that fails comes before, and the number of rows is checked."""
+        if backup is not None and not backup():
+            raise RuntimeError("no backup, so nothing was changed")
+        return self.log.compact(file_rows)
+
+    def vacuum(self, older_than: float = 0.0) -> int:
+        """Forget older versions and delete what only they read."""
+        return self.log.vacuum(older_than)
 
     def health(self, version: int | None = None) -> dict:
         """Counts, a first row and a grouping, each tried on its own."""
@@ -151,18 +117,27 @@ class ChunkStore:
 
     def restore(self, version: int) -> int:
         """A new version that reads what an older one read."""
-        old = self._head(version)
-        if old is None:
-            raise ValueError(f"no version {version}")
-        new = self._head()["version"] + 1
-        self.spark.createDataFrame([(new, f"restore {version}", old["folders"], old["rows"])], MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
-        return new
+        return self.log.restore(version)
 
     def recover(self, dry_run: bool = True) -> int | None:
         """The newest version whose probes all pass (restored unless ``dry_run``); None if none does."""
-        for r in self.manifest().orderBy(F.desc("version")).select("version").collect():
+        for r in self.log.versions().orderBy(F.desc("version")).select("version").collect():
             if self.health(r["version"])["ok"]:
-                if not dry_run and r["version"] != self._head()["version"]:
+                if not dry_run and r["version"] != self.version():
                     self.restore(r["version"])
                 return r["version"]
         return None
+
+    def stats(self) -> dict[str, int]:
+        """Bytes and files of all versions, versions, and bytes that the newest doesn't read."""
+        from pyspark.errors import AnalysisException
+
+        try:
+            files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{self.path}/data").select("path", "length")
+            sums = files.groupBy(F.regexp_extract("path", r"/seq=(\d+)/", 1).cast("long").alias("seq")).agg(F.sum("length").alias("bytes"), F.count("*").alias("files")).collect()
+        except AnalysisException:
+            sums = []
+        head = self.log.head()
+        live = {d["seq"] for d in head["data"]} if head else set()
+        total = sum(r["bytes"] for r in sums)
+        return {"bytes": total, "files": sum(r["files"] for r in sums), "versions": self.log.versions().count(), "reclaimable": total - sum(r["bytes"] for r in sums if r["seq"] in live)}

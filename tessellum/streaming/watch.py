@@ -34,24 +34,12 @@ def ingest(spark: SparkSession, root: str, store: ChunkStore, wing: str, extensi
     rows = chunks.select("*", F.lit(wing).alias("wing"), F.lit(room).alias("room"))
     rows = rows.withColumn("id", chunk_id(F.col("wing"), F.col("room"), F.col("source_file"), F.col("chunk_index")))
     if counts:
-        old = store.read(wings=[wing]).join(changes.select("source_file"), "source_file", "left_anti")
-        store._commit(old.select(*_columns()).unionByName(_conform(rows)), {wing}, "ingest")
+        old = store.read(wings=[wing]).join(changes.select("source_file"), "source_file", "left_semi")
+        store.replace(rows, old.select("id"), "ingest")
     changes.unpersist()
     return counts
 
 
-def _columns() -> list[str]:
-    from tessellum.operators.store import CHUNK_COLUMNS
-
-    return list(CHUNK_COLUMNS)
-
-
-def _conform(rows: DataFrame) -> DataFrame:
-    from tessellum.operators.store import conform
-
-    return conform(rows)
-
-
 def watch(spark: SparkSession, root: str, store: ChunkStore, wing: str, extensions: list[str], checkpoint: str, gate: Callable[[], bool] = lambda: True, on_batch: Callable[[int, dict], None] | None = None, available_now: bool = False, **rules) -> StreamingQuery:
     """A streaming query over the folder. ``gate`` may skip a batch (no disk left, say); its files come with the next."""
     events = spark.readStream.format("binaryFile").schema(BINARY).option("recursiveFileLookup", "true").load(root).select("path", "modificationTime")

@@ -32,8 +32,7 @@ class Tools:
         return list(self.spark.createDataFrame([(text,)], "t string").select(embed(F.col("t"))).first()[0])
 
     def _vectors(self, wing: str | None = None) -> DataFrame:
-        rows = self.chunks.read(wings=[wing] if wing else None)
-        return rows.withColumn("vector", embed(F.col("text")))
+        return self.chunks.read(wings=[wing] if wing else None, vectors=True)
 
     # read
     def status(self) -> DataFrame:

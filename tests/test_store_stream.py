@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessellum.operators.store import ChunkStore
@@ -28,7 +29,22 @@ def test_store_round(spark, tmp_path):
     s.restore(2)
     assert s.count() == 3 and s.read().count() == 3
     s.compact()
-    assert s.count() == 3 and s.health()["ok"] and s.recover() == s._head()["version"]
+    assert s.count() == 3 and s.health()["ok"] and s.recover() == s.version()
+    before = s.stats()
+    assert before["reclaimable"] > 0 and s.vacuum() == before["versions"] - 1 and s.count() == 3 and s.stats()["reclaimable"] == 0
+    assert len(s.read(vectors=True).first()["vector"]) == 384
+
+
+def test_second_writer_fails(spark, tmp_path):
+    from tessellum.operators.log_table import ConflictError, LogTable
+
+    t = LogTable(spark, str(tmp_path / "t"), "id string, x int")
+    t.commit(spark.createDataFrame([("a", 1)], "id string, x int"), None, "one")
+    seen = t.head()
+    t.commit(None, spark.createDataFrame([("a",)], "id string"), "two", seen)
+    with pytest.raises(ConflictError):
+        t._make(seen["data"], [], "three", seen)
+    assert t.count() == 0 and t.read(version=1).count() == 1
 
 
 def test_ignore_rules(spark):
