@@ -181,3 +181,24 @@ def glob_regex(pattern: str) -> str:
             out += "\\" + c if not c.isalnum() and c != "_" else c
         k += 1
     return f"(?s)^{out}$"
+
+
+def fused_distance(distance: Column, overlap: Column, weight: float = 0.30) -> Column:
+    """A distance made less by the overlap of words."""
+    return distance * (1.0 - weight * overlap)
+
+
+def file_matches(source_file: Column, expected: Column) -> Column:
+    """Whether a path is the expected file: by its name, or by its end."""
+    plain = lambda c: F.replace(c, F.lit("\\"), F.lit("/"))
+    return (F.element_at(F.split(plain(source_file), "/"), -1) == plain(expected)) | F.endswith(plain(source_file), plain(expected))
+
+
+# Words that no spelling correction touches.
+LEAST_WORD = 4
+UNTOUCHED = [r"\d", r"[A-Z][a-z]+[A-Z]", r"^[A-Z_@#$%^&*()+=\[\]{}|<>?.:/\\]+$", r"[-_]", r"(?i)https?://|www\.|/Users/|~/|\.[a-z]{2,4}$", r"[`*_#{}\[\]\\]"]
+
+
+def spelling_stays(word: Column, known: list[str]) -> Column:
+    """Whether a word is left as it is: short, with digits, mixed or all capitals, technical, a path, code, or a known name."""
+    return (F.length(word) < LEAST_WORD) | word.rlike("|".join(f"(?:{p})" for p in UNTOUCHED)) | F.lower(word).isin(known)

@@ -81,3 +81,37 @@ def session_starts(lines: DataFrame, marker: str, restored: list[str], doc: str
         seen = seen | F.contains(line, F.lit(r))
     rows = lines.withColumn("_restored", F.max(seen).over(w))
     return rows.filter(F.contains(line, F.lit(marker)) & ~F.col("_restored")).select(doc, pos)
+
+
+# Lines with > that make a talk, lines that make a block long, and windows of lines.
+LEAST_QUOTES, LONG_BLOCK = 3, 20
+WINDOW_LINES, WINDOW_OVERLAP = 80, 10
+
+
+def paragraphs(text: Column, least: int = MIN_CHUNK) -> Column:
+    """Paragraphs longer than ``least``; of a single long one groups of 25 lines."""
+    lines = F.split(text, "\n")
+    parts = F.filter(F.transform(F.split(text, "\n\n"), strip), lambda x: x != "")
+    groups = F.transform(F.sequence(F.lit(1), F.size(lines), F.lit(GROUP_LINES)), lambda k: strip(F.array_join(F.slice(lines, k, GROUP_LINES), "\n")))
+    chosen = F.when((F.size(parts) <= 1) & (F.size(lines) - 1 > LONG_BLOCK), groups).otherwise(parts)
+    return F.filter(chosen, lambda x: F.length(x) > least)
+
+
+def talk_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, chunk_index, content)``: exchanges of texts with three lines of ``>`` and more, paragraphs of others."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    quotes = F.size(F.filter(F.split(text, "\n"), lambda x: F.startswith(strip(x), F.lit(">"))))
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("_text"), (quotes >= LEAST_QUOTES).alias("_talk"))
+    lines = rows.filter("_talk").select("doc_id", F.posexplode(F.split("_text", "\n")).alias("pos", "line"))
+    order = F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")) - 1
+    talks = exchange_chunks(lines).select("doc_id", order.alias("chunk_index"), "content")
+    plain = rows.filter("NOT _talk").select("doc_id", F.posexplode(paragraphs(F.col("_text"))).alias("chunk_index", "content"))
+    return talks.unionByName(plain).withColumnRenamed("doc_id", id_col)
+
+
+def line_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW_LINES, overlap: int = WINDOW_OVERLAP) -> DataFrame:
+    """``(id, chunk_index, content)``: windows of ``size`` lines that share ``overlap``; blank ones go, the others keep their number."""
+    lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
+    starts = F.sequence(F.lit(1), F.size(lines), F.lit(max(1, size - overlap)))
+    rows = docs.select(id_col, F.posexplode(F.transform(starts, lambda k: strip(F.array_join(F.slice(lines, k, size), "\n")))).alias("chunk_index", "content"))
+    return rows.filter("content <> ''")

@@ -37,3 +37,10 @@ def precision_at_k(results: DataFrame, expected: DataFrame, k: int = 5, query: s
     """Share of labelled queries with an expected item among their first ``k`` results."""
     ranks = first_hit(results, expected, query, item)
     return ranks.agg(F.avg(F.when(F.col("hit_rank") <= k, 1.0).otherwise(0.0)).alias(f"precision_at_{k}"))
+
+
+def recall_any_all(results: DataFrame, expected: DataFrame, k: int = 10, query: str = "query_id", item: str = "item") -> DataFrame:
+    """``(query, recall_any, recall_all)``: whether any, and all, of the expected items are among the first ``k`` results."""
+    top = results.filter(F.col("rank") <= k).select(query, item, F.lit(1).alias("_hit")).distinct()
+    rows = expected.select(query, item).distinct().join(top, [query, item], "left").withColumn("_found", F.col("_hit").isNotNull())
+    return rows.groupBy(query).agg(F.max("_found").cast("double").alias("recall_any"), F.min("_found").cast("double").alias("recall_all"))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessellum.operators import conversations, manifests, markdown, routing
+from tessellum.functions import text as T
+from tessellum.operators import conversations, dispatch, manifests, markdown, metrics, relations, routing
 from tessellum.plans.code_queries import _told, _values
 from tessellum.plans.registry import register
-from tessellum.plans.views import table
+from tessellum.plans.views import CHUNKS, chunks, table
 from tessellum.sources import chats, dotnet, scan
 
 
@@ -128,3 +129,98 @@ _TALK = ["intro", "> ask {k} something longer than that", "first", "", "second",
 def exchange_chunks(spark, sf):
     lines = _parts(spark, sf, ["\n".join(_TALK)]).select("id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     return conversations.exchange_chunks(lines, "id").select("id", "pos", "content")
+
+
+_FS = "module M\ntype A{k}() =\n    inherit Base{k}()\n    interface IThing with\n        member x.Go() = ()\nmodule N =\n    inherit Lost()\ntype B = | X\n  interface IDisposable with"
+_VB = "Public Class C{k}\n    Inherits Base\n    Implements IA(Of T), IB\nEnd Class\nInherits Lost\nFriend Interface II{k}\n  inherits IBase\nEnd Interface\nPublic Structure S\n Implements IEq{k}(Of S)\nEnd Structure"
+_PY = "class P{k}(Q{k}):\n    pass"
+_TYPES = [(0, "A{k}", "inherits", "Base{k}"), (0, "A{k}", "implements", "IThing"), (0, "B", "implements", "IDisposable"), (1, "C{k}", "inherits", "Base"), (1, "C{k}", "implements", "IA"), (1, "C{k}", "implements", "IB"), (1, "II{k}", "extends", "IBase"), (1, "S", "implements", "IEq{k}"), (2, "P{k}", "inherits", "Q{k}"), (3, "A{k}", "inherits", "Base"), (3, "A{k}", "implements", "IThing")]
+
+
+@register("type_relations", "SELECT DISTINCT subject, predicate, object FROM (" + _expected(_TYPES, "subject, predicate, object", 5, "") + ")")
+def type_relations(spark, sf):
+    files = _parts(spark, sf, [_FS, _VB, _PY, _CS[0], "type X() =\n  inherit Y()"], path=_told(["{k}.fs", "{k}.vb", "{k}.py", "{k}.cs", "{k}.txt"], "p_partkey"))
+    return relations.type_relations(files)
+
+
+_ROUTED = [
+    ("a/A{k}.csproj", "csproj", "project"), ("a/{k}.go", "go", "code"), ("a/{k}.md", "markdown", "prose"), ("k/{k}.yaml", "kubernetes", "kubernetes"), ("c/Chart.yaml", "helm", "helm_chart"), ("c/values-{k}.yml", "helm", "helm_values"), ("c/templates/{k}.yaml", "helm", "helm_template"),
+    ("roles/r{k}/tasks/main.yml", "ansible", "ansible_task"), ("roles/r/handlers/{k}.yml", "ansible", "ansible_handler"), ("x/roles/r/vars/{k}.yml", "ansible", "ansible_vars"), ("inventory.ini", "ansible", "ansible_inventory"), ("site{k}.yml", "ansible", "ansible_play"), ("{k}.rb", "ruby", "lines"),
+]
+
+
+@register("file_routes", "SELECT p_partkey AS id, route FROM part JOIN " + _values([(n, x[2]) for n, x in enumerate(_ROUTED)], "n, route") + f" ON n = p_partkey % {len(_ROUTED)}")
+def file_routes(spark, sf):
+    return _parts(spark, sf, [x[0] for x in _ROUTED]).select("id", dispatch.route(F.col("text"), _told([x[1] for x in _ROUTED], "id")).alias("route"))
+
+
+_BODY = "    x = 1\n" * 30
+_KINDS = [
+    ("a/{k}.py", "class A{k}:\n" + _BODY, "python", [("code", "A{k}", "class")]), ("a/{k}.csproj", "<Project>" + "x" * 120 + "</Project>", "xml", [("project", "", "")]), ("k/{k}.yaml", _POD, "kubernetes", [("kubernetes", "Pod/p{k}", "pod")]),
+    ("roles/r{k}/vars/m.yml", "a: 1", "ansible", [("ansible_vars", "r{k}", "ansible_vars")]), ("roles/r{k}/tasks/m.yml", "- name: One\n- copy: x\n", "ansible", [("ansible_task", "One", "ansible_task"), ("ansible_task", "r{k}", "ansible_task")]),
+    ("c/Chart.yaml", "name: chart{k}\n" + "d: e\n" * 40, "helm", [("helm_chart", "HelmChart/chart{k}", "helm_chart")]), ("{k}.rb", "puts 1\n" * 40, "ruby", [("lines", "", "")]), ("{k}.md", "# H\n" + "w " * 100, "markdown", [("prose", "", "")]), ("{k}.go", "", "go", []),
+]
+
+
+@register("files_chunked", _expected([(n, *r) for n, x in enumerate(_KINDS) for r in x[3]], "route, symbol_name, symbol_type", len(_KINDS), ""))
+def files_chunked(spark, sf):
+    files = _parts(spark, sf, [x[1] for x in _KINDS], lang=_told([x[2] for x in _KINDS], "p_partkey"), name=_told([x[0] for x in _KINDS], "p_partkey"))
+    keyed = files.select(F.concat_ws("|", F.col("id").cast("string"), F.lit("")).alias("k"), "*").select(F.concat("k", F.lit("/"), "name").alias("path"), "text", "lang")
+    out = dispatch.chunk_files(keyed, lang=F.col("lang"))
+    return out.select(F.regexp_extract("path", r"^(\d+)", 1).cast("long").alias("id"), "route", "symbol_name", "symbol_type")
+
+
+_TALKS = ["\n".join(["> one {k} is asked here and now", "yes", "", "no", "> two", "a longer reply to the second question", "> three three three three three three"]), "first paragraph that is long enough {k}\n\nshort\n\nsecond paragraph that is long enough", "\n".join(f"line {{k}} number {i}" for i in range(30))]
+
+
+@register(
+    "talk_chunks",
+    _expected([(0, 0, "> one {k} is asked here and now\nyes no"), (0, 1, "> two\na longer reply to the second question"), (0, 2, "> three three three three three three"), (1, 0, "first paragraph that is long enough {k}"), (1, 1, "second paragraph that is long enough"), (2, 0, "\n".join(f"line {{k}} number {i}" for i in range(25))), (2, 1, "\n".join(f"line {{k}} number {i}" for i in range(25, 30)))], "_chunk_index, content", 3, ""),
+)
+def talk_chunks(spark, sf):
+    return conversations.talk_chunks(_parts(spark, sf, _TALKS), "id").select("id", "chunk_index", "content")
+
+
+@register("line_windows", r"WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents), g AS (SELECT doc_id, (k - 1) // 3 AS chunk_index, regexp_replace(array_to_string(x[k:k + 3], chr(10)), '^\s+|\s+$', '', 'g') AS content FROM (SELECT doc_id, x, unnest(range(1, len(x) + 1, 3)) AS k FROM l)) SELECT doc_id, chunk_index, content FROM g WHERE content <> ''")
+def line_windows(spark, sf):
+    return conversations.line_windows(table(spark, sf, "documents"), size=4, overlap=1).select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "content")
+
+
+_STAYS = [("kno", 1), ("word", 0), ("top-10", 1), ("CamelCase", 1), ("LOUD", 1), ("file.py", 1), ("alice", 1), ("Maybe", 0)]
+
+
+@register("spelling", "SELECT p_partkey AS id, v = 1 AS stays, levenshtein(w, 'words') AS apart FROM part JOIN " + _values([(n, v, w) for n, (w, v) in enumerate(_STAYS)], "n, v, w") + f" ON n = p_partkey % {len(_STAYS)}")
+def spelling(spark, sf):
+    w = F.col("text")
+    return _parts(spark, sf, [x for x, _ in _STAYS]).select("id", T.spelling_stays(w, ["alice"]).alias("stays"), F.levenshtein(w, F.lit("words")).cast("long").alias("apart"))
+
+
+@register(
+    "expected_files",
+    f"WITH {CHUNKS} SELECT id, string_split(source_file, '/')[-1] = 'file_3.txt' OR ends_with(source_file, 'src1/file_7.txt') AS found, round(n_chars * (1 - 0.3 * (chunk_index / 10.0)), 6) AS fused FROM chunks",
+)
+def expected_files(spark, sf):
+    c = chunks(spark, sf)
+    found = T.file_matches(F.replace("source_file", F.lit("/"), F.lit("\\")), F.lit("file_3.txt")) | T.file_matches(F.col("source_file"), F.lit("src1/file_7.txt"))
+    return c.select("id", found.alias("found"), F.round(T.fused_distance(F.col("n_chars").cast("double"), F.col("chunk_index") / 10.0), 6).alias("fused"))
+
+
+@register(
+    "recall_any_all",
+    "WITH r AS (SELECT o_custkey AS query_id, o_orderkey AS item, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey) AS rank FROM orders), e AS (SELECT o_custkey AS query_id, o_orderkey AS item FROM orders WHERE o_orderstatus = 'F') "
+    "SELECT query_id, max(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END) AS recall_any, min(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END) AS recall_all FROM e JOIN r USING (query_id, item) GROUP BY query_id",
+)
+def recall_any_all(spark, sf):
+    from pyspark.sql import Window
+
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("item"), "o_totalprice", "o_orderstatus")
+    ranked = o.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("o_totalprice", "item")))
+    return metrics.recall_any_all(ranked, o.filter("o_orderstatus = 'F'"), 5)
+
+
+@register("export_filtered", f"WITH {CHUNKS} SELECT id FROM chunks WHERE chunk_index % 3 <> 2 AND wing = 'src4' AND date >= '2024-01-10'")
+def export_filtered(spark, sf):
+    from tessellum.sources.jsonl import export_filter
+
+    how = F.element_at(F.array(F.lit("manual_v1"), F.lit("diary_v1"), F.lit("prose_v1")), F.col("chunk_index") % 3 + 1)
+    return export_filter(chunks(spark, sf).withColumn("chunker_strategy", how).withColumnRenamed("date", "filed_at"), True, "src4", None, "2024-01-10").select("id")

@@ -9,6 +9,19 @@ DRAWER = "id string, text string, wing string, room string, source_file string,
 FACT = "id string, subject string, predicate string, object string, valid_from string, valid_to string, confidence double, source_file string"
 
 
+# Strategies of chunks that were written by hand.
+MANUAL = ("manual_v1", "diary_v1")
+
+
+def export_filter(chunks: DataFrame, only_manual: bool = False, wing: str | None = None, room: str | None = None, since: str | None = None) -> DataFrame:
+    """Chunks of an export: by hand only, of a wing, of a room, filed at a time or later (unknown times are earlier than all)."""
+    rows = chunks.filter(F.col("chunker_strategy").isin(*MANUAL)) if only_manual else chunks
+    for column, value in (("wing", wing), ("room", room)):
+        if value:
+            rows = rows.filter(F.col(column) == value)
+    return rows.filter(F.coalesce("filed_at", F.lit("")) >= since) if since else rows
+
+
 def drawer_records(chunks: DataFrame) -> DataFrame:
     """``value``: a JSON object a chunk; columns that aren't of the export don't go along."""
     names = [f.split()[0] for f in DRAWER.split(", ") if f.split()[0] in chunks.columns]
