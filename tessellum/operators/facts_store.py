@@ -56,8 +56,12 @@ class FactStore:
         new = self.spark.createDataFrame([(name, kind, properties, now)], "name string, type string, properties string, created_at string").withColumn("id", entity_id(F.col("name")))
         self._entities.commit(new, new.select("id"), "add entity")
 
-    def invalidate(self, condition: Column, ended: str | None = None) -> None:
+    def invalidate(self, condition: Column, ended: str | None = None, refuse_late: bool = False) -> None:
+        """End the open facts that meet the condition. One that starts behind the end stays open, or is an error."""
         day = ended or datetime.date.today().isoformat()
         before = self.triples()
+        late = kg.late_starts(before, condition, day).first() if refuse_late else None
+        if late:
+            raise ValueError(f"{late['subject']} {late['predicate']} {late['object']} starts at {late['valid_from']}, after {day}")
         ended_now = kg.invalidate(before, condition, day).join(before.filter("valid_to IS NULL").select("id"), "id", "left_semi").filter("valid_to IS NOT NULL")
         self._triples.commit(ended_now, ended_now.select("id"), "invalidate")

@@ -11,7 +11,6 @@ from tessellum.operators.lineage import settled
 def nodes(chunks: DataFrame) -> DataFrame:
     """``(room, wings, halls, count, dates)``: sorted sets, the five latest dates; rooms '' and general and wing '' don't count."""
     rows = chunks.filter((F.coalesce(F.col("room"), F.lit("")) != "") & (F.col("room") != "general") & (F.coalesce(F.col("wing"), F.lit("")) != ""))
-    # distinct triples first: the sets of a room gather what the maps have already merged
     dates = F.sort_array(F.collect_set(F.when(F.col("date") != "", F.col("date"))))
     return rows.groupBy("room").agg(
         F.sort_array(F.collect_set("wing")).alias("wings"),

@@ -119,6 +119,11 @@ def invalidate(triples: DataFrame, condition: Column, ended: str) -> DataFrame:
     return triples.withColumn("valid_to", F.when(hit, F.lit(ended)).otherwise(F.col("valid_to")))
 
 
+def late_starts(triples: DataFrame, condition: Column, ended: str) -> DataFrame:
+    """Open facts that meet the condition and only start behind ``ended``."""
+    return triples.filter(F.col("valid_to").isNull() & condition & (instant(F.col("valid_from")) > instant(F.lit(ended))))
+
+
 def under_root(source_file: Column, root: str) -> Column:
     """Whether a path is the root or below it, at a path boundary."""
     root = root.rstrip("/")

@@ -131,12 +131,13 @@ def top_tunnels(spark, sf):
 
 @register(
     "traverse_two_hops",
-    f"WITH {SPARSE_ROOMS}, {_NODES}, m AS (SELECT room, unnest(wings) AS wing FROM nodes), h1 AS (SELECT DISTINCT b.room FROM m a JOIN m b USING (wing) WHERE a.room = 'r3' AND b.room <> 'r3'), "
-    "h2 AS (SELECT DISTINCT b.room FROM h1 JOIN m a USING (room) JOIN m b USING (wing) WHERE b.room <> 'r3' AND b.room NOT IN (SELECT room FROM h1)), r AS (SELECT 'r3' AS room, 0 AS hop UNION ALL SELECT room, 1 FROM h1 UNION ALL SELECT room, 2 FROM h2) "
-    "SELECT room, hop, count, array_to_string(wings, ',') AS wings FROM r JOIN nodes USING (room) ORDER BY hop, count DESC, room LIMIT 50",
+    f"WITH {SPARSE_ROOMS}, {_NODES}, m AS (SELECT room, unnest(wings) AS wing FROM nodes), h1 AS (SELECT b.room, 'r3' AS parent, list_sort(list(DISTINCT wing)) AS via FROM m a JOIN m b USING (wing) WHERE a.room = 'r3' AND b.room <> 'r3' GROUP BY b.room), "
+    "p2 AS (SELECT b.room, a.room AS parent, list_sort(list(DISTINCT wing)) AS via FROM m a JOIN m b USING (wing) WHERE a.room IN (SELECT room FROM h1) AND b.room <> 'r3' AND b.room NOT IN (SELECT room FROM h1) GROUP BY ALL), h2 AS (SELECT room, arg_min(via, parent) AS via FROM p2 GROUP BY room), "
+    "r AS (SELECT 'r3' AS room, 0 AS hop, [] AS via UNION ALL SELECT room, 1, via FROM h1 UNION ALL SELECT room, 2, via FROM h2) "
+    "SELECT room, hop, count, array_to_string(wings, ',') AS wings, array_to_string(via, ',') AS connected_via FROM r JOIN nodes USING (room) ORDER BY hop, count DESC, room LIMIT 50",
 )
 def traverse_two_hops(spark, sf):
-    return graph.traverse(graph.nodes(sparse_rooms(spark, sf)), "r3").select("room", "hop", "count", F.array_join("wings", ",").alias("wings"))
+    return graph.traverse(graph.nodes(sparse_rooms(spark, sf)), "r3").select("room", "hop", "count", F.array_join("wings", ",").alias("wings"), F.array_join("connected_via", ",").alias("connected_via"))
 
 
 @register("find_implementations", f"WITH {TYPE_FACTS} SELECT DISTINCT subject AS type, predicate AS relationship FROM type_facts WHERE object = 't5' AND valid_to IS NULL AND predicate = 'implements'")
@@ -185,7 +186,12 @@ def kg_window_errors(spark, sf):
     return kg.window_errors(t).select("id", "error")
 
 
-@register("extract_reusable")
+@register(
+    "extract_reusable",
+    "WITH f AS (SELECT 's' || (o_custkey % 50) AS own, 'o' || (o_orderkey % 400) AS name FROM orders UNION SELECT 'o' || (l_orderkey % 400), CASE WHEN l_partkey % 40 = 0 THEN 'framework' ELSE 'pk' END || (l_partkey % 300) FROM lineitem), d1 AS (SELECT DISTINCT name FROM f WHERE own = 's3'), "
+    "d2 AS (SELECT DISTINCT f.name FROM f JOIN d1 ON f.own = d1.name WHERE f.name NOT IN (SELECT name FROM d1) AND f.name <> 's3'), r AS (SELECT 's3' AS name, 0 AS depth UNION ALL SELECT name, 1 FROM d1 UNION ALL SELECT name, 2 FROM d2) "
+    "SELECT name, depth, CASE WHEN contains(name, 'framework') THEN 'platform' WHEN name IN (SELECT own FROM f WHERE name IN (SELECT name FROM r WHERE contains(name, 'framework'))) THEN 'glue' ELSE 'core' END AS kind FROM r",
+)
 def extract_reusable(spark, sf):
     o = table(spark, sf, "orders").selectExpr("concat('s', o_custkey % 50) AS subject", "'contains_project' AS predicate", "concat('o', o_orderkey % 400) AS object")
     li = table(spark, sf, "lineitem").selectExpr("concat('o', l_orderkey % 400) AS subject", "'depends_on' AS predicate", "concat(IF(l_partkey % 40 = 0, 'framework', 'pk'), l_partkey % 300) AS object")

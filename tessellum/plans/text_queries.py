@@ -178,6 +178,20 @@ def entity_classify(spark, sf):
     return entities.top_per_type(entities.classify(names, entities.signs(turns, names, "id")))
 
 
+_SAID = [("Alice", "Alice: hello\nAlice said yes. Hey Alice\nshe left", 3), ("Orchard", "We built Orchard and deployed Orchard. orchard.py\nthe Orchard pipeline", 3), ("Zeta", "Zeta zeta Zeta", 2)]
+
+
+@register("entity_types", "SELECT name, n * (SELECT count(*) FROM part WHERE p_partkey % 3 = k) AS frequency, type, confidence FROM (VALUES (0, 'Alice', 3, 'person', 0.99), (1, 'Orchard', 3, 'project', 0.99), (2, 'Zeta', 2, 'uncertain', 0.4)) v(k, name, n, type, confidence)")
+def entity_types(spark, sf):
+    """Names whose signs are known, in texts that are told to parts in turn."""
+    from tessellum.operators import entities
+
+    text = F.element_at(F.array(*[F.lit(t) for _, t, _ in _SAID]), (F.col("p_partkey") % 3).cast("int") + 1)
+    docs = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), text.alias("text"))
+    names = memories.name_candidates(docs, [*_STOP, "we", "hey"])
+    return entities.classify(names, entities.signs(docs, names, "id"))
+
+
 @register("stale_sources", f"WITH {CHUNKS} SELECT DISTINCT source_file FROM chunks WHERE source_file NOT IN (SELECT source_file FROM chunks WHERE doc_id % 7 > 2)")
 def stale_sources(spark, sf):
     c = chunks(spark, sf)

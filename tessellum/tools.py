@@ -57,7 +57,7 @@ class Tools:
 
     def kg_invalidate(self, subject: str, predicate: str, object: str, ended: str | None = None) -> None:
         hit = (F.col("subject") == kg._id(subject)) & (F.col("predicate") == predicate.lower().replace(" ", "_")) & (F.col("object") == kg._id(object))
-        self.facts.invalidate(hit, ended)
+        self.facts.invalidate(hit, ended, refuse_late=True)
 
     def kg_timeline(self, entity: str | None = None) -> DataFrame:
         return kg.timeline(self.facts.triples(), self.facts.entities(), entity)
