@@ -6,10 +6,11 @@ covers all training documents: each map task sends sorted runs of 64-bit hashes,
 merges them and builds its own segment of the filter.
 
 The model's probability is an interpolation, s p2(w|u) + (1 - s) p1(w), with p1 add-one over words and p2 the count's lower
-bound at its level, less an absolute discount, over the context's count. Lower bounds over exact context counts keep each
-context's sum at one or below, but for false positives of the filter, which are believed only between words that the
-training knows. s is the share of training bigrams that occur again (Good-Turing's seen mass), less for rare contexts; the
-discount is n1 / (n1 + 2 n2) of the numbers of bigrams that come once and twice.
+bound at its level, less an absolute discount, over the context's count and what false positives of the filter add to it over
+all words: with the filter's rate f (its fill to the power of the probes) these are f V entries of level 1, and a level too
+much for a share f of the true ones. So each context's probabilities sum to one at most, in the mean over hash functions.
+Words that the training doesn't know have no bigrams. s is the share of training bigrams that occur again (Good-Turing's seen
+mass), less for rare contexts; the discount is n1 / (n1 + 2 n2) of the numbers of bigrams that come once and twice.
 
 The filter is broadcast up to MODEL_BYTES. A larger one stays where it is: each probe goes to the task that holds its hash
 range's segment, and the scores are the same, false positives included.
@@ -28,8 +29,8 @@ from tessellum.llm.common import blocks, fold, materialise, mix64, segment_sum,
 
 #: Word counts and filter together are broadcast up to this size.
 MODEL_BYTES = 160 << 20
-BITS_PER_ITEM = 8
-PROBES = 4
+BITS_PER_ITEM = 12
+PROBES = 8
 MAX_LEVEL = 48
 #: Hashes that a counting task holds before it sends a run.
 RUN = 1 << 21
@@ -94,6 +95,12 @@ def filter_segment(keys: np.ndarray, counts: np.ndarray, bits_per_item: int = BI
     return out.tobytes()
 
 
+def _false_rate(segment: bytes) -> float:
+    """The chance that a segment shows a level that nobody put in."""
+    bits = np.frombuffer(segment, np.uint8)
+    return float(np.bitwise_count(bits).sum() / (8 * len(bits))) ** PROBES if len(bits) else 0.0
+
+
 def segment_levels(keys: np.ndarray, segment: bytes) -> np.ndarray:
     """Levels of keys of one hash range by its segment; without one 0."""
     out = np.zeros(len(keys), np.int64)
@@ -123,6 +130,7 @@ class BloomModel:
     start_count: int
     seen: float
     discount: float = 0.0
+    false_rate: float = 0.0
 
     def count(self, tokens: np.ndarray) -> np.ndarray:
         keys, counts = np.frombuffer(self.words, np.uint64), _counts(self.words, self.word_counts)
@@ -171,7 +179,13 @@ class BloomModel:
     def probability(self, least: np.ndarray, before: np.ndarray, p1: np.ndarray) -> np.ndarray:
         """Of a token with this least bigram count, count of its context and unigram probability."""
         weight = self.seen * before / (before + 1)
-        return weight * np.clip((least - self.discount) / np.maximum(before, 1), 0.0, 1.0) + (1 - weight) * p1
+        share = (least - self.discount) / np.maximum(before * (1 + self.false_rate) + self.false_mass, 1)
+        return weight * np.clip(share, 0.0, 1.0) + (1 - weight) * p1
+
+    @property
+    def false_mass(self) -> float:
+        """What false positives are expected to add to the counts of a context."""
+        return self.false_rate * self.distinct * (1 - self.discount)
 
 
 def _runs(hashes: list[np.ndarray], kind: int, shift: int):
@@ -218,11 +232,11 @@ def count_ranges(docs: DataFrame, text_col: str = "text", bits_per_item: int = B
         keys, sums = keys[at], np.add.reduceat(counts, at, dtype=np.int64)
         wide = np.uint64 if len(sums) and sums.max() >= 1 << 32 else np.uint32
         first, second = (keys.tobytes(), sums.astype(wide).tobytes()) if kind == 0 else (filter_segment(keys, sums, bits_per_item), b"")
-        row = {"kind": [kind], "part": [part], "n": [len(keys)], "total": [int(sums.sum())], "once": [int((sums == 1).sum())], "twice": [int((sums == 2).sum())], "size": [len(first) + len(second)], "first": [first], "second": [second]}
-        return pa.table(row, schema=pa.schema([("kind", pa.int32()), ("part", pa.int64()), ("n", pa.int64()), ("total", pa.int64()), ("once", pa.int64()), ("twice", pa.int64()), ("size", pa.int64()), ("first", pa.binary()), ("second", pa.binary())]))
+        row = {"kind": [kind], "part": [part], "n": [len(keys)], "total": [int(sums.sum())], "once": [int((sums == 1).sum())], "twice": [int((sums == 2).sum())], "false": [_false_rate(first) if kind else 0.0], "size": [len(first) + len(second)], "first": [first], "second": [second]}
+        return pa.table(row, schema=pa.schema([("kind", pa.int32()), ("part", pa.int64()), ("n", pa.int64()), ("total", pa.int64()), ("once", pa.int64()), ("twice", pa.int64()), ("false", pa.float64()), ("size", pa.int64()), ("first", pa.binary()), ("second", pa.binary())]))
 
     runs = docs.select(F.col(text_col)).mapInArrow(count, "kind int, part long, keys binary, counts binary")
-    return runs.groupBy("kind", "part").applyInArrow(merge, "kind int, part long, n long, total long, once long, twice long, size long, first binary, second binary"), shift
+    return runs.groupBy("kind", "part").applyInArrow(merge, "kind int, part long, n long, total long, once long, twice long, false double, size long, first binary, second binary"), shift
 
 
 def train(docs: DataFrame, text_col: str = "text", model_bytes: int = MODEL_BYTES, bits_per_item: int = BITS_PER_ITEM) -> tuple[BloomModel, DataFrame]:
@@ -230,7 +244,7 @@ def train(docs: DataFrame, text_col: str = "text", model_bytes: int = MODEL_BYTE
     count as empty: one end. Over ``model_bytes`` the model has sums but no tables."""
     counted, shift = count_ranges(docs, text_col, bits_per_item)
     counted = materialise(counted)
-    sums = {r["kind"]: r for r in counted.groupBy("kind").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("once").alias("once"), F.sum("twice").alias("twice"), F.sum("size").alias("size")).collect()}
+    sums = {r["kind"]: r for r in counted.groupBy("kind").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("once").alias("once"), F.sum("twice").alias("twice"), F.sum("false").alias("false"), F.sum("size").alias("size")).collect()}
     if not sums:
         return BloomModel(b"", b"", b"", np.zeros((1 << 64 - shift) + 1, np.int64), shift, 0, 0, 0, 0.0), counted
     sizes = np.zeros((1 << 64 - shift) + 1, np.int64)
@@ -250,7 +264,7 @@ def train(docs: DataFrame, text_col: str = "text", model_bytes: int = MODEL_BYTE
     if any(len(c) == len(w) for w, c in zip(words, counts, strict=True) if w):
         counts = [_counts(w, c).astype(np.uint64).tobytes() for w, c in zip(words, counts, strict=True)]
     discount = sums[1]["once"] / max(1, sums[1]["once"] + 2 * sums[1]["twice"])
-    model = BloomModel(b"".join(words), b"".join(counts), b"".join(segments), np.cumsum(sizes), shift, sums[0]["total"], sums[0]["n"], 0, 1.0 - sums[1]["once"] / sums[1]["total"], discount)
+    model = BloomModel(b"".join(words), b"".join(counts), b"".join(segments), np.cumsum(sizes), shift, sums[0]["total"], sums[0]["n"], 0, 1.0 - sums[1]["once"] / sums[1]["total"], discount, sums[1]["false"] * 2.0 ** (shift - 64))
     del words, counts, segments
     # each document starts and ends once
     start_count = int(model.count(np.array([END]))[0]) if model.words else docs.count()
@@ -328,7 +342,7 @@ def score_by_join(docs: DataFrame, counted: DataFrame, model: BloomModel, keep:
     size = float(model.total + model.distinct + 1)
     p1 = (n_w + 1) / F.lit(size)
     weight = F.lit(model.seen) * n_u / (n_u + 1)
-    share = (least - F.lit(model.discount)) / F.greatest(n_u, F.lit(1))
+    share = (least - F.lit(model.discount)) / F.greatest(n_u * F.lit(1 + model.false_rate) + F.lit(model.false_mass), F.lit(1.0))
     p = weight * F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)) + (1 - weight) * p1
     sums = wanted.groupBy("_row").agg(
         F.sum("times").alias("n_tokens"), F.sum(F.when(F.col("n_w") > 0, F.col("times")).otherwise(0)).alias("n_known"), F.sum(F.col("times") * F.log10(p1)).alias("base_score"), F.sum(F.col("times") * F.log10(p)).alias("score")
