@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tessellum.llm.common import blocks, mix64, table, utf8
 
-#: Where the public model lies; a parameter everywhere.
+#: The public model of the queries; the operators take a path.
 MODEL_PATH = os.environ.get("TESSELLUM_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 SPACE = "▁"
 #: Characters that one vectorised step works on.
@@ -448,7 +448,7 @@ class Pieces:
 _made: dict[bytes, Pieces] = {}
 
 
-def read_pieces(path: str = MODEL_PATH) -> Pieces:
+def read_pieces(path: str) -> Pieces:
     """The vocabulary of a model's file, read by the driver and broadcast; its size is that of the vocabulary."""
     with open(path, "rb") as f:
         content = f.read()
@@ -458,7 +458,7 @@ def read_pieces(path: str = MODEL_PATH) -> Pieces:
     return _made[content]
 
 
-def encode_column(docs: DataFrame, keep: list[str], text_col: str = "text", model_path: str = MODEL_PATH) -> DataFrame:
+def encode_column(docs: DataFrame, keep: list[str], model_path: str, text_col: str = "text") -> DataFrame:
     """Columns ``keep`` of ``docs`` with ``token_ids``, ``n_tokens`` and ``round_trip``: whether the decoded ids give the text.
 
     One row for each row, repeated rows and null ids included; null and empty texts have no ids and come back. Of other
@@ -480,7 +480,7 @@ def encode_column(docs: DataFrame, keep: list[str], text_col: str = "text", mode
     return out.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], "token_ids", "n_tokens", "round_trip")
 
 
-def decode_column(tokens: DataFrame, keep: list[str], ids_col: str = "token_ids", model_path: str = MODEL_PATH) -> DataFrame:
+def decode_column(tokens: DataFrame, keep: list[str], model_path: str, ids_col: str = "token_ids") -> DataFrame:
     """Columns ``keep`` and ``text``; null ids give null, no ids an empty text."""
     shared = tokens.sparkSession.sparkContext.broadcast(read_pieces(model_path))
     source = tokens.select(*[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)], F.col(ids_col).alias("_ids"))
@@ -498,10 +498,10 @@ def decode_column(tokens: DataFrame, keep: list[str], ids_col: str = "token_ids"
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: doc_id, token_ids, n_tokens, round_trip."""
-    return encode_column(table(spark, sf_dir, "documents"), ["doc_id"])
+    return encode_column(table(spark, sf_dir, "documents"), ["doc_id"], MODEL_PATH)
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Last pipeline stage: doc_id, lang, source, token_ids, n_tokens, round_trip of each row, repeated rows, null ids and
     empty texts included; an empty table gives an empty result."""
-    return encode_column(docs, ["doc_id", "lang", "source"])
+    return encode_column(docs, ["doc_id", "lang", "source"], MODEL_PATH)

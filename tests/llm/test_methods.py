@@ -274,7 +274,7 @@ def test_tokenizer_is_the_library_s():
 def test_slices_and_tables_change_no_ids(monkeypatch, limit):
     rng = np.random.default_rng(17)
     texts = [None, "", " ", "▁", "a\n\n b", *["".join(chr(c) for c in rng.choice([32, 97, 101, 104, 116, 233, 10, 0x65E5, 0x1F600, 0x2581], rng.integers(1, 200))) for _ in range(80)]]
-    want, sizes = sp.read_pieces().encode_texts(texts)
+    want, sizes = sp.read_pieces(sp.MODEL_PATH).encode_texts(texts)
     for name, value in (("SLICE", limit), ("TOGETHER", limit), ("ARENA", limit)):
         monkeypatch.setattr(sp, name, value)
     p = sp.Pieces.load(open(sp.MODEL_PATH, "rb").read())
@@ -288,6 +288,14 @@ def test_slices_and_tables_change_no_ids(monkeypatch, limit):
     assert p.gives(wrong, counts, pa.array(texts)).tolist() == [True] * (len(texts) - 1) + [False]
 
 
+def test_columns_come_back(spark):
+    texts = ["", None, "a b", "日本語 ▁", "x" * 5000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    coded = sp.encode_column(df, ["doc_id"], sp.MODEL_PATH)
+    back = {r.doc_id: r.text for r in sp.decode_column(coded, ["doc_id"], sp.MODEL_PATH).collect()}
+    assert [back[i] for i in range(5)] == ["", "", *texts[2:]] and all(r.round_trip and r.n_tokens == len(r.token_ids) for r in coded.collect())
+
+
 def test_weighted_jaccard():
     rng = np.random.default_rng(8)
     texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.4, 300) % 400) for _ in range(60)]
