@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessellum.operators import chunking, conversations, ingest, layers, memories, reader
+from tessellum.operators import chunking, conversations, ingest, layers, memories, reader, summary
 from tessellum.plans.registry import register
 from tessellum.plans.views import CHUNKS, chunks, table
 
@@ -178,7 +178,33 @@ def token_overlap_f1(spark, sf):
     return token_f1(left.join(right, "item_id"), "item_id", "a", "b").select("item_id", F.round("f1", 6).alias("f1"))
 
 
-@register("text_summary")
+def _listed(words) -> str:
+    return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
+
+
+def _coded(signals: dict[str, str], name: str) -> str:
+    """The first three codes of words that a text holds, as they are declared."""
+    values = ", ".join(f"({k}, '{w}', '{c}')" for k, (w, c) in enumerate(signals.items()))
+    return f"{name} AS (SELECT id, string_agg(c, '+' ORDER BY k) AS codes FROM (SELECT id, c, min(k) AS k, row_number() OVER (PARTITION BY id ORDER BY min(k)) AS nth FROM t, (VALUES {values}) v(k, w, c) WHERE contains(lower(text), w) GROUP BY id, c) WHERE nth <= 3 GROUP BY id)"
+
+
+_KEYS = " + ".join(f"CAST(contains(lower(s), '{w}') AS INT)" for w in summary.KEY_WORDS)
+
+
+@register(
+    "text_summary",
+    "WITH t AS (SELECT conv_id || '/' || turn AS id, text FROM conversations), "
+    r"w AS (SELECT id, regexp_replace(x, '[^a-zA-Z]', '', 'g') AS x, i FROM (SELECT id, unnest(p) AS x, generate_subscripts(p, 1) AS i FROM (SELECT id, list_filter(regexp_split_to_array(text, '\s+'), lambda y: y <> '') AS p FROM t)) WHERE i > 1), "
+    f"n AS (SELECT id, string_agg(c, '+' ORDER BY i) AS names FROM (SELECT id, upper(left(x, 3)) AS c, min(i) AS i, row_number() OVER (PARTITION BY id ORDER BY min(i)) AS nth FROM w WHERE regexp_full_match(x, '[A-Z][a-z]+') AND lower(x) NOT IN ({_listed(summary.STOP)}) GROUP BY id, upper(left(x, 3))) WHERE nth <= 3 GROUP BY id), "
+    "o AS (SELECT id, unnest(p) AS x, generate_subscripts(p, 1) AS i FROM (SELECT id, regexp_extract_all(text, '[a-zA-Z][a-zA-Z_-]{2,}') AS p FROM t)), "
+    f"q AS (SELECT id, lower(x) AS x, sum(1 + 2 * CAST(regexp_matches(x, '^[A-Z]') AS INT) + 2 * CAST(regexp_matches(x, '[_-]|^.+[A-Z]') AS INT)) AS n, min(i) AS i FROM o WHERE lower(x) NOT IN ({_listed(summary.STOP)}) GROUP BY id, lower(x)), "
+    "topics AS (SELECT id, string_agg(x, '_' ORDER BY n DESC, i) AS topics FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, i) AS nth FROM q) WHERE nth <= 3 GROUP BY id), "
+    r"z AS (SELECT id, regexp_replace(s, '^\s+|\s+$', '', 'g') AS s, i FROM (SELECT id, unnest(p) AS s, generate_subscripts(p, 1) AS i FROM (SELECT id, regexp_split_to_array(text, '[.!?\n]+') AS p FROM t))), "
+    f"v AS (SELECT *, 2 * ({_KEYS}) + CAST(length(s) < 80 AS INT) + CAST(length(s) < 40 AS INT) - 2 * CAST(length(s) > 150 AS INT) AS v FROM z WHERE length(s) > 10), "
+    "k AS (SELECT id, CASE WHEN length(s) > 55 THEN left(s, 52) || '...' ELSE s END AS s FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY v DESC, i) AS nth FROM v) WHERE nth = 1), "
+    f"{_coded(summary.EMOTIONS, 'em')}, {_coded(summary.FLAGS, 'fl')} "
+    "SELECT id, concat_ws('|', '0:' || coalesce(names, '???'), coalesce(topics, 'misc'), '\"' || k.s || '\"', em.codes, fl.codes) AS summary FROM t LEFT JOIN n USING (id) LEFT JOIN topics USING (id) LEFT JOIN k USING (id) LEFT JOIN em USING (id) LEFT JOIN fl USING (id)",
+)
 def text_summary(spark, sf):
     from tessellum.operators.summary import summarise
 
