@@ -66,7 +66,9 @@ def exchange_chunks(lines: DataFrame, doc: str = "doc_id", pos: str = "pos", lin
     text = strip(F.col(line))
     marked = lines.select(doc, pos, text.alias("t")).withColumn("user", F.startswith("t", F.lit(">"))).withColumn("cut", F.startswith("t", F.lit("---")))
     blocks = marked.withColumn("block", F.sum((F.col("user") | F.col("cut")).cast("int")).over(w))
-    parts = blocks.groupBy(doc, "block").agg(F.array_sort(F.collect_list(F.when(F.col("t") != "", F.struct(pos, "t", "user")))).alias("x"))
+    nth = F.row_number().over(Window.partitionBy(doc, "block").orderBy(pos))
+    first = blocks.filter("t <> ''").withColumn("nth", nth).filter(F.col("nth") <= REPLY_LINES + 1)  # what a chunk can hold, and no more
+    parts = first.groupBy(doc, "block").agg(F.array_sort(F.collect_list(F.struct(pos, "t", "user"))).alias("x"))
     parts = parts.filter((F.size("x") > 0) & F.col("x")[0]["user"])
     reply = F.array_join(F.transform(F.slice("x", 2, REPLY_LINES), lambda r: r["t"]), " ")
     content = F.when(F.size("x") > 1, F.concat(F.col("x")[0]["t"], F.lit("\n"), reply)).otherwise(F.col("x")[0]["t"])
