@@ -28,6 +28,9 @@ class FactStore:
     def entities(self) -> DataFrame:
         return self._entities.read()
 
+    def logs(self) -> dict[str, LogTable]:
+        return {"triples": self._triples, "entities": self._entities}
+
     def add(self, facts: DataFrame) -> None:
         """Facts by name (``subject``, ``predicate``, ``object`` and what else of a triple there is): entities are made
         as needed, open duplicates aren't added, and windows that end before they start raise."""

@@ -104,3 +104,16 @@ def fact_entities(spark, sf):
     facts = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("subject"), F.lit("lies in").alias("predicate"), F.col("r_name").alias("object"))
     store.add(facts)
     return store.entities().select("id", "name")
+
+
+@register("backup_restored", f"WITH {CHUNKS} SELECT id, wing, room FROM chunks WHERE wing IN ('src1', 'src2') AND chunk_index < 5")
+def backup_restored(spark, sf):
+    """A store that was backed up, changed, and brought back."""
+    from tessellum.operators.backup import Backups
+
+    store, backups = ChunkStore(spark, _folder(spark), _no_vector), Backups(spark, _folder(spark))
+    store.add(chunks(spark, sf).filter("wing IN ('src1', 'src2') AND chunk_index < 5"))
+    name = backups.create(store)
+    store.delete(F.col("chunk_index") < 3)
+    backups.restore(name, store, force=True)
+    return store.read().select("id", "wing", "room")
