@@ -5,6 +5,7 @@ A file source never reports deletions, so each batch lists the folder and drops
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,3 +54,44 @@ def watch(spark: SparkSession, root: str, store: ChunkStore, wing: str, extensio
 
     writer = events.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=DEBOUNCE)).start()
+
+
+def ref_folder(root: str) -> str:
+    """Where a project's git keeps its branches; a commit changes a file below."""
+    return f"{root.rstrip('/')}/.git/refs/heads"
+
+
+def state_line(wing: str, number: int, counts: dict[str, int]) -> str:
+    """What a batch did, in one line."""
+    told = ", ".join(f"{counts[k]} {k}" for k in ("new", "changed", "deleted") if counts.get(k)) or "nothing to do"
+    return f"[{wing}] batch {number}: {told}"
+
+
+def watch_many(spark: SparkSession, projects: dict[str, str], store: ChunkStore, extensions: list[str], checkpoint: str, on_commit: bool = False, gate: Callable[[], bool] = lambda: True, log: Callable[[str], None] = print, optimise_after: int = 64, available_now: bool = False, **rules) -> dict[str, StreamingQuery]:
+    """A streaming query for each wing of ``projects`` (wing -> folder): on changes of files, or ``on_commit`` on changes of the
+    project's branches only. The first batch brings a project up to date. Commits of the wings are serial; a store of many
+    commits is compacted behind a batch. Two wings of one folder are refused."""
+    folders = [root.rstrip("/") for root in projects.values()]
+    if len(set(folders)) < len(folders):
+        raise ValueError("a folder is watched for one wing only")
+    one = threading.Lock()
+    out = {}
+    for wing, root in projects.items():
+
+        def run(batch: DataFrame, number: int, wing: str = wing, root: str = root) -> None:
+            relevant = batch if on_commit else select_files(batch, root, extensions, **rules)
+            if not gate():
+                log(f"[{wing}] batch {number}: skipped")
+            elif number == 0 or not relevant.isEmpty():
+                with one:
+                    counts = ingest(batch.sparkSession, root, store, wing, extensions, **rules)
+                    head = store.log.head()
+                    if head and len(head["data"]) > optimise_after:
+                        store.compact()
+                log(state_line(wing, number, counts))
+
+        watched = ref_folder(root) if on_commit else root
+        events = spark.readStream.format("binaryFile").schema(BINARY).option("recursiveFileLookup", "true").load(watched).select("path", "modificationTime")
+        writer = events.writeStream.queryName(f"watch_{wing}").foreachBatch(run).option("checkpointLocation", f"{checkpoint.rstrip('/')}/{wing}")
+        out[wing] = (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=DEBOUNCE)).start()
+    return out

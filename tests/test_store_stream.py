@@ -75,3 +75,31 @@ def test_watch(spark, tmp_path):
     run()
     assert seen[1:] == [{"new": 1, "deleted": 1}] and {r.source_file for r in s.read().collect()} == {"a.md", "d.md"}
     assert ingest(spark, str(root), s, "w", [".md"]) == {}
+
+
+def test_watch_many_on_commit(spark, tmp_path):
+    from tessellum.streaming.watch import ref_folder, state_line, watch_many
+
+    roots = {}
+    for wing in ("one", "two"):
+        root = tmp_path / wing
+        (root / ".git" / "refs" / "heads").mkdir(parents=True)
+        (root / ".git" / "refs" / "heads" / "main").write_text("0")
+        (root / "a.md").write_text(f"{wing} " * 60)
+        roots[wing] = str(root)
+    store, said = ChunkStore(spark, str(tmp_path / "s")), []
+
+    def run():
+        for q in watch_many(spark, roots, store, [".md"], str(tmp_path / "c"), on_commit=True, log=said.append, available_now=True).values():
+            q.awaitTermination(60)
+
+    run()
+    assert sorted(said) == ["[one] batch 0: 1 new", "[two] batch 0: 1 new"] and {r.wing for r in store.read().collect()} == {"one", "two"}
+    (tmp_path / "one" / "b.md").write_text("later " * 60)
+    run()  # no commit, so nothing happens
+    (tmp_path / "one" / ".git" / "refs" / "heads" / "next").write_text("1")
+    run()
+    assert said[2:] == ["[one] batch 1: 1 new"] and store.count() == 3
+    assert ref_folder("/x/") == "/x/.git/refs/heads" and state_line("w", 2, {}) == "[w] batch 2: nothing to do"
+    with pytest.raises(ValueError):
+        watch_many(spark, {"a": "/x", "b": "/x/"}, store, [".md"], "c")
