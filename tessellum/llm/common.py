@@ -138,12 +138,12 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the words ``[^\\x20\\x09-\\x0D]+``; no word crosses a document's end."""
+def word_spans(data: np.ndarray, offs: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words ``[^\\x20\\x09-\\x0D]+`` (or of other bytes than ``space``); no word crosses a document's end."""
     if not len(data):
         z = np.zeros(0, np.int64)
         return z, z
-    inside = ~_SPACE[data]
+    inside = ~space[data]
     first = np.zeros(len(data) + 1, bool)
     first[offs] = True
     start = inside.copy()

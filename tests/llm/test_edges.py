@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 
 import corpus_pipeline
@@ -59,6 +60,11 @@ def test_query(spark, sf_dir, name):
         assert all(got[i].n_links == 0 and got[i].component_id == i and got[i].kept for i in range(5, 14))
         assert got[None].n_links == 0 and not got[None].kept
         assert got[3].component_id == 1
+    elif name.startswith("op13_"):
+        by = {(r.lang, r.phrase): r for r in rows}
+        # the long text's repeats, of which the longest phrases cover the others
+        assert by["en", "lorem ipsum dolor"].a == 60_000 and ("en", "lorem ipsum") not in by
+        assert all(r.score == 1_000_000 * r.a * r.a // (r.l * r.r) for r in rows) and {r.lang for r in rows} <= {"en", "de", "und"}
     elif name.startswith("op8_"):
         assert sorted((r.page_id or 0, r.host, r.path, r.rule or "", r.verdict) for r in rows) == [
             (0, "example.net", "/en/q", "example.net/en/", "allow"), (1, "a.net", "/x", "net/", "block"), (2, "", "", "", "allow"), (3, "", "", "", "allow"), (3, "b.org", "/fr/", "org/fr/", "allow"), (4, "b.org", "", "", "allow"),
@@ -89,6 +95,15 @@ def test_query(spark, sf_dir, name):
         assert all(r.round_trip for r in rows)
     if full and name.startswith("op7_"):
         assert all(r.rate >= 0 and r.copies in (int(r.rate), int(r.rate) + 1) and abs(sum(r.posterior) - 1) < 1e-9 for r in rows)
+    if full and name.startswith("op11_"):
+        by = {r.doc_id: r for r in rows}
+        assert len({r.root for r in rows}) == 1 and len({r.subroot for r in rows}) == 3 and by[None].verified
+        assert all(r.verified == (r.folded_root == r.root) for r in rows) and by[200].verified and not all(r.verified for r in rows)
+    if full and name.startswith("op12_"):
+        by = {r.doc_id: r for r in rows}
+        texts = {i: t or "" for i, t, *_ in _documents()}
+        assert all(r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest() for r in rows)
+        assert by[200].n_tokens == by[201].n_tokens == 0 and by[0].ids_sha256 == by[206].ids_sha256
     if full and name.startswith("op10_"):
         by = {r.doc_id: r for r in rows}
         assert by[0].fingerprint == by[206].fingerprint and by[200].fingerprint == by[201].fingerprint and by[203].n_chars == len(LONG)
