@@ -8,8 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessellum.operators.facts_store import FactStore
+from tessellum.operators.facts_store import KINDS, FactStore
 from tessellum.operators.ingest import newest_per_kind
+from tessellum.operators.log_table import NOTHING
 from tessellum.operators.store import ChunkStore
 
 CATALOGUE = "name string, kind string, mtime double, chunks long, triples long, entities long, bytes long"
@@ -76,14 +77,16 @@ class Backups:
         row = self.catalogue().filter(F.col("name") == name).first()
         if row is None:
             raise ValueError(f"no backup {name}")
-        logs = {"chunks": chunks.log} | (facts.logs() if facts else {})
-        if not force and any(log.count() for log in logs.values()):
+        stores = {"chunks": chunks.log} | ({"facts": facts} if facts else {})
+        if not force and any(store.count() for store in stores.values()):
             raise ValueError("the store holds rows; force replaces them")
-        parts = {what: self.spark.read.schema(log.schema).parquet(f"{self.root}/{name}/{what}") for what, log in logs.items() if row[what] or what == "chunks"}
+        schemas = {"chunks": chunks.log.schema} | (KINDS if facts else {})
+        parts = {what: self.spark.read.schema(schema).parquet(f"{self.root}/{name}/{what}") for what, schema in schemas.items() if row[what] or what == "chunks"}
         for what, rows in parts.items():
             if rows.count() != row[what]:
                 raise ValueError(f"{what} of {name} are not whole")
-        for what, rows in parts.items():
-            log = logs[what]
-            log.commit(rows, log.read().select("id") if log.count() else None, f"restore {name}")
+        head = chunks.log.head() or NOTHING
+        chunks.log.commit(parts.pop("chunks"), chunks.log.read(version=head["version"]).select("id") if head["data"] else None, f"restore {name}", head)
+        if parts:
+            facts.replace_all(parts, f"restore {name}")
         return row["chunks"]

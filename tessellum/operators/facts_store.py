@@ -1,4 +1,4 @@
-"""The stored graph of facts: triples and entities as logs of commits."""
+"""The stored graph of facts: triples and entities in one log of commits, so that a fact and its entities come together."""
 
 from __future__ import annotations
 
@@ -9,27 +9,53 @@ from pyspark.sql import functions as F
 
 from tessellum.functions.text import entity_id
 from tessellum.operators import kg
-from tessellum.operators.log_table import LogTable
+from tessellum.operators.lease import Lease
+from tessellum.operators.log_table import NOTHING, ConflictError, LogTable
 
 TRIPLE = "id string, subject string, predicate string, object string, valid_from string, valid_to string, confidence double, source_closet string, source_file string, extracted_at string"
 ENTITY = "id string, name string, type string, properties string, created_at string"
+KINDS = {"triples": TRIPLE, "entities": ENTITY}
+#: How often an addition is made anew because another writer brought the same facts or entities meanwhile.
+TRIES = 10
 
 
 class FactStore:
-    """Two logs of commits; a fact that is added or ended is written alone."""
+    """A fact that is added or ended is written alone. Ids in the log start with their kind, as an entity may be named as a fact."""
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, lease: Lease | None = None):
         self.spark, self.path = spark, path.rstrip("/")
-        self._triples, self._entities = LogTable(spark, f"{self.path}/triples", TRIPLE), LogTable(spark, f"{self.path}/entities", ENTITY)
+        columns = dict(c.split() for kind in KINDS.values() for c in kind.split(", "))
+        self._log = LogTable(spark, self.path, ", ".join(f"{n} {k}" for n, k in columns.items()) + ", kind string", "kind", lease)
+
+    def _read(self, kind: str, version: int | None = None) -> DataFrame:
+        names = [c.split()[0] for c in KINDS[kind].split(", ")]
+        return self._log.read(parts=[kind], version=version).withColumn("id", F.substring("id", len(kind) + 2, 1 << 30)).select(*names)
+
+    def _rows(self, kind: str, rows: DataFrame) -> DataFrame:
+        """Rows of a kind as the log holds them."""
+        out = [F.concat(F.lit(f"{kind}:"), F.col("id")).alias("id")]
+        for f in self._log.schema:
+            if f.name not in ("id", "kind"):
+                out.append(F.col(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name))
+        return rows.select(*out, F.lit(kind).alias("kind"))
 
     def triples(self) -> DataFrame:
-        return self._triples.read()
+        return self._read("triples")
 
     def entities(self) -> DataFrame:
-        return self._entities.read()
+        return self._read("entities")
+
+    def count(self) -> int:
+        return self._log.count()
 
-    def logs(self) -> dict[str, LogTable]:
-        return {"triples": self._triples, "entities": self._entities}
+    def replace_all(self, tables: dict[str, DataFrame], reason: str) -> int:
+        """One version that holds these triples and entities alone."""
+        head = self._log.head() or NOTHING
+        rows = None
+        for kind, table in tables.items():
+            of_kind = self._rows(kind, table)
+            rows = of_kind if rows is None else rows.unionByName(of_kind)
+        return self._log.commit(rows, self._log.read(version=head["version"]).select("id") if head["data"] else None, reason, head)
 
     def add(self, facts: DataFrame) -> None:
         """Facts by name (``subject``, ``predicate``, ``object`` and what else of a triple there is): entities are made
@@ -47,24 +73,39 @@ class FactStore:
         if bad:
             raise ValueError(f"{bad['error']}: {bad['_s']} {bad['predicate']} {bad['_o']}")
         names = ids.select(F.col("_s").alias("name"), F.lit(0).alias("order")).union(ids.select(F.col("_o"), F.lit(1)))
-        held, known = self.triples(), self.entities()
-        made = kg.auto_entities(known, names).withColumn("created_at", F.coalesce("created_at", F.lit(now))).join(known.select("id"), "id", "left_anti")
-        self._entities.commit(made.cache(), None, "add")
-        made.unpersist()
-        new = kg.add_triples(held, ids.drop("_s", "_o")).join(held.select("id"), "id", "left_anti")
-        self._triples.commit(new, None, "add")
+        for attempt in range(TRIES):
+            head = self._log.head() or NOTHING
+            held, known = (self._read(kind, head["version"]) for kind in KINDS)
+            made = kg.auto_entities(known, names).withColumn("created_at", F.coalesce("created_at", F.lit(now))).join(known.select("id"), "id", "left_anti")
+            new = kg.add_triples(held, ids.drop("_s", "_o")).join(held.select("id"), "id", "left_anti")
+            try:
+                self._log.commit(self._rows("entities", made).unionByName(self._rows("triples", new)), None, "add", head)
+                return
+            except ConflictError:
+                if attempt + 1 == TRIES:
+                    raise
 
     def add_entity(self, name: str, kind: str = "unknown", properties: str = "{}") -> None:
         now = datetime.datetime.now(datetime.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
         new = self.spark.createDataFrame([(name, kind, properties, now)], "name string, type string, properties string, created_at string").withColumn("id", entity_id(F.col("name")))
-        self._entities.commit(new, new.select("id"), "add entity")
+        rows = self._rows("entities", new)
+        self._log.commit(rows, rows.select("id"), "add entity")
 
     def invalidate(self, condition: Column, ended: str | None = None, refuse_late: bool = False) -> None:
-        """End the open facts that meet the condition. One that starts behind the end stays open, or is an error."""
+        """End the open facts that meet the condition. One that starts behind the end stays open, or is an error. Facts that
+        another writer has changed meanwhile are looked at anew."""
         day = ended or datetime.date.today().isoformat()
-        before = self.triples()
-        late = kg.late_starts(before, condition, day).first() if refuse_late else None
-        if late:
-            raise ValueError(f"{late['subject']} {late['predicate']} {late['object']} starts at {late['valid_from']}, after {day}")
-        ended_now = kg.invalidate(before, condition, day).join(before.filter("valid_to IS NULL").select("id"), "id", "left_semi").filter("valid_to IS NOT NULL")
-        self._triples.commit(ended_now, ended_now.select("id"), "invalidate")
+        for attempt in range(TRIES):
+            head = self._log.head() or NOTHING
+            before = self._read("triples", head["version"])
+            late = kg.late_starts(before, condition, day).first() if refuse_late else None
+            if late:
+                raise ValueError(f"{late['subject']} {late['predicate']} {late['object']} starts at {late['valid_from']}, after {day}")
+            ended_now = kg.invalidate(before, condition, day).join(before.filter("valid_to IS NULL").select("id"), "id", "left_semi").filter("valid_to IS NOT NULL")
+            rows = self._rows("triples", ended_now)
+            try:
+                self._log.commit(rows, rows.select("id"), "invalidate", head)
+                return
+            except ConflictError:
+                if attempt + 1 == TRIES:
+                    raise

@@ -19,9 +19,10 @@ def stale(stored: DataFrame, walked: DataFrame) -> DataFrame:
 
 
 def upsert(stored: DataFrame, incoming: DataFrame, key: str = "id", order: str | None = None) -> DataFrame:
-    """Stored rows whose key doesn't come in, and the last incoming row of each key (by ``order``)."""
-    last = incoming
-    if order:
+    """Stored rows whose key doesn't come in, and the last incoming row of each key (by ``order``, else the greatest)."""
+    if not order:
+        last = incoming.groupBy(key).agg(F.max(F.struct(*[c for c in incoming.columns if c != key])).alias("_m")).select(key, "_m.*").select(*incoming.columns)
+    else:
         last = incoming.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).filter("_k = 1").drop("_k")
     return stored.join(incoming.select(key), key, "left_anti").unionByName(last, allowMissingColumns=True)
 

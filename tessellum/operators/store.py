@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessellum.functions.text import embed as test_embed
-from tessellum.operators.log_table import LogTable
+from tessellum.operators.lease import Lease
+from tessellum.operators.log_table import LEFT_S, LogTable
 from tessellum.operators.reader import pick
 
 # The columns of a chunk and what stands for unknown.
@@ -37,9 +38,10 @@ def conform(rows: DataFrame, embed: Callable[[Column], Column] = test_embed) ->
 
 
 class ChunkStore:
-    def __init__(self, spark: SparkSession, path: str, embed: Callable[[Column], Column] = test_embed):
+    def __init__(self, spark: SparkSession, path: str, embed: Callable[[Column], Column] = test_embed, lease: Lease | None = None):
+        """``embed``: the vector of a text, for chunks that come without one. ``lease``: see ``LogTable``."""
         self.spark, self.path, self.embed = spark, path.rstrip("/"), embed
-        self.log = LogTable(spark, self.path, ", ".join(f"{n} {k}" for n, k in CHUNK_COLUMNS.items()) + f", {VECTOR} array<float>", "wing")
+        self.log = LogTable(spark, self.path, ", ".join(f"{n} {k}" for n, k in CHUNK_COLUMNS.items()) + f", {VECTOR} array<float>", "wing", lease)
 
     # ---- reading
 
@@ -67,22 +69,29 @@ class ChunkStore:
         return self.log.commit(conform(rows, self.embed), None, reason)
 
     def upsert(self, rows: DataFrame, order: str | None = None, reason: str = "upsert") -> int:
-        """Rows replace those of the same id, in whatever wing; of several incoming rows of an id the last by ``order``. What is
-        stored isn't read."""
-        source = rows if order is None else rows.withColumn("_k", F.row_number().over(Window.partitionBy("id").orderBy(F.desc(order)))).filter("_k = 1")
-        new = conform(source, self.embed)
+        """Rows replace those of the same id, in whatever wing; of several incoming rows of an id the last by ``order``, else the
+        greatest by its columns. What is stored isn't read, so an upsert follows whatever other writers have made."""
+        if order is not None:
+            last = Window.partitionBy("id").orderBy(F.desc(order))
+            new = conform(rows.withColumn("_k", F.row_number().over(last)).filter("_k = 1"), self.embed)
+        else:
+            new = conform(rows, self.embed)
+            new = new.groupBy("id").agg(F.max(F.struct(*[c for c in new.columns if c != "id"])).alias("_m")).select("id", "_m.*")
         return self.log.commit(new, new.select("id"), reason)
 
-    def replace(self, rows: DataFrame, gone: DataFrame, reason: str) -> int:
-        """One version with ``rows`` and without the rows of the ids ``gone``."""
-        return self.log.commit(conform(rows, self.embed), gone, reason)
+    def replace(self, rows: DataFrame, gone: DataFrame, reason: str, after: dict | None = None) -> int:
+        """One version with ``rows`` and without the rows of the ids ``gone``; ``after``: the version that both were made from."""
+        return self.log.commit(conform(rows, self.embed), gone, reason, after)
 
     def delete(self, condition: Column, reason: str = "delete", wings: list[str] | None = None) -> int:
         """Rows that meet the condition go; returns their number. Without any, no version is made."""
-        hit = self.read(condition, wings).select("id")
+        head = self.log.head()
+        if not head:
+            return 0
+        hit = self.read(condition, wings, head["version"]).select("id")
         n = hit.count()
         if n:
-            self.log.commit(None, hit, reason)
+            self.log.commit(None, hit, reason, head)
         return n
 
     def delete_wing(self, wing: str) -> int:
@@ -99,9 +108,9 @@ class ChunkStore:
             raise RuntimeError("no backup, so nothing was changed")
         return self.log.compact(file_rows)
 
-    def vacuum(self, older_than: float = 0.0) -> int:
-        """Forget older versions and delete what only they read."""
-        return self.log.vacuum(older_than)
+    def vacuum(self, older_than: float = 0.0, leftovers: float = LEFT_S) -> int:
+        """Forget older versions and delete what only they read, and what dead writers left so many seconds ago."""
+        return self.log.vacuum(older_than, leftovers)
 
     def health(self, version: int | None = None) -> dict:
         """Counts, a first row and a grouping, each tried on its own."""
@@ -134,10 +143,10 @@ class ChunkStore:
 
         try:
             files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{self.path}/data").select("path", "length")
-            sums = files.groupBy(F.regexp_extract("path", r"/seq=(\d+)/", 1).cast("long").alias("seq")).agg(F.sum("length").alias("bytes"), F.count("*").alias("files")).collect()
+            sums = files.groupBy(F.regexp_extract("path", r"/c=(\w+)/", 1).alias("folder")).agg(F.sum("length").alias("bytes"), F.count("*").alias("files")).collect()
         except AnalysisException:
             sums = []
         head = self.log.head()
-        live = {d["seq"] for d in head["data"]} if head else set()
+        live = {d["folder"] for d in head["data"]} if head else set()
         total = sum(r["bytes"] for r in sums)
-        return {"bytes": total, "files": sum(r["files"] for r in sums), "versions": self.log.versions().count(), "reclaimable": total - sum(r["bytes"] for r in sums if r["seq"] in live)}
+        return {"bytes": total, "files": sum(r["files"] for r in sums), "versions": self.log.versions().count(), "reclaimable": total - sum(r["bytes"] for r in sums if r["folder"] in live)}
