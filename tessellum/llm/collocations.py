@@ -23,7 +23,7 @@ from pyspark.sql.window import Window
 from tessellum.llm.common import _BYTE, blocks, discard, materialise, mix64, table, utf8, word_spans
 
 #: Bytes of text that a task works on at once, and of which it sends one sketch.
-SLICE = 8 << 20
+SLICE = 2 << 20
 #: Counters a row for each byte of text; rows have 2^16 to 2^34 counters.
 COUNTERS_A_BYTE, MIN_BITS, MAX_BITS = 0.25, 16, 34
 #: Counters of a stripe (4 MB while it is merged), and bits of a bitmap: 32 MB a row at most.
