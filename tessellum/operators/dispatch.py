@@ -26,41 +26,65 @@ def route(path: Column, lang: Column) -> Column:
     return F.when(project, "project").when(lang.isin(*BOUNDARIES), "code").when(lang.isin("markdown", "text"), "prose").when(lang == "kubernetes", "kubernetes").when(lang == "helm", helm).when(lang == "ansible", ansible).otherwise("lines")
 
 
-def chunk_files(files: DataFrame, path_col: str = "path", text_col: str = "text", lang: Column | None = None) -> DataFrame:
-    """``(path, route, chunk_index, content, symbol_name, symbol_type)`` of files of all kinds.
+# What a chunk of prose tells about its section, and of none.
+SECTION = {"heading": "", "heading_level": 0, "heading_path": "", "doc_section_type": "", "contains_mermaid": 0, "contains_code": 0, "contains_table": 0}
 
-    A project file, an inventory and a role's variables are one chunk each; null and blank texts give none.
+
+def chunk_files(files: DataFrame, path_col: str = "path", text_col: str = "text", lang: Column | None = None, metadata: bool = False, look: bool = False) -> DataFrame:
+    """``(path, route, chunk_index, content, symbol_name, symbol_type)`` of files of all kinds; with ``metadata`` also the
+    ``language`` and what is known of a section (``SECTION``).
+
+    A project file, an inventory and a role's variables are one chunk each; null and blank texts give none. Each way is a
+    filter over the files. ``look``: the ways that there are, of fourteen, are looked up first and no other is planned; for
+    files that are written or cached.
     """
     found = code.language(F.col(path_col), F.col(text_col)) if lang is None else lang
     rows = files.select(F.col(path_col).alias("path"), F.col(text_col).alias("text"), found.alias("lang")).withColumn("route", route(F.col("path"), F.col("lang")))
     keep, names = ["path", "route"], ["path", "route", "chunk_index", "content", "symbol_name", "symbol_type"]
+    if metadata:
+        rows = rows.withColumn("language", F.col("lang"))
+        keep, names = [*keep, "language"], [*names, "language", *SECTION]
     of = lambda *ways: rows.filter(F.col("route").isin(*ways))
 
     def plain(df: DataFrame, name: Column | None = None, kind: Column | None = None) -> DataFrame:
-        return df.withColumns({"symbol_name": name if name is not None else F.lit(""), "symbol_type": kind if kind is not None else F.lit("")}).select(*names)
+        return sections(df.withColumns({"symbol_name": name if name is not None else F.lit(""), "symbol_type": kind if kind is not None else F.lit("")}))
+
+    def sections(df: DataFrame) -> DataFrame:
+        """All columns of the result, without those that the way of a file doesn't give."""
+        return df.select(*[F.lit(SECTION[c]).alias(c) if c in SECTION and c not in df.columns else F.col(c) for c in names])
 
     def whole(df: DataFrame, least: int, name: Column, kind: Column) -> DataFrame:
-        out = df.select("path", "route", strip(F.col("text")).alias("content"), F.lit(0).alias("chunk_index")).filter(F.length("content") >= least)
+        out = df.select(*keep, strip(F.col("text")).alias("content"), F.lit(0).alias("chunk_index")).filter(F.length("content") >= least)
         return plain(out, name, kind)
 
     role = F.regexp_extract("path", ROLE, 1)
-    parts = [
-        code.code_chunks(of("code"), keep, F.col("lang")).select(*names),
-        plain(markdown.markdown_chunks(of("prose"), keep)),
-        manifests.manifest_chunks(of("kubernetes"), keep).select(*names),
-        whole(of("project"), MIN_CHARS, F.lit(""), F.lit("")),
-        plain(chunk_column(of("helm_chart"), keep), manifests.helm_symbol(F.col("content"), chart=True), F.lit("helm_chart")),
-        plain(manifests.helm_values(of("helm_values"), keep), F.lit(""), F.lit("helm_values")),
-        plain(chunk_column(of("helm_template"), keep), manifests.helm_symbol(F.col("content")), F.lower(F.element_at(F.split(manifests.helm_symbol(F.col("content")), "/"), 1))),
-        whole(of("ansible_vars"), 1, role, F.lit("ansible_vars")),
-        whole(of("ansible_inventory"), 1, F.lit(""), F.lit("ansible_inventory")),
-        manifests.ansible_items(of("ansible_play"), keep).select(*names),
-        plain(chunk_column(of("lines"), keep)),
-    ]
-    for kind in ("task", "handler"):
-        items = manifests.ansible_items(of(f"ansible_{kind}"), keep, kind, "")
-        parts.append(plain(items, F.when(F.col("symbol_name") != "", F.col("symbol_name")).otherwise(role), F.lit(f"ansible_{kind}")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+
+    def items(kind: str) -> DataFrame:
+        found = manifests.ansible_items(of(f"ansible_{kind}"), keep, kind, "")
+        return plain(found, F.when(F.col("symbol_name") != "", F.col("symbol_name")).otherwise(role), F.lit(f"ansible_{kind}"))
+
+    def template() -> DataFrame:
+        name = manifests.helm_symbol(F.col("content"))
+        return plain(chunk_column(of("helm_template"), keep), name, F.lower(F.element_at(F.split(name, "/"), 1)))
+
+    ways = {
+        "code": lambda: sections(code.code_chunks(of("code"), keep, F.col("lang"))),
+        "prose": lambda: plain(markdown.markdown_chunks(of("prose"), keep)),
+        "kubernetes": lambda: sections(manifests.manifest_chunks(of("kubernetes"), keep)),
+        "project": lambda: whole(of("project"), MIN_CHARS, F.lit(""), F.lit("")),
+        "helm_chart": lambda: plain(chunk_column(of("helm_chart"), keep), manifests.helm_symbol(F.col("content"), chart=True), F.lit("helm_chart")),
+        "helm_values": lambda: plain(manifests.helm_values(of("helm_values"), keep), F.lit(""), F.lit("helm_values")),
+        "helm_template": template,
+        "ansible_vars": lambda: whole(of("ansible_vars"), 1, role, F.lit("ansible_vars")),
+        "ansible_inventory": lambda: whole(of("ansible_inventory"), 1, F.lit(""), F.lit("ansible_inventory")),
+        "ansible_play": lambda: sections(manifests.ansible_items(of("ansible_play"), keep)),
+        "ansible_task": lambda: items("task"),
+        "ansible_handler": lambda: items("handler"),
+        "lines": lambda: plain(chunk_column(of("lines"), keep)),
+    }
+    there = {r["route"] for r in rows.select("route").distinct().collect()} if look else ways
+    out = None
+    for way, chunks in ways.items():
+        if way in there or (out is None and way == "lines"):
+            out = chunks() if out is None else out.unionByName(chunks())
     return out

@@ -58,7 +58,7 @@ def store_page(spark, sf):
 
 
 def _with_vectors(spark: SparkSession, sf: str) -> Tools:
-    tools = Tools(spark, _folder(spark), lambda _: query_vector(spark, sf, 7))
+    tools = Tools(spark, _folder(spark), lambda _: query_vector(spark, sf, 7), _no_vector)
     v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
     tools.chunks.add(chunks(spark, sf).join(v, "doc_id").withColumns({"language": F.col("room"), "symbol_name": F.concat(F.lit("Sym"), F.col("doc_id").cast("string"))}))
     return tools

@@ -55,15 +55,18 @@ def _fold(parts: str, glue: str, n: int) -> str:
 _STRIPPED = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
 
 
-@register(
-    "chunk_documents",
+#: The chunks of documents in SQL, as a table ``chunked`` behind WITH.
+CHUNKED = (
     r"WITH p AS (SELECT doc_id, text, list_filter(list_transform(regexp_split_to_array(text, '\n\s*\n'), lambda x: " + _STRIPPED.format("x") + "), lambda x: length(x) >= 100) AS p FROM documents), "
     "b AS (SELECT doc_id, unnest(p) AS block, generate_subscripts(p, 1) AS i FROM p), g AS (SELECT *, length(block) > 4000 AS big FROM b), l AS (SELECT *, lag(big) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM g), "
     "k AS (SELECT *, sum(CASE WHEN big OR coalesce(before, FALSE) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS grp FROM l), r AS (SELECT doc_id, grp, bool_or(big) AS big, list(block ORDER BY i) AS blocks FROM k GROUP BY ALL), "
     "f AS (SELECT doc_id, grp, CASE WHEN big THEN " + _fold("string_split(blocks[1], chr(10))", "chr(10)", 1) + " ELSE " + _fold("blocks", "chr(10) || chr(10)", 2) + " END AS chunks FROM r), "
-    "c AS (SELECT doc_id, grp, unnest(chunks) AS content, generate_subscripts(chunks, 1) AS j FROM f UNION ALL SELECT doc_id, 0, text, 0 FROM p WHERE len(p) = 0), s AS (SELECT doc_id, grp, j, " + _STRIPPED.format("content") + " AS content FROM c) "
-    "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY grp, j) - 1 AS chunk_index, content FROM s WHERE length(content) >= 100",
+    "c AS (SELECT doc_id, grp, unnest(chunks) AS content, generate_subscripts(chunks, 1) AS j FROM f UNION ALL SELECT doc_id, 0, text, 0 FROM p WHERE len(p) = 0), s AS (SELECT doc_id, grp, j, " + _STRIPPED.format("content") + " AS content FROM c), "
+    "chunked AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY grp, j) - 1 AS chunk_index, content FROM s WHERE length(content) >= 100)"
 )
+
+
+@register("chunk_documents", f"{CHUNKED} SELECT doc_id, chunk_index, content FROM chunked")
 def chunk_documents(spark, sf):
     return chunking.chunk_column(table(spark, sf, "documents"), ["doc_id"]).withColumn("chunk_index", F.col("chunk_index").cast("long"))
 

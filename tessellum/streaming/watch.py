@@ -1,61 +1,149 @@
-"""Watch a folder: each micro-batch of new or changed files re-runs incremental ingest.
-
-A file source never reports deletions, so each batch lists the folder and drops stored files that are gone.
-"""
+"""Ingest of folders, once or as a stream of what has changed in them."""
 
 from __future__ import annotations
 
+import contextlib
 import threading
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tessellum.operators.chunking import chunk_column
+from tessellum.functions.text import chunk_id
+from tessellum.operators.dispatch import chunk_files
 from tessellum.operators.ingest import file_changes
+from tessellum.operators.log_table import NOTHING
+from tessellum.operators.places import place_chunks
 from tessellum.operators.store import ChunkStore
-from tessellum.sources.scan import scan, select_files
+from tessellum.sources import folders
 
-BINARY = "path string, modificationTime timestamp, length long, content binary"
 DEBOUNCE = "5 seconds"
-
-
-def ingest(spark: SparkSession, root: str, store: ChunkStore, wing: str, extensions: list[str], room: str = "general", **rules) -> dict[str, int]:
-    """Bring the store up to the folder: changed files are chunked anew, unchanged ones aren't read, deleted ones go."""
-    walked = scan(spark, root, extensions, **rules)
-    stored = store.read(wings=[wing]).groupBy("source_file").agg(F.min_by("source_hash", F.struct("chunk_index", "id")).alias("source_hash"))
-    changes = file_changes(stored, walked.select(F.col("relative").alias("source_file"), "source_hash")).cache()
+#: Commits that an initial run tries again after, as their store was damaged or written by others.
+RECOVER = 1
+
+
+def _stored(store: ChunkStore, wing: str, version: int) -> DataFrame:
+    """(source_file, source_hash) of a wing, by its first chunks."""
+    return store.read(wings=[wing], version=version).groupBy("source_file").agg(F.min_by("source_hash", F.struct("chunk_index", "id")).alias("source_hash"))
+
+
+def ingest(spark: SparkSession, root: str, store: ChunkStore, wing: str, extensions: list[str], room: str = "general", max_bytes: int | None = None, **rules) -> dict[str, int]:
+    """Bring the store up to the folder: new and changed files are chunked, files that are gone go. Files are told apart by the
+    hash of their bytes, so each is read once; of unchanged ones nothing more is done. Returns counts by kind of change."""
+    head = store.log.head() or NOTHING
+    walked = folders.listing(spark, root, folders.Rules.of(extensions, **rules)).filter("reason = ''").select("relative")
+    hashed = folders.read_files(walked, root, max_bytes).filter("reason = ''").select(F.col("relative").alias("source_file"), "source_hash")
+    changes = file_changes(_stored(store, wing, head["version"]), hashed).cache()
+    try:
+        return _apply(spark, root, store, wing, changes, head, room, max_bytes)
+    finally:
+        changes.unpersist()
+
+
+def ingest_changes(spark: SparkSession, root: str, store: ChunkStore, wing: str, changed: DataFrame, room: str = "general", max_bytes: int | None = None) -> dict[str, int]:
+    """Bring the store up to these files (``relative``, ``change``) alone, which are all that is read. One that is told to be
+    deleted (or left out by now), or is no longer there, goes; one whose bytes are as stored stays."""
+    head = store.log.head() or NOTHING
+    names = changed.select("relative").distinct()
+    hashed = folders.read_files(changed.filter("change <> 'deleted'").select("relative").distinct(), root, max_bytes).filter("reason = ''").select(F.col("relative").alias("source_file"), "source_hash")
+    stored = _stored(store, wing, head["version"]).join(names.select(F.col("relative").alias("source_file")), "source_file", "left_semi")
+    changes = file_changes(stored, hashed).cache()
+    try:
+        return _apply(spark, root, store, wing, changes, head, room, max_bytes)
+    finally:
+        changes.unpersist()
+
+
+def _apply(spark: SparkSession, root: str, store: ChunkStore, wing: str, changes: DataFrame, head: dict, room: str, max_bytes: int | None) -> dict[str, int]:
     counts = {r["change"]: r["count"] for r in changes.groupBy("change").count().collect()}
+    if not counts:
+        return counts
     fresh = changes.filter("change <> 'deleted'").select(F.col("source_file").alias("relative"))
-    texts = walked.join(fresh, "relative", "left_semi").select(F.col("relative").alias("source_file"), "source_hash", F.decode("content", "UTF-8").alias("text"))
-    chunks = chunk_column(texts, ["source_file", "source_hash"]).withColumnRenamed("content", "text")
-    from tessellum.functions.text import chunk_id
-
-    rows = chunks.select("*", F.lit(wing).alias("wing"), F.lit(room).alias("room"))
-    rows = rows.withColumn("id", chunk_id(F.col("wing"), F.col("room"), F.col("source_file"), F.col("chunk_index")))
-    if counts:
-        old = store.read(wings=[wing]).join(changes.select("source_file"), "source_file", "left_semi")
-        store.replace(rows, old.select("id"), "ingest")
-    changes.unpersist()
+    files = folders.read_files(fresh, root, max_bytes).filter("reason = ''")
+    files = files.select(F.col("relative").alias("path"), "source_hash", F.decode("content", "UTF-8").alias("text")).cache()
+    old = store.read(wings=[wing], version=head["version"]).join(changes.select("source_file"), "source_file", "left_semi")
+    store.replace(chunk_rows(files, wing, room), old.select("id"), "ingest", head)
+    files.unpersist()
     return counts
 
 
-def watch(spark: SparkSession, root: str, store: ChunkStore, wing: str, extensions: list[str], checkpoint: str, gate: Callable[[], bool] = lambda: True, on_batch: Callable[[int, dict], None] | None = None, available_now: bool = False, **rules) -> StreamingQuery:
-    """A streaming query over the folder. ``gate`` may skip a batch (no disk left, say); its files come with the next."""
-    events = spark.readStream.format("binaryFile").schema(BINARY).option("recursiveFileLookup", "true").load(root).select("path", "modificationTime")
+def chunk_rows(files: DataFrame, wing: str, room: str = "general") -> DataFrame:
+    """Rows of a store from files (``path``, ``text``, ``source_hash``), chunked by the way of their language: with language,
+    symbol, section and lines."""
+    made = chunk_files(files, metadata=True, look=True)
+    rows = place_chunks(files, made).withColumnsRenamed({"content": "text", "path": "source_file", "route": "chunker_strategy"})
+    rows = rows.join(files.select(F.col("path").alias("source_file"), "source_hash"), "source_file")
+    rows = rows.withColumns({"wing": F.lit(wing), "room": F.lit(room), "filed_at": F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss"), "ingest_mode": F.lit("projects")})
+    return rows.withColumn("id", chunk_id(F.col("wing"), F.col("room"), F.col("source_file"), F.col("chunk_index")))
+
+
+def initial(spark: SparkSession, root: str, store: ChunkStore, wing: str, extensions: list[str], **rules) -> dict[str, int]:
+    """The first ingest of a watch; where the store can't be read, it is brought to its newest version that can, once."""
+    for attempt in range(RECOVER + 1):
+        try:
+            return ingest(spark, root, store, wing, extensions, **rules)
+        except Exception:
+            if attempt == RECOVER or store.recover(dry_run=False) is None:
+                raise
+    raise AssertionError
+
+
+def room_left(spark: SparkSession, path: str, least: int) -> Callable[[], bool]:
+    """A gate: whether the file system of a folder has so many bytes left."""
+
+    def gate() -> bool:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        return fs.getStatus(target if fs.exists(target) else None).getRemaining() >= least
+
+    return gate
 
-    def run(batch: DataFrame, number: int) -> None:
-        relevant = select_files(batch, root, extensions, **rules)
-        if gate() and not relevant.isEmpty():
-            counts = ingest(batch.sparkSession, root, store, wing, extensions, **rules)
-            if on_batch:
-                on_batch(number, counts)
 
-    writer = events.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+def _state(checkpoint: str) -> str:
+    return f"{folders.local(checkpoint)}/listings"
+
+
+def _start(spark: SparkSession, root: str, store: ChunkStore, wing: str, extensions: list[str], checkpoint: str, on: str, gate: Callable[[], bool], tell: Callable[[int, dict | None], None], around, available_now: bool, rules: dict) -> StreamingQuery:
+    state = _state(checkpoint)
+    feed = folders.changes(spark, root, folders.Rules.of(extensions, **rules), state, on)
+
+    def run(batch: DataFrame, number: int) -> None:
+        changed = batch.select("relative", "change")
+        if not gate():
+            told = {r["relative"]: r["change"] for r in changed.collect()} if number else {"": "all"}
+            folders.put_back(state, told, f"{number}-{uuid.uuid4().hex}")
+            tell(number, None)
+            return
+        waiting = folders.pending(state)
+        with around:
+            if number == 0 or "" in waiting:  # the first run, or one that was put back
+                counts = initial(batch.sparkSession, root, store, wing, extensions, **rules)
+            else:
+                if waiting:
+                    before = batch.sparkSession.createDataFrame(list(waiting.items()), changed.schema)
+                    changed = changed.union(before.join(changed, "relative", "left_anti"))
+                counts = {} if changed.isEmpty() else ingest_changes(batch.sparkSession, root, store, wing, changed)
+        folders.done(state)
+        tell(number, counts)
+
+    writer = feed.writeStream.queryName(f"watch_{wing}_{uuid.uuid4().hex[:8]}").foreachBatch(run).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=DEBOUNCE)).start()
 
 
+def watch(spark: SparkSession, root: str, store: ChunkStore, wing: str, extensions: list[str], checkpoint: str, gate: Callable[[], bool] = lambda: True, on_batch: Callable[[int, dict], None] | None = None, available_now: bool = False, **rules) -> StreamingQuery:
+    """A streaming query over the folder: the first batch brings the store up to it, each further one does what has changed,
+    and nothing else is read. A batch that ``gate`` refuses (see ``room_left``) comes again with the next trigger. Ignore files
+    are read anew by each listing. The listings lie in the checkpoint folder, which must be one that machines share."""
+
+    def tell(number: int, counts: dict | None) -> None:
+        if counts and on_batch:
+            on_batch(number, counts)
+
+    return _start(spark, root, store, wing, extensions, checkpoint, "files", gate, tell, contextlib.nullcontext(), available_now, rules)
+
+
 def ref_folder(root: str) -> str:
     """Where a project's git keeps its branches; a commit changes a file below."""
     return f"{root.rstrip('/')}/.git/refs/heads"
@@ -68,30 +156,22 @@ def state_line(wing: str, number: int, counts: dict[str, int]) -> str:
 
 
 def watch_many(spark: SparkSession, projects: dict[str, str], store: ChunkStore, extensions: list[str], checkpoint: str, on_commit: bool = False, gate: Callable[[], bool] = lambda: True, log: Callable[[str], None] = print, optimise_after: int = 64, available_now: bool = False, **rules) -> dict[str, StreamingQuery]:
-    """A streaming query for each wing of ``projects`` (wing -> folder): on changes of files, or ``on_commit`` on changes of the
-    project's branches only. The first batch brings a project up to date. Commits of the wings are serial; a store of many
+    """A streaming query for each wing of ``projects`` (wing -> folder): on changes of files, or ``on_commit`` when a branch of the
+    project has moved; a batch then does what has changed since the last one. Batches of the wings are serial; a store of many
     commits is compacted behind a batch. Two wings of one folder are refused."""
-    folders = [root.rstrip("/") for root in projects.values()]
-    if len(set(folders)) < len(folders):
+    roots = [root.rstrip("/") for root in projects.values()]
+    if len(set(roots)) < len(roots):
         raise ValueError("a folder is watched for one wing only")
     one = threading.Lock()
     out = {}
     for wing, root in projects.items():
 
-        def run(batch: DataFrame, number: int, wing: str = wing, root: str = root) -> None:
-            relevant = batch if on_commit else select_files(batch, root, extensions, **rules)
-            if not gate():
-                log(f"[{wing}] batch {number}: skipped")
-            elif number == 0 or not relevant.isEmpty():
+        def tell(number: int, counts: dict | None, wing: str = wing) -> None:
+            log(f"[{wing}] batch {number}: put back" if counts is None else state_line(wing, number, counts))
+            head = store.log.head()
+            if counts and head and len(head["data"]) > optimise_after:
                 with one:
-                    counts = ingest(batch.sparkSession, root, store, wing, extensions, **rules)
-                    head = store.log.head()
-                    if head and len(head["data"]) > optimise_after:
-                        store.compact()
-                log(state_line(wing, number, counts))
-
-        watched = ref_folder(root) if on_commit else root
-        events = spark.readStream.format("binaryFile").schema(BINARY).option("recursiveFileLookup", "true").load(watched).select("path", "modificationTime")
-        writer = events.writeStream.queryName(f"watch_{wing}").foreachBatch(run).option("checkpointLocation", f"{checkpoint.rstrip('/')}/{wing}")
-        out[wing] = (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=DEBOUNCE)).start()
+                    store.compact()
+
+        out[wing] = _start(spark, root, store, wing, extensions, f"{checkpoint.rstrip('/')}/{wing}", "refs" if on_commit else "files", gate, tell, one, available_now, rules)
     return out

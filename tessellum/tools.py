@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessellum.functions.text import chunk_id, embed, glob_regex
+from tessellum.functions.text import chunk_id, glob_regex
+from tessellum.functions.text import embed as test_embed
 from tessellum.operators import code_graph, graph, kg, reader, rerank, taxonomy, vector
 from tessellum.operators.facts_store import FactStore
 from tessellum.operators.store import ChunkStore
@@ -19,17 +21,29 @@ from tessellum.operators.store import ChunkStore
 MOST_RESULTS = 50
 
 
+def embedded_by(embedder: Callable[[str], list[float]]) -> Callable[[Column], Column]:
+    """A text's vector as a column; the workers get the embedder."""
+
+    @F.pandas_udf("array<float>")
+    def vectors(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [float(x) for x in embedder(t)])
+
+    return vectors
+
+
 class Tools:
-    def __init__(self, spark: SparkSession, path: str, embedder: Callable[[str], list[float]] | None = None):
+    def __init__(self, spark: SparkSession, path: str, embedder: Callable[[str], list[float]] | None = None, embed: Callable[[Column], Column] | None = None):
+        """``embed``: the vectors of chunks that are written, as a column; without it ``embedder`` makes them, in batches on the
+        workers, so that chunks and queries lie in one space."""
         self.spark = spark
-        self.chunks = ChunkStore(spark, f"{path}/chunks")
+        self.chunks = ChunkStore(spark, f"{path}/chunks", embed or (embedded_by(embedder) if embedder else test_embed))
         self.facts = FactStore(spark, f"{path}/facts")
         self._embedder = embedder
 
     def _vector(self, text: str) -> list[float]:
         if self._embedder:
             return self._embedder(text)
-        return list(self.spark.createDataFrame([(text,)], "t string").select(embed(F.col("t"))).first()[0])
+        return list(self.spark.createDataFrame([(text,)], "t string").select(self.chunks.embed(F.col("t"))).first()[0])
 
     def _vectors(self, wing: str | None = None) -> DataFrame:
         return self.chunks.read(wings=[wing] if wing else None, vectors=True)
@@ -138,12 +152,8 @@ class Tools:
         return near.select("id", "wing", "room", "similarity", F.left("text", F.lit(200)).alias("preview"))
 
     def read(self, source_file: str, start_line: int, end_line: int, wing: str | None = None) -> DataFrame:
-        """Lines of a file's chunks, each once; the path may be given by its last parts."""
-        rows = self.chunks.read(wings=[wing] if wing else None)
-        which = reader.resolve_source(rows, source_file).filter("how <> 'ambiguous'").select("source_file")
-        held = rows.join(F.broadcast(which), "source_file", "left_semi").filter("line_start > 0")
-        lines = reader.line_slice(held, start_line, end_line, first_line="line_start")
-        return lines.groupBy("source_file", "line").agg(F.min_by("text", F.struct("line_start", "id")).alias("text")).orderBy("line")
+        """Lines of a file's chunks, each once, with a status; see ``reader.read_slice``."""
+        return reader.read_slice(self.chunks.read(wings=[wing] if wing else None), source_file, start_line, end_line)
 
     # write
     def add_drawer(self, wing: str, room: str, content: str, source_file: str | None = None, added_by: str = "tool") -> str | None:
