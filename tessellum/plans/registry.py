@@ -23,7 +23,7 @@ def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 def _load() -> None:
     """The modules register their queries when they are imported."""
-    from tessellum.plans import code_queries, graph_queries, ingest_queries, search_queries, source_queries, store_queries, text_queries  # noqa: F401
+    from tessellum.plans import code_queries, graph_queries, ingest_queries, name_queries, search_queries, source_queries, store_queries, text_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
