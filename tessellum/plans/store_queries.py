@@ -117,3 +117,25 @@ def backup_restored(spark, sf):
     store.delete(F.col("chunk_index") < 3)
     backups.restore(name, store, force=True)
     return store.read().select("id", "wing", "room")
+
+
+@register(
+    "import_merged",
+    f"WITH {CHUNKS}, m AS (SELECT c.*, CAST(e.embedding[1] AS DOUBLE) AS v, chunk_index % 2 = 0 AS hand FROM chunks c LEFT JOIN embeddings e ON e.vec_id = c.doc_id) "
+    "SELECT id, wing, CASE WHEN hand THEN room ELSE 'before' END AS room, CASE WHEN hand THEN date ELSE '' END AS filed_at, CASE WHEN hand THEN 'manual_v1' ELSE '' END AS strategy, CASE WHEN hand THEN room ELSE '' END AS language, round(CASE WHEN hand THEN coalesce(v, 0.5) ELSE 0.25 END, 6) AS v FROM m",
+)
+def import_merged(spark, sf):
+    """What was written by hand, exported with its vectors and merged into a store that holds all chunks in another room."""
+    from tessellum.sources import jsonl
+
+    v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+    how = F.when(F.col("chunk_index") % 2 == 0, "manual_v1").otherwise("lines")
+    rows = chunks(spark, sf).join(v, "doc_id", "left").withColumns({"filed_at": F.col("date"), "language": F.col("room"), "chunker_strategy": how})
+    source, target = (ChunkStore(spark, _folder(spark), lambda _, x=x: F.array(F.lit(x))) for x in (0.5, 0.25))
+    source.add(rows)
+    target.add(chunks(spark, sf).withColumn("room", F.lit("before")))
+    path = _folder(spark)
+    jsonl.write(path, jsonl.export_filter(source.read(vectors=True), only_manual=True))
+    jsonl.import_into(spark, path, target, skip_near=None)
+    out = target.read(vectors=True)
+    return out.select("id", "wing", "room", "filed_at", F.col("chunker_strategy").alias("strategy"), "language", F.round(F.col("vector")[0].cast("double"), 6).alias("v"))
