@@ -210,3 +210,12 @@ def token_estimates(spark, sf):
     from tessellum.functions.text import token_estimate
 
     return table(spark, sf, "documents").select("doc_id", token_estimate(F.col("text")).alias("tokens"))
+
+
+@register("close_names")
+def close_names(spark, sf):
+    """The three names of parts closest to each twentieth one's (its own first); no SQL has the ratio of matching blocks."""
+    from tessellum.operators.similar_names import close_names
+
+    parts = table(spark, sf, "part")
+    return close_names(parts.filter("p_partkey % 20 = 0").select(F.col("p_name").alias("value")), parts.select(F.col("p_name").alias("name")))
