@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessellum.functions.text import UNTOUCHED
 from tessellum.operators import chunking, conversations, ingest, layers, memories, reader, summary
 from tessellum.plans.registry import register
 from tessellum.plans.views import CHUNKS, chunks, table
@@ -248,3 +249,27 @@ def resolve_source(spark, sf):
     from tessellum.operators.reader import resolve_source as resolve
 
     return resolve(chunks(spark, sf), "file_7.txt")
+
+
+# Distances in SQL count bytes, so letters of two are told as one of their own.
+_ONE_BYTE = "translate({0}, 'äöüßéèêëàâçñíóúáôûùîïœæÿ', 'ABCDEFGHIJKLMNOPQRSTUVWX')"
+_STAYS = "|".join(f"(?:{p})" for p in UNTOUCHED)
+
+
+@register(
+    "spelling_corrected",
+    r"WITH dw AS (SELECT unnest(regexp_extract_all(text, '\p{L}+')) AS w FROM documents), dict AS (SELECT w, count(*) AS n, " + _ONE_BYTE.format("w") + r" AS x FROM dw WHERE regexp_full_match(w, '\p{Ll}{4,}') GROUP BY w HAVING count(*) >= 20), "
+    r"tw AS (SELECT DISTINCT regexp_replace(unnest(regexp_extract_all(text, '\S+')), '[.,!?;:''" + r'"' + r")]*$', '') AS w FROM conversations), "
+    r"aw AS (SELECT w, " + _ONE_BYTE.format("w") + f" AS x FROM tw WHERE length(w) >= 4 AND NOT regexp_matches(w, '{_STAYS}') AND NOT regexp_matches(w, '^\\p{{Lu}}') AND w NOT IN (SELECT w FROM dict)), "
+    "near AS (SELECT a.w, arg_min(d.w, {'far': levenshtein(a.x, d.x), 'n': -d.n, 'w': d.w}) AS fix FROM aw a JOIN dict d ON length(d.x) BETWEEN length(a.x) - 1 AND length(a.x) + 1 AND levenshtein(a.x, d.x) <= 1 GROUP BY a.w), "
+    "m AS (SELECT map(list(w), list(fix)) AS m FROM near) "
+    r"SELECT conv_id, turn, array_to_string(list_transform(regexp_extract_all(text, '\s+|\S+'), lambda t: coalesce(m[regexp_replace(t, '[.,!?;:''" + r'"' + r")]*$', '')] || substr(t, length(regexp_replace(t, '[.,!?;:''" + r'"' + r")]*$', '')) + 1), t)), '') AS text FROM conversations, m",
+)
+def spelling_corrected(spark, sf):
+    """Conversations, corrected by the words that the documents hold twenty times."""
+    from tessellum.operators.spelling import correct
+
+    words = F.filter(F.split("text", r"[^\p{L}]+"), lambda w: w.rlike(r"^\p{Ll}{4,}$"))
+    dictionary = table(spark, sf, "documents").select(F.explode(words).alias("word")).groupBy("word").count().filter("count >= 20")
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "text", F.concat_ws("/", "conv_id", "turn").alias("key"))
+    return correct(turns, "key", dictionary).select("conv_id", "turn", "text")
