@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,8 +18,11 @@ from tessellum.tools import Tools
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder where all machines see it; on this machine only where nothing else is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"file://{tempfile.gettempdir()}"
+    """A new folder where all machines see it; on this machine only where nothing else is set and all runs in one process."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    base = base or f"file://{tempfile.gettempdir()}"
     return f"{base.rstrip('/')}/tessellum-stores/{uuid.uuid4().hex}"
 
 
