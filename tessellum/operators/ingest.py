@@ -18,12 +18,16 @@ def stale(stored: DataFrame, walked: DataFrame) -> DataFrame:
     return stored.select("source_file").distinct().join(walked.select("source_file"), "source_file", "left_anti")
 
 
-def upsert(stored: DataFrame, incoming: DataFrame, key: str = "id", order: str | None = None) -> DataFrame:
-    """Stored rows whose key doesn't come in, and the last incoming row of each key (by ``order``, else the greatest)."""
+def upsert(stored: DataFrame, incoming: DataFrame, key: str = "id", order: str | None = None, place: str | None = None) -> DataFrame:
+    """Stored rows whose key doesn't come in, and the last incoming row of each key (by ``order``, else the greatest).
+
+    Of several rows that are last by ``order`` the first by ``place`` is taken (left out: any of them); ``place`` is dropped.
+    """
     if not order:
         last = incoming.groupBy(key).agg(F.max(F.struct(*[c for c in incoming.columns if c != key])).alias("_m")).select(key, "_m.*").select(*incoming.columns)
     else:
-        last = incoming.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).filter("_k = 1").drop("_k")
+        by = [F.desc(order), *([F.asc(place)] if place else [])]
+        last = incoming.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(*by))).filter("_k = 1").drop("_k", *([place] if place else []))
     return stored.join(incoming.select(key), key, "left_anti").unionByName(last, allowMissingColumns=True)
 
 
