@@ -31,18 +31,20 @@ def edges(room_nodes: DataFrame) -> DataFrame:
 def traverse(room_nodes: DataFrame, start: str, max_hops: int = 2, limit: int = 50) -> DataFrame:
     """``(room, wings, halls, count, hop, connected_via)`` of rooms reached over shared wings, breadth first.
 
-    A hop joins the frontier's wings to the rooms of each wing and drops the rooms seen before; connected_via comes from
-    the first parent in order of its room's name. The nearest come first, then the fullest, then by name.
+    A hop joins each wing's first room of the frontier to the wing's rooms and drops the rooms seen before, so it grows with
+    the memberships and not with pairs of rooms; connected_via comes from the first parent in order of its room's name: it
+    is the first one of each wing that a room shares with it. The nearest come first, then the fullest, then by name.
     """
     member = room_nodes.select("room", F.explode("wings").alias("wing"))
     empty = F.array().cast("array<string>")
     found = room_nodes.filter(F.col("room") == start).select("room", F.lit(0).alias("hop"), empty.alias("connected_via"))
     frontier = found.select("room")
     for hop in range(1, max_hops + 1):
-        reach = frontier.withColumnRenamed("room", "parent").join(member.withColumnRenamed("room", "parent"), "parent").join(member, "wing")
-        fresh = reach.join(found.select("room"), "room", "left_anti")
-        via = fresh.groupBy("room", "parent").agg(F.sort_array(F.collect_set("wing")).alias("via"))
-        step = settled(via.groupBy("room").agg(F.min_by("via", "parent").alias("connected_via")).select("room", F.lit(hop).alias("hop"), "connected_via"))
+        first = member.join(frontier, "room", "left_semi").groupBy("wing").agg(F.min("room").alias("parent"))
+        reach = member.join(found.select("room"), "room", "left_anti").join(first, "wing")
+        shared = reach.groupBy("room").agg(F.min("parent").alias("parent"), F.collect_set(F.struct("wing", "parent")).alias("w"))
+        via = F.sort_array(F.transform(F.filter("w", lambda x: x["parent"] == F.col("parent")), lambda x: x["wing"]))
+        step = settled(shared.select("room", F.lit(hop).alias("hop"), via.alias("connected_via")))
         found, frontier = found.union(step), step.select("room")
     return room_nodes.join(found, "room").select("room", "wings", "halls", "count", "hop", "connected_via").orderBy("hop", F.desc("count"), "room").limit(limit)
 
