@@ -25,6 +25,8 @@ LOG = "version long, reason string, at double, kind string, own string, data arr
 NOTHING = {"version": 0, "data": [], "gone": []}
 #: How often a writer follows others; seconds after which a version file without content is given up; age of leftovers.
 TRIES, GRACE_S, LEFT_S = 50, 10.0, 86400.0
+#: Stored bytes of one file that a compaction writes, about.
+FILE_BYTES = 64 << 20
 
 
 class ConflictError(RuntimeError):
@@ -121,6 +123,10 @@ class LogTable:
         paths = [p for name in names for p in (f"{self.path}/data/c={name}", f"{self.path}/gone/c={name}") if self._there(p)]
         return self.spark.read.schema("id string").parquet(*paths).distinct()
 
+    def _bytes(self, path: str) -> int:
+        fs, target = self._fs(path)
+        return fs.getContentSummary(target).getLength() if fs.exists(target) else 0
+
     def _there(self, path: str) -> bool:
         fs, target = self._fs(path)
         return fs.exists(target)
@@ -185,13 +191,15 @@ class LogTable:
     # ---- maintenance
 
     def compact(self, file_rows: int = 1_000_000) -> int:
-        """All rows in one folder, with files of up to ``file_rows``."""
+        """All rows in one folder, with files of up to ``file_rows``, and of FILE_BYTES about by what is stored now: a task
+        writes one range of ``part`` and id, so that a large part is dealt to several."""
         head = self.head()
         if not head:
             return 0
         n, own = self.read(version=head["version"]).count(), uuid.uuid4().hex
+        files = max(1, -(-n // file_rows), -(-sum(self._bytes(f"{self.path}/data/c={d['folder']}") for d in head["data"]) // FILE_BYTES))
         keys = [self.part] if self.part else []
-        self._write(self.read(version=head["version"]).repartition(max(1, -(-n // file_rows)), *keys), own)
+        self._write(self.read(version=head["version"]).repartitionByRange(files, *keys, "id"), own)
         written = self.spark.read.schema("id string").parquet(f"{self.path}/data/c={own}").count() if n else 0
         if written != n:
             self._delete(f"{self.path}/data/c={own}")
