@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 #: Queries of one call that are put to every row by a join; more are put as matrices of up to QUERY_BYTES.
 QUERY_BLOCK = 512
 QUERY_BYTES = 64 << 20
-#: Numbers of one matrix product, and candidates beyond k whose distances are worked out term by term.
-CELLS, SPARE = 1 << 22, 8
+#: Numbers of one matrix product or one array of differences, and candidates beyond k whose distances are worked out term by term.
+CELLS, SPARE = 1 << 20, 8
+#: Queries of one batch of results.
+OUT_QUERIES = 1 << 13
 
 
 def squared_l2(a: Column, b: Column) -> Column:
@@ -62,6 +64,11 @@ def top_k_each(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2
     return ranked.join(vectors.drop(vec_col), id_col).join(queries.drop(query_vec), query_id)
 
 
+def queries_at_once(rows: int, take: int, dim: int) -> int:
+    """Queries of one step, so that neither products with all rows nor differences to the rows taken pass CELLS numbers."""
+    return max(1, CELLS // max(1, rows, take * max(1, dim)))
+
+
 def _nearest(vectors: DataFrame, queries: DataFrame, k: int, metric: str, id_col: str, vec_col: str, query_id: str, query_vec: str) -> DataFrame:
     """``(query_id, id, distance)``: each task's best ``k`` rows of each query; ``queries`` fit a broadcast."""
     held = queries.select(F.col(query_id).alias("q"), F.col(query_vec).cast("array<double>").alias("v")).filter("q IS NOT NULL AND v IS NOT NULL").toArrow()
@@ -87,8 +94,9 @@ def _nearest(vectors: DataFrame, queries: DataFrame, k: int, metric: str, id_col
             x, ids = x[by_id], ids[by_id]
             own = (x * x).sum(axis=1)
             take = min(len(x), k + SPARE)
-            for lo in range(0, m, max(1, CELLS // len(x))):
-                at = slice(lo, lo + max(1, CELLS // len(x)))
+            step = queries_at_once(len(x), take, x.shape[1])
+            for lo in range(0, m, step):
+                at = slice(lo, lo + step)
                 dots = asked[at] @ x.T
                 rough = own - 2 * dots if metric == "l2" else -dots / np.sqrt(np.maximum(own, 1e-300))
                 pick = np.argsort(np.round(rough, 10), axis=1, kind="stable")[:, :take]  # of equal ones those of least id
@@ -102,8 +110,11 @@ def _nearest(vectors: DataFrame, queries: DataFrame, k: int, metric: str, id_col
                 every, who = np.take_along_axis(every, order, axis=1), np.take_along_axis(who, order, axis=1)
                 order = np.argsort(every, axis=1, kind="stable")
                 near[at], names[at] = np.take_along_axis(every, order, axis=1)[:, :k], np.take_along_axis(who, order, axis=1)[:, :k]
-        q, r = np.nonzero(near < np.inf)
-        yield pa.RecordBatch.from_arrays([shared.value.column("q").combine_chunks().take(pa.array(q)), pa.array(names[q, r].tolist(), batch_type), pa.array(near[q, r])], names=["q", "i", "distance"])
+        asked_ids = shared.value.column("q").combine_chunks()
+        for lo in range(0, m, OUT_QUERIES):
+            q, r = np.nonzero(near[lo : lo + OUT_QUERIES] < np.inf)
+            q += lo
+            yield pa.RecordBatch.from_arrays([asked_ids.take(pa.array(q)), pa.array(names[q, r].tolist(), batch_type), pa.array(near[q, r])], names=["q", "i", "distance"])
 
     if types["i"] not in ("bigint", "int", "string"):
         raise ValueError(f"ids of type {types['i']}")

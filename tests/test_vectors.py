@@ -31,3 +31,25 @@ def test_import_of_many(spark):
     v = spark.createDataFrame([(i, [float(c) for c in r]) for i, r in enumerate(x)], "id long, vector array<double>")
     stored = spark.createDataFrame([(0, [float(c) for c in x[3]])], "id long, vector array<double>")
     assert vector.without_near_duplicates(v, stored, 1.0).count() == 699
+
+
+def test_a_step_is_bounded_by_the_numbers_it_holds():
+    from tessellum.operators import vector
+
+    for rows, take, dim in [(1, 1, 256), (30, 19, 256), (10_000, 19, 64), (10_000, 13, 1)]:
+        step = vector.queries_at_once(rows, take, dim)
+        assert step * rows <= vector.CELLS and step * take * dim <= vector.CELLS
+
+
+def test_many_queries_over_small_batches(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from tessellum.operators import vector
+
+    x = np.random.default_rng(5).normal(size=(700, 8)).astype(np.float32)
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, vector array<float>").repartition(40)
+    asked = v.select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
+    got = {(r.query_id, r.rank): r.id for r in vector.top_k_each(v, asked, 3, block=1).collect()}
+    d = ((x[:, None].astype(float) - x[None]) ** 2).sum(axis=2)
+    assert got == {(i, k + 1): j for i in range(700) for k, j in enumerate(np.argsort(d[i], kind="stable")[:3])}
