@@ -12,8 +12,15 @@ from tessellum.plans.views import CHUNKS, chunks, table
 from tessellum.sources import chats, dotnet, scan
 
 
+#: Files that one task makes and reads, about.
+TASK_FILES = 10_000
+
+
 def _parts(spark, sf, texts: list[str], **more):
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), _told(texts, "p_partkey").alias("text"), *[v.alias(k) for k, v in more.items()])
+    """Files made of the keys of parts; the keys, of which one scan task has millions, are dealt out before the texts are made."""
+    parts = table(spark, sf, "part")
+    tasks = max(spark.sparkContext.defaultParallelism, -(-parts.count() // TASK_FILES))
+    return parts.repartition(tasks, "p_partkey").select(F.col("p_partkey").alias("id"), _told(texts, "p_partkey").alias("text"), *[v.alias(k) for k, v in more.items()])
 
 
 def _expected(rows: list[tuple], names: str, n: int, out: str) -> str:
