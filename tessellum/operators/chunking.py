@@ -58,13 +58,24 @@ def chunk_paragraphs(text: str | None) -> list[str]:
     return merge_split([p for p in (x.strip() for x in _BLANK.split(text or "")) if p])
 
 
+#: Texts that a worker takes apart at once: what it holds beside Spark's batch.
+SLICE_ROWS = 256
+
+
+def slices(batches, rows: int = SLICE_ROWS):
+    """The batches in runs of at most so many rows."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 def chunk_column(docs: DataFrame, keep: list[str], text_col: str = "text", how=chunk_lines) -> DataFrame:
     """``keep``, ``chunk_index`` and ``content``; the merge depends on what it has gathered, so it runs over Arrow batches."""
     source = docs.select(*keep, F.col(text_col).alias("_text"))
     types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema if f.name != "_text")
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows, index, content = [], [], []
             for i, text in enumerate(batch.column("_text").to_pylist()):
                 for k, c in enumerate(how(text)):
@@ -84,7 +95,7 @@ def merge_blocks(docs: DataFrame, keep: list[str], blocks_col: str, text_col: st
     types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema if f.name not in ("_blocks", "_text"))
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows, index, content = [], [], []
             for i, (blocks, text) in enumerate(zip(batch.column("_blocks").to_pylist(), batch.column("_text").to_pylist(), strict=True)):
                 for k, c in enumerate(otherwise(text) if blocks is None else merge_split(blocks)):
