@@ -12,20 +12,26 @@ much for a share f of the true ones. So each context's probabilities sum to one
 Words that the training doesn't know have no bigrams. s is the share of training bigrams that occur again (Good-Turing's seen
 mass), less for rare contexts; the discount is n1 / (n1 + 2 n2) of the numbers of bigrams that come once and twice.
 
-The filter is broadcast up to MODEL_BYTES. A larger one stays where it is: each probe goes to the task that holds its hash
-range's segment, and the scores are the same, false positives included.
+``score`` broadcasts the filter, up to MODEL_BYTES. ``score_by_runs``, which the query takes at every size, leaves it where it
+is: a run of texts sends each of its words and bigrams once, with its counts in training texts; the task of a hash range sums
+them, builds its segment and answers from it with a byte a bigram, in the order of the question; the answers meet the texts of
+the run. The scores are the same, false positives included. Hashes travel as sorted differences, split into bytes of equal
+weight, which the shuffle's compression shortens to some six bytes a hash.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessellum.llm.common import blocks, fold, materialise, mix64, segment_sum, table, utf8, word_hashes
+from tessellum.llm.common import blocks, discard, fold, give_back, materialise, mix64, segment_sum, table, utf8, word_hashes
 
 #: Word counts and filter together are broadcast up to this size.
 MODEL_BYTES = 160 << 20
@@ -34,8 +40,8 @@ PROBES = 8
 MAX_LEVEL = 48
 #: Hashes that a counting task holds before it sends a run.
 RUN = 1 << 21
-#: Words with more than one in so many of all tokens are joined apart.
-HOT_SHARE = 1000
+#: Bytes of a run of texts that asks for counts and levels.
+ASKING = 8 << 20
 END, START = np.uint64(0x5DEECE66D1234567), np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -76,6 +82,32 @@ def _counts(keys: bytes, counts: bytes) -> np.ndarray:
     return np.frombuffer(counts, np.uint64 if len(counts) == len(keys) else np.uint32)
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """The bytes of numbers, those of equal weight together."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes()
+
+
+def _from_planes(data, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
+
+
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Ascending 64-bit keys as differences."""
+    return _planes(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpack_keys(data) -> np.ndarray:
+    return np.cumsum(_from_planes(data, np.uint64), dtype=np.uint64)
+
+
+def _cut(keys: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(range, first, end) of the parts of ascending keys by hash range."""
+    part = keys >> np.uint64(shift)
+    at = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    return part[at].astype(np.int64), at, np.append(at[1:], len(keys))[: len(at)]
+
+
 def _positions(keys: np.ndarray, level: int, bits: np.ndarray | int):
     """Bit positions of (key, level), one array a probe."""
     h = mix64(keys + np.uint64(level * 0xD1B54A32D192ED03 & (1 << 64) - 1))
@@ -160,22 +192,24 @@ class BloomModel:
     def score(self, column: pa.Array) -> tuple[np.ndarray, ...]:
         """n_tokens, n_known, base_score, score of each row."""
         tokens, first = tokens_of(column)
+        return self.sums(first, self.count(tokens), lambda at: self.levels(pair_hash(contexts(tokens, first), tokens)[at]))
+
+    def sums(self, first: np.ndarray, c: np.ndarray, levels: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, ...]:
+        """The columns of ``score`` from the counts of the rows' tokens and what gives the levels of the bigrams at some places."""
         n = len(first) - 1
         owner = np.repeat(np.arange(n), np.diff(first))
-        c = self.count(tokens)
         before = np.empty_like(c)
         before[1:] = c[:-1]
         before[first[:-1]] = self.start_count
-        level = np.zeros(len(tokens), np.int64)
+        level = np.zeros(len(c), np.int64)
         both = np.flatnonzero((c > 0) & (before > 0))  # words that the training doesn't know have no bigram
-        level[both] = self.levels(pair_hash(contexts(tokens, first), tokens)[both])
+        level[both] = levels(both)
         size = self.total + self.distinct + 1
         p1 = (c + 1) / size
         p = self.probability(least_count(level), before, p1)
         base = segment_sum(np.log10(c + 1.0), owner, n) - np.diff(first) * np.log10(size)
         return np.diff(first), segment_sum(c > 0, owner, n).astype(np.int64), base, segment_sum(np.log10(p), owner, n)
 
-
     def probability(self, least: np.ndarray, before: np.ndarray, p1: np.ndarray) -> np.ndarray:
         """Of a token with this least bigram count, count of its context and unigram probability."""
         weight = self.seen * before / (before + 1)
@@ -190,12 +224,10 @@ class BloomModel:
 
 def _runs(hashes: list[np.ndarray], kind: int, shift: int):
     keys, counts = np.unique(np.concatenate(hashes), return_counts=True)
-    part = keys >> np.uint64(shift)
-    at = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-    ends = np.append(at[1:], len(keys))
+    part, at, ends = _cut(keys, shift)
     counts = counts.astype(np.uint32)
     return pa.RecordBatch.from_arrays(
-        [pa.array([kind] * len(at), pa.int32()), pa.array(part[at].astype(np.int64)), pa.array([keys[a:b].tobytes() for a, b in zip(at, ends, strict=True)], pa.binary()), pa.array([counts[a:b].tobytes() for a, b in zip(at, ends, strict=True)], pa.binary())],
+        [pa.array([kind] * len(at), pa.int32()), pa.array(part), pa.array([pack_keys(keys[a:b]) for a, b in zip(at, ends, strict=True)], pa.binary()), pa.array([_planes(counts[a:b]) for a, b in zip(at, ends, strict=True)], pa.binary())],
         names=["kind", "part", "keys", "counts"],
     )
 
@@ -224,8 +256,8 @@ def count_ranges(docs: DataFrame, text_col: str = "text", bits_per_item: int = B
 
     def merge(group: pa.Table) -> pa.Table:
         kind, part = group.column("kind")[0].as_py(), group.column("part")[0].as_py()
-        keys = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("keys")])
-        counts = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in group.column("counts")])
+        keys = np.concatenate([unpack_keys(x.as_buffer()) for x in group.column("keys")])
+        counts = np.concatenate([_from_planes(x.as_buffer(), np.uint32) for x in group.column("counts")])
         order = np.argsort(keys)
         keys, counts = keys[order], counts[order]
         at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
@@ -287,80 +319,167 @@ def score(docs: DataFrame, model: BloomModel, keep: list[str], text_col: str = "
     return out.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-def _word_rows(counted: DataFrame) -> DataFrame:
-    """(gram, n) of the words' counts."""
+def _asking(batches, column: str):
+    """(number, blocks) of the runs of a task's texts."""
+    held, size, n = [], 0, 0
+    for b in blocks(batches, column):
+        held.append(b)
+        size += int(utf8(b.column(column))[1][-1])
+        if size >= ASKING:
+            yield n, held
+            held, size, n = [], 0, n + 1
+    if held:
+        yield n, held
 
-    def run(batches):
-        for b in batches:
-            for key, n in zip(b.column(0), b.column(1), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(key.as_buffer(), np.int64)), pa.array(_counts(key.as_buffer(), n.as_buffer()).astype(np.int64))], names=["gram", "n"])
 
-    return counted.filter("kind = 0").select("first", "second").mapInArrow(run, "gram long, n long")
+def _run_id(n: int) -> int:
+    return TaskContext.get().partitionId() << 32 | n
 
 
-def _routed_levels(keys: DataFrame, counted: DataFrame, shift: int) -> DataFrame:
-    """(gram, level) of bigram hashes, by the segment of their range."""
+def _marks(keys: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A digest of the keys of each part."""
+    return np.bitwise_xor.reduceat(mix64(keys), at).view(np.int64)
 
-    def probe(asked: pa.Table, held: pa.Table) -> pa.Table:
-        if not asked.num_rows:
-            return pa.table({"gram": pa.array([], pa.int64()), "level": pa.array([], pa.int64())})
-        gram = asked.column("gram").to_numpy()
-        level = segment_levels(gram.view(np.uint64), held.column("first")[0].as_py() if held.num_rows else b"")
-        return pa.table({"gram": pa.array(gram), "level": pa.array(level)})
 
-    asked = keys.select("gram", F.shiftrightunsigned("gram", shift).alias("part")).groupBy("part")
-    return asked.cogroup(counted.filter("kind = 1").select("part", "first").groupBy("part")).applyInArrow(probe, "gram long, level long")
+def _questions(docs: DataFrame, training: Column, asks: bool, shift: int, text_col: str) -> DataFrame:
+    """``(kind, part, run, mark, keys, counts)``: the distinct words (0) and bigrams (1) of each run of texts, by hash range,
+    with their counts in the texts of ``training``. Without ``asks`` the run is null: nobody waits for an answer."""
 
+    def run(batches):
+        for n, held in _asking(batches, "text"):
+            hashes = ([], []), ([], [])
+            for b in held:
+                tokens, first = tokens_of(b.column("text"))
+                learns = np.repeat(b.column("learns").to_numpy(zero_copy_only=False), np.diff(first))
+                for kind, h in enumerate((tokens, pair_hash(contexts(tokens, first), tokens))):
+                    hashes[kind][0].append(h)
+                    hashes[kind][1].append(h[~learns])
+            for kind in (0, 1):
+                keys, counts = np.unique(np.concatenate(hashes[kind][0]), return_counts=True)
+                others, times = np.unique(np.concatenate(hashes[kind][1]), return_counts=True)
+                counts[np.searchsorted(keys, others)] -= times
+                counts = counts.astype(np.uint32)
+                part, at, ends = _cut(keys, shift)
+                packed = [pa.array([f(x[a:b]) for a, b in zip(at, ends, strict=True)], pa.binary()) for f, x in ((pack_keys, keys), (_planes, counts))]
+                run = pa.array([_run_id(n) if asks else None] * len(at), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(at), pa.int32()), pa.array(part), run, pa.array(_marks(keys, at)), *packed], names=["kind", "part", "run", "mark", "keys", "counts"])
 
-def score_by_join(docs: DataFrame, counted: DataFrame, model: BloomModel, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The rows of ``score`` without a broadcast: probes of bigrams go to the segments of their ranges, and words to their
-    counts."""
-    grams = materialise(_word_rows(counted))
-    rows = materialise(docs.select(*[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)], F.col(text_col).alias("_text"), F.monotonically_increasing_id().alias("_row")))
+    rows = docs.select(F.col(text_col).alias("text"), F.coalesce(training, F.lit(False)).alias("learns"))
+    return rows.mapInArrow(run, "kind int, part long, run long, mark long, keys binary, counts binary")
 
-    def probes(batches):
-        for b in blocks(batches, "_text"):
-            tokens, first = tokens_of(b.column(1))
-            before = contexts(tokens, first)
-            ids = np.repeat(b.column(0).to_numpy(), np.diff(first))
-            yield pa.RecordBatch.from_arrays([pa.array(ids), *[pa.array(x.view(np.int64)) for x in (before, tokens, pair_hash(before, tokens))]], names=["_row", "u", "w", "uw"])
-
-    wanted = rows.select("_row", "_text").mapInArrow(probes, "_row long, u long, w long, uw long").groupBy("_row", "u", "w", "uw").agg(F.count("*").alias("times"))
-    wanted = materialise(wanted)
-    levels = materialise(_routed_levels(wanted.select(F.col("uw").alias("gram")).distinct(), counted, model.shift))
-    wanted = wanted.join(levels.withColumnRenamed("gram", "uw"), "uw")
-    # a word with over a thousandth of all tokens would fill one task: there are at most a thousand, which are broadcast
-    often = F.col("n") * HOT_SHARE > model.total
-    hot, rest = F.broadcast(grams.filter(often)), grams.filter(~often)
-    for name in ("u", "w"):
-        wanted = wanted.join(hot.select(F.col("gram").alias(name), F.col("n").alias("n_hot")), name, "left")
-        known = F.when(F.col(name) == F.lit(int(START.view(np.int64))), F.lit(model.start_count)).otherwise(F.col("n_hot"))
-        wanted = wanted.withColumn("n_hot", known).withColumn("key", F.when(F.col("n_hot").isNull(), F.col(name)).otherwise(F.xxhash64("_row", "uw")))
-        wanted = wanted.join(rest.select(F.col("gram").alias("key"), F.col("n").alias("n_rest")), "key", "left").withColumn(f"n_{name}", F.coalesce("n_hot", "n_rest", F.lit(0))).drop("key", "n_hot", "n_rest")
-    n_u, n_w = F.col("n_u"), F.col("n_w")
-    least = F.when((F.col("level") > 0) & (n_u > 0) & (n_w > 0), F.pow(F.lit(2.0), F.col("level") - 1)).otherwise(0.0)
-    size = float(model.total + model.distinct + 1)
-    p1 = (n_w + 1) / F.lit(size)
-    weight = F.lit(model.seen) * n_u / (n_u + 1)
-    share = (least - F.lit(model.discount)) / F.greatest(n_u * F.lit(1 + model.false_rate) + F.lit(model.false_mass), F.lit(1.0))
-    p = weight * F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)) + (1 - weight) * p1
-    sums = wanted.groupBy("_row").agg(
-        F.sum("times").alias("n_tokens"), F.sum(F.when(F.col("n_w") > 0, F.col("times")).otherwise(0)).alias("n_known"), F.sum(F.col("times") * F.log10(p1)).alias("base_score"), F.sum(F.col("times") * F.log10(p)).alias("score")
-    )
-    return rows.join(sums, "_row").select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
+
+_ANSWER = pa.schema([("kind", pa.int32()), ("part", pa.int64()), ("run", pa.int64()), ("mark", pa.int64()), ("told", pa.binary()), *[(x, pa.int64()) for x in ("n", "total", "once", "twice", "ends")], ("false", pa.float64())])
+
+
+def _answers(questions: DataFrame, bits_per_item: int) -> DataFrame:
+    """The answer of each hash range to each run, ``(kind, part, run, mark, told)``: the counts of words, in 32 bits or 64, or
+    the levels of bigrams in the range's filter, a byte each. A row without a run has the range's sums."""
+
+    def merge(group: pa.Table) -> pa.Table:
+        kind, part = group.column("kind")[0].as_py(), group.column("part")[0].as_py()
+        asked = [unpack_keys(x.as_buffer()) for x in group.column("keys")]
+        counts = np.concatenate([_from_planes(x.as_buffer(), np.uint32) for x in group.column("counts")])
+        ends = np.cumsum([len(x) for x in asked])
+        keys = np.concatenate(asked)
+        del asked
+        order = np.argsort(keys)
+        keys = keys[order]
+        new = np.concatenate(([True], keys[1:] != keys[:-1]))
+        at = np.flatnonzero(new)
+        keys, sums = keys[at], np.add.reduceat(counts[order], at, dtype=np.int64)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.cumsum(new) - 1
+        known = sums > 0
+        segment = filter_segment(keys[known], sums[known], bits_per_item) if kind and known.any() else b""
+        value = segment_levels(keys, segment).astype(np.uint8) if kind else sums
+        rows = {x: [] for x in _ANSWER.names}
+        for run, mark, a, b in zip(group.column("run").to_pylist(), group.column("mark").to_pylist(), [0, *ends[:-1]], ends, strict=True):
+            if run is not None:
+                told = value[place[a:b]]
+                told = told.tobytes() if kind else _planes(told if told.max() >= 1 << 32 else told.astype(np.uint32))
+                for x, v in (("run", run), ("mark", mark), ("told", told)):
+                    rows[x].append(v)
+        n = len(rows["run"])
+        sums = {"n": known.sum(), "total": sums.sum(), "once": (sums == 1).sum(), "twice": (sums == 2).sum(), "ends": sums[keys == END].sum() if kind == 0 else 0, "false": _false_rate(segment)}
+        for x in ("run", "mark", "told"):
+            rows[x].append(None)
+        for x, v in sums.items():
+            rows[x] = [None] * n + [v.item() if hasattr(v, "item") else v]
+        return pa.table(rows | {"kind": [kind] * (n + 1), "part": [part] * (n + 1)}, schema=_ANSWER)
+
+    return questions.groupBy("kind", "part").applyInArrow(merge, "kind int, part long, run long, mark long, told binary, n long, total long, once long, twice long, ends long, false double")
+
+
+def score_by_runs(docs: DataFrame, training: Column | DataFrame, keep: list[str], text_col: str = "text", bits_per_item: int = BITS_PER_ITEM) -> DataFrame:
+    """The rows of ``score`` by a model that is never in one place: see above. ``training`` marks rows of ``docs``, or is a
+    table of its own. ``docs`` is read twice and must give the same rows in the same tasks each time, as a stored table does;
+    if it doesn't, the digests of questions and texts differ, which is an error."""
+    source = docs.select(*[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)], F.col(text_col).alias("_text"))
+    kept = [f"_k{i}" for i in range(len(keep))]
+    own = {f.name: f"{f.name} {f.dataType.simpleString()}" for f in source.schema}
+    apart = isinstance(training, DataFrame)
+    parts = max([x.rdd.getNumPartitions() for x in ([docs, training] if apart else [docs])])  # of the plan; runs nothing
+    shift = 64 - min(16, max(4, int(np.ceil(np.log2(8 * max(1, parts))))))
+    questions = _questions(docs, F.lit(False) if apart else training, True, shift, text_col)
+    if apart:
+        questions = questions.union(_questions(training, F.lit(True), False, shift, text_col))
+    answers = materialise(_answers(questions, bits_per_item))
+    sums = {r["kind"]: r for r in answers.filter("run IS NULL").groupBy("kind").agg(*[F.sum(x).alias(x) for x in ("n", "total", "once", "twice", "ends", "false")]).collect()}
+    model = BloomModel(b"", b"", b"", np.zeros(1, np.int64), shift, 0, 0, 0, 0.0)
+    if sums and sums[1]["total"]:
+        words, pairs = sums[0], sums[1]
+        discount = pairs["once"] / max(1, pairs["once"] + 2 * pairs["twice"])
+        # each document starts and ends once
+        model = replace(model, total=words["total"], distinct=words["n"], start_count=words["ends"], seen=1.0 - pairs["once"] / pairs["total"], discount=discount, false_rate=pairs["false"] * 2.0 ** (shift - 64))
+
+    def placed(batches):
+        for n, held in _asking(batches, "_text"):
+            for b in held:
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([_run_id(n)] * b.num_rows, pa.int64())], names=[*b.schema.names, "run"])
+
+    def told(answers: pa.Table, kind: int, keys: np.ndarray) -> np.ndarray:
+        part, at, ends = _cut(keys, shift)
+        mine = answers.filter(pc.equal(answers.column("kind"), kind)).sort_by("part")
+        if not (np.array_equal(mine.column("part").to_numpy(), part) and np.array_equal(mine.column("mark").to_numpy(), _marks(keys, at))):
+            raise RuntimeError("the table of texts gave other rows when it was read again: write it first")
+        out = np.zeros(len(keys), np.int64)
+        for x, a, b in zip(mine.column("told"), at, ends, strict=True):
+            x = x.as_buffer()
+            out[a:b] = np.frombuffer(x, np.uint8) if kind else _from_planes(x, np.uint64 if len(x) == 8 * (b - a) else np.uint32)
+        return out
+
+    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        if not texts.num_rows:
+            raise RuntimeError("the table of texts gave other rows when it was read again: write it first")
+        tokens, first = tokens_of(texts.column("_text"))
+        words, word = np.unique(tokens, return_inverse=True)
+        pairs, pair = np.unique(pair_hash(contexts(tokens, first), tokens), return_inverse=True)
+        del tokens
+        c, level = told(answers, 0, words)[word], told(answers, 1, pairs)
+        n, known, base, total = model.sums(first, c, lambda at: level[pair[at]])
+        give_back()
+        return pa.table([*(texts.column(k) for k in kept), pa.array(n), pa.array(known), pa.array(base), pa.array(total)], names=[*kept, "n_tokens", "n_known", "base_score", "score"])
+
+    texts = source.mapInArrow(placed, ", ".join([*own.values(), "run long"]))
+    types = ", ".join([*(own[k] for k in kept), "n_tokens long, n_known long, base_score double, score double"])
+    asked = answers.filter("run IS NOT NULL").select("run", "kind", "part", "mark", "told")
+    out = texts.groupBy("run").cogroup(asked.groupBy("run")).applyInArrow(run, types)
+    return out.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def lm_scores(docs: DataFrame, training: DataFrame, keep: list[str], text_col: str = "text", model_bytes: int = MODEL_BYTES, bits_per_item: int = BITS_PER_ITEM) -> DataFrame:
     """Train on ``training`` and score ``docs``: by the broadcast filter up to ``model_bytes``, else by segments that stay where they are."""
-    model, counted = train(training, text_col, model_bytes, bits_per_item)
-    if model.total and not model.words:
-        return score_by_join(docs, counted, model, keep, text_col)
-    return score(docs, model, keep, text_col)
+    if model_bytes:
+        model, counted = train(training, text_col, model_bytes, bits_per_item)
+        if model.words or not model.total:
+            return score(docs, model, keep, text_col)
+        discard(counted)
+    stored = materialise(docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, text_col])]))
+    return score_by_runs(stored, training, keep, text_col, bits_per_item)
 
 
 def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. Null ids are in neither fold."""
     docs = table(spark, sf_dir, "documents")
-    training = docs.filter(fold("doc_id", 7) != 2)
-    scored = lm_scores(docs, training, ["doc_id"])
+    scored = score_by_runs(docs, fold("doc_id", 7) != 2, ["doc_id"])
     return scored.select("doc_id", F.coalesce(fold("doc_id", 7) == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
