@@ -3,13 +3,15 @@ least a threshold are linked, and no others.
 
 Two sets of such a similarity share one of the first n - ceil(threshold * n) + 1 shingles of each, in any order that all
 sets keep; candidates are pairs that share one of these. The order puts shingles that a sample finds often last, so that
-common passages make no candidates; it changes costs only. Pairs whose SimHash fingerprints are far apart are dropped,
-the others are compared by profiles (how many shingles of a set lie in each range of hashes: what two sets have in common is
+common passages make no candidates; it changes costs only. A search by fingerprints may come first (``search``): what it links
+isn't looked for again. Pairs whose SimHash fingerprints are over ``distance`` bits apart are dropped (64 drops none), the others are compared by profiles (how many shingles of a set lie in each range of hashes: what two sets have in common is
 at most the sum of the smaller numbers), and only those whose profiles allow the similarity are compared shingle by shingle.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -272,10 +274,11 @@ def _open_pairs(rows: DataFrame, joined: DataFrame, similarity: float) -> DataFr
     return met.select(F.col("s1").alias("u"), F.col("s2").alias("v")).distinct()
 
 
-def similar_components(docs: DataFrame, id_col: str, text_col: str, words_of_shingle: int, distance: int, similarity: float) -> DataFrame:
+def similar_components(docs: DataFrame, id_col: str, text_col: str, words_of_shingle: int, distance: int, similarity: float, search: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``(id, component_id)``, one row for each row with an id: the smallest id that verified links reach.
 
-    A first round compares the texts of a shared shingle with the one that shares most; a second compares those that are
+    ``search`` gives candidates (u, v), digests of sets, from the table of sets (s, fp, ...); they are verified like all others
+    and their links come first. Of what they leave apart a round compares the texts of a shared shingle with the one that shares most; a second compares those that are
     still in different components and may be similar, so the components are those of all pairs. Null and empty texts are
     alike; equal sets count as one, however many rows have them.
     """
@@ -287,7 +290,15 @@ def similar_components(docs: DataFrame, id_col: str, text_col: str, words_of_shi
     rows = rows.withColumn("share", F.count("*").over(Window.partitionBy("s")) / F.col("n"))
     rows = materialise(rows.withColumn("size", F.count("*").over(bucket)).withColumn("centre", F.max(F.struct("share", "s")).over(bucket)["s"]).drop("share"))
     first = rows.filter("s <> centre").select(F.col("centre").alias("u"), F.col("s").alias("v")).distinct()
+    found = None
+    if search:
+        found = _verified(search(nodes), docs, nodes, words_of_shingle, distance, similarity)
+        linked = connected_components(found)
+        for x in ("u", "v"):
+            first = first.join(linked.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}")), x, "left")
+        first = first.filter(~F.coalesce(F.col("c_u") == F.col("c_v"), F.lit(False))).select("u", "v")
     links = _verified(first, docs, nodes, words_of_shingle, distance, similarity)
+    links = found.union(links) if search else links
     more = _verified(_open_pairs(rows, connected_components(links), similarity), docs, nodes, words_of_shingle, distance, similarity)
     joined = connected_components(links.union(more))
     placed = nodes.join(joined, F.col("s") == F.col("node"), "left").select("s", "rep", F.coalesce("component", "s").alias("c"))

@@ -23,9 +23,11 @@ SEED = 42
 DISTANCE = 2
 #: Fingerprints of one bucket that are compared pair by pair; fuller buckets are linked through midpoints, in proportion to their size.
 HOT_BUCKET = 256
-#: The pipeline's stage: words of a shingle, least similarity of shingle sets, and bits that fingerprints of candidates
-#: may differ in: at the least similarity a bit differs with a chance of 0.19 at most, more than 30 bits of 64 then differ with one of 10^-7.
-STAGE_SHINGLE, STAGE_SIMILARITY, STAGE_DISTANCE = 5, 0.8, 30
+#: The pipeline's stage: words of a shingle, least similarity of shingle sets, and bits that fingerprints of the search's
+#: candidates may differ in.
+STAGE_SHINGLE, STAGE_SIMILARITY, STAGE_DISTANCE = 5, 0.8, 3
+#: Distance that drops no pair of 64-bit fingerprints.
+ANY_DISTANCE = 64
 
 
 def fingerprints(texts: list[bytes | None], words_of_shingle: int = SHINGLE) -> np.ndarray:
@@ -157,8 +159,9 @@ def plan_search(fps: DataFrame, distance: int = DISTANCE, part_counts: tuple[int
     return min(found, key=lambda x: x[0])[1]
 
 
-def link_fingerprints(fps: DataFrame, plan: list[tuple[list[int], int]], hot_bucket: int = HOT_BUCKET) -> DataFrame:
-    """Edges (u, v) between the ``rep`` of fingerprints (distinct ``fp``) that differ in at most DISTANCE bits.
+def link_fingerprints(fps: DataFrame, plan: list[tuple[list[int], int]], hot_bucket: int = HOT_BUCKET, distance: int = DISTANCE) -> DataFrame:
+    """Edges (u, v) between the ``rep`` of fingerprints (distinct ``fp``) that differ in at most ``distance`` bits, for which
+    the plan was made; in full buckets in at most two.
 
     Fingerprints at a distance of at most two share a neighbour a bit away; the edges of full buckets join all
     fingerprints around such a midpoint to the smallest, so they hold the same components as all pairs, and each joins
@@ -180,7 +183,7 @@ def link_fingerprints(fps: DataFrame, plan: list[tuple[list[int], int]], hot_buc
     b = probes.select("part", "key", F.col("fp").alias("fp2"), F.col("rep").alias("rep2"))
     apart = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2")))
     order = F.col("fp") < F.col("fp2") if not near else F.col("fp") != F.col("fp2")
-    pairs = a.join(b, [a["part"] == b["part"], a["key"] == b["key"], order, apart <= DISTANCE]).select(F.greatest("rep", "rep2").alias("u"), F.least("rep", "rep2").alias("v"))
+    pairs = a.join(b, [a["part"] == b["part"], a["key"] == b["key"], order, apart <= distance]).select(F.greatest("rep", "rep2").alias("u"), F.least("rep", "rep2").alias("v"))
     crowded = probes.join(hot.select("part", "key"), ["part", "key"], "left_semi").select("fp", "rep").distinct()
     flips = F.array(F.lit(0).cast("long"), *[F.lit(_mask([b])).cast("long") for b in range(64)])
     around = crowded.select("rep", F.explode(F.transform(flips, lambda f: F.col("fp").bitwiseXOR(f))).alias("mid"))
@@ -211,13 +214,22 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def near_fingerprints(sets: DataFrame, distance: int = STAGE_DISTANCE) -> DataFrame:
+    """``(u, v)``: the ``s`` of sets with equal fingerprints (``fp``), each with the smallest, and of those with near ones."""
+    fps = materialise(sets.groupBy("fp").agg(F.min("s").alias("rep")))
+    equal = sets.select("s", "fp").join(fps, "fp").filter("s <> rep").select(F.col("rep").alias("u"), F.col("s").alias("v"))
+    return equal.union(link_fingerprints(fps, plan_search(fps, distance), distance=distance)).distinct()
+
+
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group the document with the smallest id stays, one row of it; rows without an id stay.
 
-    Groups hold all pairs of documents whose sets of five-word shingles have a similarity of 0.8 and more. Null, empty and
+    SimHash fingerprints of the sets of five-word shingles are searched by the pigeonhole principle, as in the operator; what
+    has a similarity of 0.8 and more is linked. A prefix filter finds the similar pairs whose fingerprints are further apart,
+    so groups hold all pairs of that similarity. Null, empty and
     blank texts are one group. Of several rows of one id the first by its other columns stays. An empty table stays empty.
     """
-    groups = similar_components(docs, "doc_id", "text", STAGE_SHINGLE, STAGE_DISTANCE, STAGE_SIMILARITY)
+    groups = similar_components(docs, "doc_id", "text", STAGE_SHINGLE, ANY_DISTANCE, STAGE_SIMILARITY, near_fingerprints)
     gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
     with_id = docs.filter("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti")
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy(*[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")], F.xxhash64("text")))
