@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessellum.operators import entities, memories
+from tessellum.operators.chunking import slices
 from tessellum.operators.log_table import NOTHING, ConflictError, LogTable
 
 ROW = "id string, name string, kind string, forms array<string>, source string, context string, relationship string, confidence double, place long, seen long"
@@ -143,6 +144,19 @@ class _Automaton:
 _made: dict[tuple, _Automaton] = {}
 
 
+def _hits(batches, names: list[str], kept: list[str], bounds: bool):
+    """The rows of ``_scanned`` texts that hold names, with which; batches are taken apart in short runs, so that what a worker
+    holds beside the automaton doesn't grow with the table."""
+    key = (len(names), hash(tuple(names)))
+    if key not in _made:
+        _made.clear()
+        _made[key] = _Automaton(names)
+    for b in slices(batches):
+        hits = [_made[key].at_words(_lower(t), bounds) if t else [] for t in b.column("_scanned").to_pylist()]
+        rows = pa.RecordBatch.from_arrays([*b.select(kept).columns, pa.array(hits, pa.list_(pa.string()))], names=[*kept, "_forms"])
+        yield rows.filter(pa.array([bool(h) for h in hits], pa.bool_()))
+
+
 def found_names(texts: DataFrame, names: DataFrame, text_col: str = "text", bounds: bool = True, most_bytes: int = NAMES_BYTES) -> DataFrame:
     """Rows of ``texts`` that hold names (column ``form``, lower case), with ``_forms``: which. A row may come once for each of
     several automata, with names of its own."""
@@ -158,15 +172,7 @@ def found_names(texts: DataFrame, names: DataFrame, text_col: str = "text", boun
         shared = texts.sparkSession.sparkContext.broadcast(sorted(r["form"] for r in part.collect()))
 
         def run(batches, shared=shared):
-            names = shared.value
-            key = (len(names), hash(tuple(names)))
-            if key not in _made:
-                _made.clear()
-                _made[key] = _Automaton(names)
-            for b in batches:
-                hits = [_made[key].at_words(_lower(t), bounds) if t else [] for t in b.column("_scanned").to_pylist()]
-                rows = pa.RecordBatch.from_arrays([*b.select(kept).columns, pa.array(hits, pa.list_(pa.string()))], names=[*kept, "_forms"])
-                yield rows.filter(pa.array([bool(h) for h in hits], pa.bool_()))
+            yield from _hits(batches, shared.value, kept, bounds)
 
         found = source.mapInArrow(run, f"{types}, _forms array<string>")
         out = found if out is None else out.unionByName(found)
