@@ -9,7 +9,7 @@ a step of one is the reciprocal of the gradient's Lipschitz constant and the obj
 targets; where no mixture reaches them, the steps end at the nearest one. A longer step, scaled by the documents whose
 rates are above zero alone, is tried first and taken back unless it lowers the objective more than by half.
 
-A step is one aggregation to as many sums as there are domains. A document's rate is a function of its posterior and the
+A step is one aggregation to the sums of domains and of their pairs. A document's rate is a function of its posterior and the
 steps so far, so no rate is held anywhere but in the table that is written now and then to keep that function short.
 """
 
@@ -24,8 +24,11 @@ from pyspark.sql import functions as F
 
 from tessellum.llm.common import OWN, materialise, table
 
-#: Hash buckets of the features, and domains at most: they bound the model, which is a literal of the plan.
-BUCKETS, MAX_DOMAINS = 2048, 64
+#: Hash buckets of the features, and domains at most: they bound the model, which is a literal of the plan (16 MB), and
+#: the square matrix of the fit at the driver (8 MB).
+BUCKETS, MAX_DOMAINS = 2048, 1024
+#: Products that one row of a step's aggregation adds up.
+CELLS = 8
 #: Labelled documents of a domain to learn from, about (a hash of the id picks them from all rows).
 TRAIN_DOCS = 4000
 ALPHA = 0.5
@@ -148,17 +151,25 @@ def fit_rates(soft: DataFrame, weights: list[float], steps: int = STEPS, toleran
     """
     d = len(weights)
     want, fit = np.array(weights, float) / sum(weights), Fit()
-    cells = [(i, j) for i in range(d) for j in range(i, d)]
+    n, r, p, i, b = (F.col(c) for c in ("n", "r", "p", "i", "b"))
 
     def look(rated: DataFrame) -> tuple[float, np.ndarray, np.ndarray]:
-        """Tokens, what domains have over their targets, and sum(n p p') of the documents with a rate above zero."""
-        sums = [F.sum(F.col("n") * F.col("r") * F.col("p")[i]) for i in range(d)]
-        products = [F.sum(F.when(F.col("r") > 0, F.col("n") * F.col("p")[i] * F.col("p")[j])) for i, j in cells]
-        got = [float(v or 0) for v in rated.agg(F.sum("n"), *sums, *products).first()]
-        gram, total = np.zeros((d, d)), max(got[0], 1.0)
-        for (i, j), v in zip(cells, got[d + 1 :], strict=True):
-            gram[i, j] = gram[j, i] = v / total
-        return got[0], np.array(got[1 : d + 1]) / total - want, gram
+        """Tokens, what domains have over their targets, and sum(n p p') of the documents with a rate above zero.
+
+        A document gives a row for each domain and each CELLS domains from there on, so that a plan holds as many sums
+        whatever the number of domains; d * d / CELLS rows come to the driver at most.
+        """
+        own = rated.select("n", "r", "p", F.posexplode("p").alias("i", "q")).select("n", "r", "p", "i", "q", F.explode(F.sequence(F.floor(i / CELLS), F.lit((d - 1) // CELLS).cast("long"))).alias("b"))
+        products = [F.sum(F.when(r > 0, n * F.col("q") * F.get(p, (b * CELLS + k).cast("int")))).alias(f"c{k}") for k in range(CELLS)]
+        got = own.groupBy("i", "b").agg(F.sum("n").alias("n"), F.sum(n * r * F.col("q")).alias("e"), *products).collect()
+        tokens = max([float(x["n"] or 0) for x in got], default=0.0)
+        gram, has, total = np.zeros((d, d)), np.zeros(d), max(tokens, 1.0)
+        for x in got:
+            lo, at = x["b"] * CELLS, x["i"]
+            has[at] = (x["e"] or 0.0) / total
+            gram[at, lo : lo + CELLS] = [(x[f"c{k}"] or 0.0) / total for k in range(min(CELLS, d - lo))]
+        above = np.triu(gram)
+        return tokens, has - want, above + np.triu(above, 1).T
 
     def inverse(gram: np.ndarray) -> np.ndarray:
         return np.linalg.pinv(gram, rcond=1e-6, hermitian=True)

@@ -122,3 +122,17 @@ def test_stage_copies_by_rate(spark, tmp_path):
     assert kept.columns == ["doc_id", "text", "lang", "n"]
     n = {r.lang: r["count"] for r in kept.groupBy("lang").count().collect()}
     assert abs(n["de"] - 200) < 40 and abs(n["en"] - 200) < 40
+
+
+def test_many_domains_have_rates_and_posteriors(spark):
+    docs = spark.createDataFrame([(i, f"w{i % 66} w{i % 66} und") for i in range(198)] + [(198, "")], "doc_id long, text string")
+    labelled = spark.createDataFrame([(i, f"d{i % 66:02}") for i in range(132)], "id long, domain string")
+    weights = {f"d{k:02}": 2.0 if k % 2 else 1.0 for k in range(66)}
+    out, model, fit = mixing.mix(docs, labelled, weights)
+    got = out.collect()
+    p, n = np.array([r.posterior for r in got]), np.array([r.n_tokens for r in got])
+    want = np.array(list(weights.values())) / sum(weights.values())
+    r = _rates(p, fit.steps)
+    assert model.domains == list(weights) and len(got) == 199 and p.sum(axis=1) == pytest.approx(np.ones(199))
+    assert fit.gap == pytest.approx(((n * r) @ p / n.sum() - want).tolist(), abs=1e-9)
+    assert fit.met and [x.rate for x in got] == pytest.approx(r.tolist())
