@@ -123,10 +123,12 @@ def retention_newest_n(spark, sf):
     "WITH stored AS (SELECT o_orderkey AS id, o_orderstatus AS v FROM orders), inc AS (SELECT l_orderkey AS id, l_linestatus AS v, l_linenumber AS n FROM lineitem WHERE l_orderkey % 3 = 0), last AS (SELECT id, v FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC) AS k FROM inc) WHERE k = 1) SELECT * FROM stored WHERE id NOT IN (SELECT id FROM inc) UNION ALL SELECT * FROM last",
 )
 def upsert_latest_wins(spark, sf):
-    """Lines of one order may have the same number: of the last ones the first in the file comes in."""
+    """Lines of one order may have the same number: of the last ones the first in the file comes in. An order without a key
+    stays only if nothing comes in, as with NOT IN."""
     stored = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("v"))
     incoming = table(spark, sf, "lineitem").filter("l_orderkey % 3 = 0").select(F.col("l_orderkey").alias("id"), F.col("l_linestatus").alias("v"), F.col("l_linenumber").alias("n"), F.struct("_metadata.file_path", "_metadata.row_index").alias("place"))
-    return ingest.upsert(stored, incoming, order="n", place="place").select("id", "v")
+    keyless = stored.filter("id IS NULL").join(incoming.select("id").limit(1).select(F.lit(True).alias("any")), F.col("any"), "left_anti")
+    return ingest.upsert(stored.filter("id IS NOT NULL").union(keyless), incoming, order="n", place="place").select("id", "v")
 
 
 @register("diary_latest", "SELECT event_id, ts, event_type FROM events WHERE user_id = 7 ORDER BY ts DESC, event_id DESC LIMIT 10")
